@@ -1,3 +1,5 @@
 """Imports every query module so that each registers its queries."""
 
 from . import q_evaluate  # noqa: F401
+from . import q_parse  # noqa: F401
+from . import q_prepare  # noqa: F401
