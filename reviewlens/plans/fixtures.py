@@ -44,7 +44,11 @@ def fx_meta(spark, sf_dir) -> DataFrame:
 
 
 def fx_review(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    return review_view(table(spark, sf_dir, "documents"))
+
+
+def review_view(d: DataFrame) -> DataFrame:
+    """Reviews from ``documents`` rows (batch or streaming)."""
     i = F.col("doc_id")
     return d.select(
         i.alias("review_id"),
