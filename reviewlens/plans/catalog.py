@@ -6,3 +6,4 @@ from . import q_prepare  # noqa: F401
 from . import q_profile  # noqa: F401
 from . import q_vectors  # noqa: F401
 from . import q_score  # noqa: F401
+from . import q_sources  # noqa: F401
