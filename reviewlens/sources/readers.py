@@ -31,8 +31,11 @@ def scan_jsonl(spark: SparkSession, path: str, schema: StructType) -> tuple[Data
            .option("columnNameOfCorruptRecord", BAD).json(path))
     names = [f.name for f in schema.fields]
     good = raw.filter(F.col(BAD).isNull()).select(*names)
-    # a corrupt-column-only projection is refused on raw JSON: keep a data column
-    bad = raw.filter(F.col(BAD).isNotNull()).select(F.col(BAD).alias("line"), names[0])
+    # Spark refuses a scan of raw JSON whose pruned columns are only the
+    # corrupt-record column (e.g. ``bad.count()``); the filter also reads a
+    # data column (always true for bad lines) so pruning keeps it.
+    is_bad = F.col(BAD).isNotNull() & F.coalesce(F.col(names[0]).cast("string"), F.col(BAD)).isNotNull()
+    bad = raw.filter(is_bad).select(F.col(BAD).alias("line"))
     return good, bad
 
 
