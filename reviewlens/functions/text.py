@@ -16,6 +16,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (Column -> Column).
+
+    Spark re-evaluates an expression at every place it is referenced (and
+    inside lambdas once per element); binding it as the single element of
+    an array and transforming that keeps it to one evaluation per row."""
+    return F.element_at(F.transform(F.array(_c(value)), body), 1)
+
+
 def py_strip(c) -> Column:
     """FN-0: Python ``str.strip()`` (all Unicode white space, both ends)."""
     return F.regexp_replace(_c(c), rf"(?U)^{PY_WS}+|{PY_WS}+$", "")
@@ -66,17 +75,17 @@ def response_text(c) -> Column:
     """FN-6: store reply text from a JSON/plain value; NULL when there is none.
 
     Object -> its ``text``; other JSON value -> its text form; not JSON ->
-    the raw text; NULL, 'null' or an empty result -> NULL.
-    """
+    the raw text; NULL, 'null' or an empty result -> NULL. The reply is
+    parsed once per row (``let``)."""
     c = _c(c)
-    v = F.try_parse_json(c)
-    out = (
-        F.when(v.isNull(), c)
-        .when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$.text", "string"))
-        .otherwise(v.cast("string"))
-    )
-    return F.when(c.isNull() | (c == "null") | (c == ""), None).otherwise(
-        F.when(out == "", None).otherwise(out))
+
+    def from_parsed(v: Column) -> Column:
+        out = (F.when(v.isNull(), c)
+               .when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$.text", "string"))
+               .otherwise(v.cast("string")))
+        return let(out, lambda o: F.when(o == "", None).otherwise(o))
+
+    return F.when(c.isNull() | (c == "null") | (c == ""), None).otherwise(let(F.try_parse_json(c), from_parsed))
 
 
 def _part(label: str, value: Column) -> Column:

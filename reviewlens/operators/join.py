@@ -3,37 +3,77 @@
 A single store (join key) may hold a third of all reviews, so a plain
 shuffle join would put a third of the data in one task. Strategy:
 
-1. the dimension side is broadcast only after its row count was checked
-   against a bound (``limit(bound + 1).count()``, cheap: stops early);
-2. otherwise both sides are salted: the big side gets a salt in
-   [0, salts) from a hash of its own row id, the small side is repeated
-   once per salt, and the join runs on (key, salt). A hot key is spread
-   over ``salts`` tasks; AQE skew-join splitting stays on as a backstop.
+1. the dimension side is broadcast only after its size was measured in
+   one distributed pass (row count and bytes, partial aggregation, no data
+   moved to one task) and found under both bounds;
+2. otherwise hot keys are found with a pre-aggregated key count of the
+   big side (``groupBy(key).count()``: map-side combine, one row per key
+   crosses the network). Keys with at least ``hot_rows`` rows get
+   ``ceil(rows / hot_rows)`` salts: their big-side rows are spread over
+   that many tasks by a hash of the row, and only *their* small-side rows
+   are repeated once per salt. Cold keys join unsalted. The hot-key table
+   has at most rows/hot_rows entries (a proven bound), so it is broadcast.
+   AQE skew-join splitting stays on as a backstop.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
-DEFAULT_SALTS = 32
+DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
+DEFAULT_HOT_ROWS = 1_000_000
+DEFAULT_MAX_SALTS = 4096
 
 
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops after max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def size_estimate(df: DataFrame) -> tuple[int, int]:
+    """(rows, approximate bytes) of ``df`` in one distributed aggregate:
+    strings/binaries by their byte length, other columns at 8 bytes."""
+    parts = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)).cast("long"))
+        else:
+            parts.append(F.lit(8).cast("long"))
+    width = parts[0] if len(parts) == 1 else sum(parts[1:], parts[0])
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).collect()[0]
+    return int(r["n"]), int(r["b"])
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                   max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes."""
+    n, b = size_estimate(df)
+    return n <= max_rows and b <= max_bytes
+
+
+def hot_keys(big: DataFrame, on: list[str], hot_rows: int = DEFAULT_HOT_ROWS,
+             max_salts: int = DEFAULT_MAX_SALTS) -> DataFrame:
+    """Keys holding at least ``hot_rows`` rows, with their salt count."""
+    return (big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") >= hot_rows)
+            .select(*on, F.least(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(max_salts)).cast("int")
+                    .alias("_salts")))
 
 
 def skew_safe_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
                    salt_from: list[str] | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                   salts: int = DEFAULT_SALTS) -> DataFrame:
-    """Join ``big`` (fact) with ``small`` (dimension) on equal ``on`` keys."""
+                   max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, hot_rows: int = DEFAULT_HOT_ROWS,
+                   max_salts: int = DEFAULT_MAX_SALTS) -> DataFrame:
+    """Join ``big`` (fact) with ``small`` (dimension) on equal ``on`` keys.
+    Every row of ``big`` meets every matching row of ``small`` exactly once
+    (salting changes where pairs are formed, never which)."""
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type for skew_safe_join: {how}")
-    if fits_broadcast(small, max_broadcast_rows):
+    if fits_broadcast(small, max_broadcast_rows, max_broadcast_bytes):
         return big.join(F.broadcast(small), on, how)
+    hot = F.broadcast(hot_keys(big, on, hot_rows, max_salts))
     cols = salt_from or big.columns
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salts)))
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
+    b = big.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNull(), F.lit(0))
+                  .otherwise(F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.col("_salts")).cast("int")))
+    s = small.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+    return b.drop("_salts").join(s.drop("_salts"), on + ["_salt"], how).drop("_salt")

@@ -22,22 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLASSES, NO_EXAMPLES
-from ..functions.text import embedding_text
+from ..functions.text import embedding_text, let
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` (Column -> Column).
-
-    Spark re-evaluates an expression at every place it is referenced, also
-    inside lambdas (once per element); binding it as the single element of
-    an array and transforming that keeps it to one evaluation per row."""
-    return F.element_at(F.transform(F.array(_c(value)), body), 1)
-
-
 def l2_norm(v) -> Column:
     return F.sqrt(F.aggregate(_c(v).cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x * x))
 

@@ -174,3 +174,16 @@ def test_let_evaluates_once(spark):
     v = df.select(V.hash_embedding("t", 8).alias("e")).collect()[0].e
     assert len(v) == 8 and abs(sum(x * x for x in v) - 1.0) < 1e-9
     assert sorted(x for x in v if x > 0) == pytest.approx(sorted([1 / 5 ** 0.5, 2 / 5 ** 0.5]))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skew_safe_join_salted_equals_plain(spark, how):
+    from reviewlens.operators.join import skew_safe_join
+    big = spark.range(3000).select(F.col("id").alias("rid"),
+                                   F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+                                       (F.col("id") % 50).cast("string")).alias("k"))
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("7", 3), ("nomatch", 4)], "k string, v int")
+    salted = skew_safe_join(big, small, ["k"], how, salt_from=["rid"], max_broadcast_rows=0, hot_rows=100)
+    plain = big.join(small, ["k"], how)
+    assert sorted(salted.collect()) == sorted(plain.collect())
+    assert salted.count() == plain.count()
