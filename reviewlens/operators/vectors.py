@@ -195,21 +195,26 @@ def knn_vote(hits: DataFrame, label: str = "label") -> DataFrame:
 
 def examples_text(queries: DataFrame, hits: DataFrame, meta: DataFrame, query_id: str = "query_id",
                   vec_id: str = "vec_id", max_examples: int = 5, store: str = "store_info",
-                  text: str = "text_info", label: str = "ai_classification") -> DataFrame:
+                  text: str = "text_info", label: str = "ai_classification", with_labels: bool = False) -> DataFrame:
     """FN-16 + TOPK-3 + JOIN-5: per query, the first ``max_examples`` hits
     formatted as 'Business: "…"' / 'User comment: "…"' / 'Classification: …'
-    blocks joined by a blank line; no hit -> 'No similar examples found.'."""
+    blocks joined by a blank line; no hit -> 'No similar examples found.'.
+    ``with_labels`` adds ``example_labels`` (rank order) from the same
+    aggregation, so the hits are computed once. Groups hold <= max_examples rows."""
     h = hits.filter(F.col("rank") <= max_examples).select(query_id, "rank", vec_id)
     m = meta.select(F.col(vec_id), F.col(store).alias("_s"), F.col(text).alias("_t"), F.col(label).alias("_l"))
     block = F.concat(F.lit('Business: "'), F.coalesce(F.col("_s"), F.lit("")), F.lit('"\nUser comment: "'),
                      F.coalesce(F.col("_t"), F.lit("")), F.lit('"\nClassification: '),
                      F.coalesce(F.col("_l"), F.lit("")))
-    per_q = (h.join(m, vec_id, "inner")
-             .groupBy(query_id)
-             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))),
-                                           lambda s: s["b"]), "\n\n").alias("examples")))
-    return (queries.select(query_id).join(per_q, query_id, "left")
-            .select(query_id, F.coalesce("examples", F.lit(NO_EXAMPLES)).alias("examples")))
+    items = F.sort_array(F.collect_list(F.struct("rank", block.alias("b"), F.col("_l").alias("l"))))
+    per_q = (h.join(m, vec_id, "inner").groupBy(query_id).agg(items.alias("_items"))
+             .select(query_id, F.array_join(F.transform("_items", lambda s: s["b"]), "\n\n").alias("examples"),
+                     F.transform("_items", lambda s: s["l"]).alias("example_labels")))
+    out = queries.select(query_id).join(per_q, query_id, "left")
+    cols = [F.col(query_id), F.coalesce("examples", F.lit(NO_EXAMPLES)).alias("examples")]
+    if with_labels:
+        cols.append(F.coalesce("example_labels", F.array().cast("array<string>")).alias("example_labels"))
+    return out.select(*cols)
 
 
 def index_stats(index: DataFrame, embedding: str = "embedding", label: str = "label") -> DataFrame:

@@ -95,12 +95,8 @@ def q_rag_classify(spark, sf_dir):
     -> example block (FN-16) -> cot_rag prompt -> k-NN vote scorer -> CoT
     parser. Joins first (set-based), one scoring pass last."""
     qs, idx, h = rag_hits(spark, sf_dir)
-    ex = examples_text(qs, h, idx, max_examples=K)
-    labs = (h.filter(F.col("rank") <= K).groupBy("query_id")
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "ai_classification"))),
-                             lambda s: s["ai_classification"]).alias("example_labels")))
-    x = (qs.join(ex, "query_id").join(labs, "query_id", "left")
-         .withColumnRenamed("query_id", "review_id"))
+    ex = examples_text(qs, h, idx, max_examples=K, with_labels=True)
+    x = qs.join(ex, "query_id").withColumnRenamed("query_id", "review_id")
     out = S.classify(x, S.KnnVoteScorer, template="cot_rag", examples="examples",
                      context=("example_labels",), base_wait=0.0)
     return S.with_error_text(out).select("review_id", "template", "ai_classification", "ai_raw_response")

@@ -100,14 +100,22 @@ def q_hash_embeddings(spark, sf_dir):
 
 
 def rag_sides(spark, sf_dir):
-    """Index = labelled train rows (PRED-1 on text/label), queries = test rows."""
+    """Index = labelled train rows (PRED-1 on text/label), queries = test rows.
+
+    The labelled, embedded table is written once to the shared checkpoint
+    folder and read back by both sides (stage boundary, as between the
+    reference's steps), so the join/compose/embed work runs once instead
+    of once per branch and survives lost executors."""
+    from ..session import materialize
     s = split_labelled(spark, sf_dir)
+    needed = (F.col("split") == "test") | (F.col("text_info").isNotNull() & F.col("ai_classification").isNotNull())
+    s = s.filter(needed).select("review_id", "store_info", "text_info", "ai_classification", "split",
+                                V.hash_embedding("text_info", DIM).alias("embedding"))
+    s = materialize(s, "rag-embedded")
     idx = (s.filter(F.col("split") == "train").dropna(subset=["text_info", "ai_classification"])
-           .select(F.col("review_id").alias("vec_id"), "store_info", "text_info", "ai_classification",
-                   V.hash_embedding("text_info", DIM).alias("embedding")))
+           .select(F.col("review_id").alias("vec_id"), "store_info", "text_info", "ai_classification", "embedding"))
     qs = s.filter(F.col("split") == "test").select(
-        F.col("review_id").alias("query_id"), "store_info", "text_info",
-        V.hash_embedding("text_info", DIM).alias("embedding"))
+        F.col("review_id").alias("query_id"), "store_info", "text_info", "embedding")
     return qs, idx
 
 
