@@ -7,10 +7,11 @@ raw answer per row. Rendering before it and parsing after it are native
 column expressions, so the Python worker sees each row exactly once.
 
 ``classify`` runs one ``mapInPandas`` pass. The scorer object is built once
-per partition (``factory()`` inside the task), never per row. A failing
-batch is retried with waits of 2**attempt s; after the last attempt each
-row is scored alone, so one bad row does not fail its neighbours (UDF-3/4):
-its error text goes to ``ai_error`` and the job goes on.
+per partition (``factory()`` inside the task), never per row, and called
+with ``batch_size`` rows at a time. A failing call is retried with waits
+of 2**attempt s; after the last attempt each row is scored alone, so one
+bad row does not fail its neighbours (UDF-3/4): its error text goes to
+``ai_error`` and the job goes on.
 
 Scorers may be remote and non-deterministic; Spark may run a task twice.
 Call ``materialize`` (``reviewlens.session``) on the result before more
@@ -101,26 +102,36 @@ class KnnVoteScorer:
         return out
 
 
-def _score_partition(factory: Callable[[], object], max_retries: int, base_wait: float):
+def _score_batch(scorer, sub: pd.DataFrame, max_retries: int, base_wait: float):
+    """Score one sub-batch: retried with waits of base_wait*2**attempt;
+    after the last failure each row is scored alone so one bad row does not
+    fail its neighbours. Returns (answers, errors)."""
+    for attempt in range(max_retries):
+        try:
+            return list(scorer.score(sub)), [None] * len(sub)
+        except Exception:  # noqa: BLE001
+            if attempt < max_retries - 1 and base_wait > 0:
+                time.sleep(base_wait * 2 ** attempt)
+    answers: list[str | None] = [None] * len(sub)
+    errors: list[str | None] = [None] * len(sub)
+    for i in range(len(sub)):  # isolate the failing rows
+        try:
+            answers[i] = scorer.score(sub.iloc[i:i + 1])[0]
+        except Exception as e:  # noqa: BLE001
+            errors[i] = f"{type(e).__name__}: {e}"
+    return answers, errors
+
+
+def _score_partition(factory: Callable[[], object], batch_size: int, max_retries: int, base_wait: float):
     def run(it):
-        scorer = factory()
+        scorer = factory()  # one client per task, not per row
         for pdf in it:
-            answers: list[str | None] = [None] * len(pdf)
-            errors: list[str | None] = [None] * len(pdf)
-            for attempt in range(max_retries):
-                try:
-                    answers = list(scorer.score(pdf))
-                    errors = [None] * len(pdf)
-                    break
-                except Exception:  # noqa: BLE001
-                    if attempt == max_retries - 1:
-                        for i in range(len(pdf)):  # isolate the failing rows
-                            try:
-                                answers[i] = scorer.score(pdf.iloc[i:i + 1])[0]
-                            except Exception as e:  # noqa: BLE001
-                                errors[i] = f"{type(e).__name__}: {e}"
-                    elif base_wait > 0:
-                        time.sleep(base_wait * 2 ** attempt)
+            answers: list[str | None] = []
+            errors: list[str | None] = []
+            for start in range(0, len(pdf), batch_size):
+                a, e = _score_batch(scorer, pdf.iloc[start:start + batch_size], max_retries, base_wait)
+                answers += a
+                errors += e
             yield pdf.assign(ai_raw_response=answers, ai_error=errors).drop(columns=["prompt"])
     return run
 
@@ -128,12 +139,15 @@ def _score_partition(factory: Callable[[], object], max_retries: int, base_wait:
 def classify(df: DataFrame, factory: Callable[[], object], template="few_shot",
              store: str = "store_info", comment: str = "text_info", examples: str | None = None,
              keep: tuple[str, ...] = ("review_id",), context: tuple[str, ...] = (),
-             max_retries: int = 3, base_wait: float = 1.0, partitions: int | None = None) -> DataFrame:
+             batch_size: int = 32, max_retries: int = 3, base_wait: float = 1.0,
+             partitions: int | None = None) -> DataFrame:
     """UDF-1: render (FN-14) -> score (one mapInPandas pass) -> parse
     (FN-17/18 by template). ``template`` is a name or a column of names
     (several templates in one job). Output: ``keep`` columns, template,
     ai_raw_response, ai_error, ai_classification (NULL on error).
-    ``partitions`` bounds the number of concurrent scorer clients."""
+    The scorer gets ``batch_size`` rows per call (Arrow batches are capped
+    by Spark's record and byte limits); ``partitions`` bounds the number of
+    concurrent scorer clients."""
     tpl = F.lit(template) if isinstance(template, str) else template
     cols = [F.col(c) for c in keep] + [tpl.alias("template"), F.col(comment).alias("comment")]
     cols += [F.col(c) for c in context]
@@ -144,7 +158,7 @@ def classify(df: DataFrame, factory: Callable[[], object], template="few_shot",
     if partitions:
         x = x.repartition(partitions)
     schema = x.drop("prompt").schema.add("ai_raw_response", "string").add("ai_error", "string")
-    scored = x.mapInPandas(_score_partition(factory, max_retries, base_wait), schema)
+    scored = x.mapInPandas(_score_partition(factory, batch_size, max_retries, base_wait), schema)
     parsed = F.when(F.col("ai_error").isNull(), parse_for_template(F.col("ai_raw_response"), F.col("template")))
     return scored.select(*keep, "template", "ai_raw_response", "ai_error", parsed.alias("ai_classification"))
 

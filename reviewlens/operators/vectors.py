@@ -68,15 +68,17 @@ def hash_embedding(text, dim: int = 64) -> Column:
 
 
 def embed_batches(df: DataFrame, text_col: str, embed_fn, out_col: str = "embedding",
-                  batch_size: int = 100, dim: int | None = None, max_retries: int = 3) -> DataFrame:
+                  batch_size: int = 100, dim: int | None = None, max_retries: int = 3,
+                  base_wait: float = 1.0) -> DataFrame:
     """UDF-5 for user models: ``embed_fn(list[str]) -> list[list[float]]``
     called per Arrow batch of ``batch_size`` texts inside ``mapInPandas``
     (the client is built once per partition by ``embed_fn`` itself).
-    Retries with waits of 2**attempt s; after the last failure the rows get
+    Retries with waits of base_wait*2**attempt s; after the last failure the rows get
     a zero vector and ``embed_failed = true`` (UDF-4)."""
     import time
 
-    schema = df.schema.add(out_col, "array<float>").add("embed_failed", "boolean")
+    from pyspark.sql.types import ArrayType, BooleanType, FloatType, StructType
+    schema = StructType(list(df.schema.fields)).add(out_col, ArrayType(FloatType())).add("embed_failed", BooleanType())
 
     def run(it):
         for pdf in it:
@@ -94,8 +96,8 @@ def embed_batches(df: DataFrame, text_col: str, embed_fn, out_col: str = "embedd
                         if attempt == max_retries - 1:
                             vecs.extend([[0.0] * (dim or 0)] * len(chunk))
                             failed.extend([True] * len(chunk))
-                        else:
-                            time.sleep(2 ** attempt)
+                        elif base_wait > 0:
+                            time.sleep(base_wait * 2 ** attempt)
             pdf[out_col] = vecs
             pdf["embed_failed"] = failed
             yield pdf
@@ -140,13 +142,15 @@ def _topk_cell(k: int, qid: str, vid: str, carry: list[str], decimals: int, chun
 def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id",
                  vec_id: str = "vec_id", embedding: str = "embedding", carry=("label",),
                  normalize: bool = True, corpus_block_rows: int = 50_000, query_block_rows: int = 20_000,
-                 exclude_self: bool = False, tie_decimals: int = 9) -> DataFrame:
+                 exclude_self: bool = False, tie_decimals: int = 9, skip_failed: bool = True) -> DataFrame:
     """JOIN-4 + WIN-1: exact inner-product top k of every query against the
     corpus (flat-index semantics; cosine after FN-9). Rows:
     (query_id, rank 1..k, vec_id, score, carry...). Fewer than k rows when
     the corpus is smaller than k (JOIN-5). Ranking uses the score rounded
     to ``tie_decimals`` so that float summation order cannot reorder
     equal vectors; exact ties go to the lower vec_id."""
+    if skip_failed and "embed_failed" in corpus.columns:  # UDF-4: zero vectors of failed embeddings
+        corpus = corpus.filter(~F.coalesce(F.col("embed_failed"), F.lit(False)))
     carry = [c for c in carry if c in corpus.columns]
     emb = (l2_normalize(embedding) if normalize else _c(embedding).cast("array<double>")).alias("emb")
     nq = queries.count()

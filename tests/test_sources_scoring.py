@@ -98,3 +98,32 @@ def test_vector_index_skip_unless_forced(spark):
     assert not R.save_vector_index(df, path, "m")
     assert R.save_vector_index(df, path, "m2", force=True)
     assert R.load_vector_index(spark, path)[1].collect()[0].model_name == "m2"
+
+
+class Flaky:
+    """Embedder failing for any batch holding 'bad'."""
+
+    def __call__(self, texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("embedding service down")
+        return [[1.0, float(len(t))] for t in texts]
+
+
+def test_embed_retry_zero_vector_and_skip(spark):
+    from reviewlens.operators.vectors import embed_batches, topk_similar
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "fine!")], "vec_id long, text string").coalesce(1)
+    emb = embed_batches(df, "text", Flaky(), batch_size=1, dim=2, max_retries=2, base_wait=0.0)
+    got = {r.vec_id: r for r in emb.collect()}
+    assert got[2].embed_failed and list(got[2].embedding) == [0.0, 0.0]
+    assert not got[1].embed_failed
+    q = spark.createDataFrame([(9, [0.0, 1.0])], "query_id long, embedding array<float>")
+    hits = topk_similar(q, emb, k=5, carry=()).collect()
+    assert sorted(h.vec_id for h in hits) == [1, 3]      # failed vector left out
+
+
+def test_scorer_sub_batches(spark):
+    df = spark.createDataFrame([(i, "s", "boom" if i == 5 else "ok") for i in range(10)],
+                               "review_id int, store_info string, text_info string").coalesce(1)
+    out = S.classify(df, HalfBroken, template="zero_shot", batch_size=3, base_wait=0.0, max_retries=1)
+    got = {r.review_id: r.ai_error for r in out.collect()}
+    assert [k for k, v in got.items() if v] == [5]
