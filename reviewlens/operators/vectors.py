@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CLASSES, NO_EXAMPLES
-from ..functions.text import embedding_text, let
+from ..constants import CLASSES, NO_CONTENT, NO_EXAMPLES, PY_WS
+from ..functions.text import let
 
 
 def _c(c) -> Column:
@@ -59,7 +59,11 @@ def hash_embedding(text, dim: int = 64) -> Column:
     normalised. Whole texts, pure column expressions, no shuffle: tokens
     are hashed once per row, each bucket count is one native pass
     (``size - size(array_remove)``), no per-element Python or lambda."""
-    toks = F.array_remove(F.split(F.lower(embedding_text(text)), TOKEN_SPLIT), "")
+    # FN-13 without rewriting the text: stripping cannot change the tokens
+    # (white space separates them), only a blank text becomes 'No content'
+    t = _c(text).cast("string")
+    t = F.when(t.isNull() | t.rlike(rf"(?U)^{PY_WS}*$"), F.lit(NO_CONTENT)).otherwise(t)
+    toks = F.array_remove(F.split(F.lower(t), TOKEN_SPLIT), "")
     buckets = F.transform(toks, lambda t: hash_bucket(t, dim))
     counts = let(buckets, lambda b: F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),

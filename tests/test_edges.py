@@ -187,3 +187,19 @@ def test_skew_safe_join_salted_equals_plain(spark, how):
     plain = big.join(small, ["k"], how)
     assert sorted(salted.collect()) == sorted(plain.collect())
     assert salted.count() == plain.count()
+
+
+def test_empty_or_null_matches_python_strip(spark):
+    import random
+    rnd = random.Random(11)
+    ws = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ",
+          " ", "　"]
+    words = ["", "null", "NULL", "None", "nOnE", "nan", "NaN", "nul", "nanx", "x", "0", "null null", "none\nnan"]
+    vals = []
+    for _ in range(400):
+        vals.append("".join(rnd.choice(ws) for _ in range(rnd.randint(0, 3))) + rnd.choice(words)
+                    + "".join(rnd.choice(ws) for _ in range(rnd.randint(0, 3))))
+    df = one_col(spark, vals)
+    got = col_values(df.select("id", T.is_empty_or_null("x").alias("e")), "e")
+    want = [v.strip().lower() in ("", "null", "none", "nan") for v in vals]
+    assert got == want
