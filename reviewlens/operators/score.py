@@ -53,7 +53,10 @@ def rule_answer(cls: str, reason: str, cot: bool) -> str:
 
 class RuleScorer:
     """UDF-2 (a): keyword rules over the comment; needs no model or network.
-    Vectorised over the batch (pandas string methods)."""
+    Vectorised over the batch (pandas string methods), so it takes whole
+    Arrow batches (``batch_size = None``)."""
+
+    batch_size = None
 
     def __init__(self, comment_col: str = "comment", template_col: str = "template"):
         self.comment_col = comment_col
@@ -122,14 +125,16 @@ def _score_batch(scorer, sub: pd.DataFrame, max_retries: int, base_wait: float):
     return answers, errors
 
 
-def _score_partition(factory: Callable[[], object], batch_size: int, max_retries: int, base_wait: float):
+def _score_partition(factory: Callable[[], object], batch_size: int | None, max_retries: int, base_wait: float):
     def run(it):
         scorer = factory()  # one client per task, not per row
+        size = batch_size or getattr(scorer, "batch_size", None)
         for pdf in it:
             answers: list[str | None] = []
             errors: list[str | None] = []
-            for start in range(0, len(pdf), batch_size):
-                a, e = _score_batch(scorer, pdf.iloc[start:start + batch_size], max_retries, base_wait)
+            step = size or max(1, len(pdf))
+            for start in range(0, len(pdf), step):
+                a, e = _score_batch(scorer, pdf.iloc[start:start + step], max_retries, base_wait)
                 answers += a
                 errors += e
             yield pdf.assign(ai_raw_response=answers, ai_error=errors).drop(columns=["prompt"])
@@ -139,15 +144,16 @@ def _score_partition(factory: Callable[[], object], batch_size: int, max_retries
 def classify(df: DataFrame, factory: Callable[[], object], template="few_shot",
              store: str = "store_info", comment: str = "text_info", examples: str | None = None,
              keep: tuple[str, ...] = ("review_id",), context: tuple[str, ...] = (),
-             batch_size: int = 32, max_retries: int = 3, base_wait: float = 1.0,
+             batch_size: int | None = None, max_retries: int = 3, base_wait: float = 1.0,
              partitions: int | None = None) -> DataFrame:
     """UDF-1: render (FN-14) -> score (one mapInPandas pass) -> parse
     (FN-17/18 by template). ``template`` is a name or a column of names
     (several templates in one job). Output: ``keep`` columns, template,
     ai_raw_response, ai_error, ai_classification (NULL on error).
-    The scorer gets ``batch_size`` rows per call (Arrow batches are capped
-    by Spark's record and byte limits); ``partitions`` bounds the number of
-    concurrent scorer clients."""
+    The scorer gets ``batch_size`` rows per call (default: the scorer's own
+    ``batch_size`` attribute, e.g. 32 for a remote model, else the whole
+    Arrow batch, which Spark caps by records and bytes); ``partitions``
+    bounds the number of concurrent scorer clients."""
     tpl = F.lit(template) if isinstance(template, str) else template
     cols = [F.col(c) for c in keep] + [tpl.alias("template"), F.col(comment).alias("comment")]
     cols += [F.col(c) for c in context]

@@ -143,10 +143,26 @@ def _topk_cell(k: int, qid: str, vid: str, carry: list[str], decimals: int, chun
     return fn
 
 
+def block_counts(nq: int, nc: int, corpus_block_rows: int, query_block_rows: int,
+                 min_cells: int) -> tuple[int, int]:
+    """(corpus blocks, query blocks). Block sizes never exceed the row
+    bounds (memory per cell). Below ``min_cells`` cells the blocks are made
+    smaller until every core has a cell, splitting each side in proportion
+    to its size: corpus rows are copied once per query block and queries
+    once per corpus block, so nb/nqb ~ nc/nq keeps the copies smallest."""
+    nb = max(1, math.ceil(nc / corpus_block_rows))
+    nqb = max(1, math.ceil(nq / query_block_rows))
+    if nb * nqb < min_cells:
+        nb = max(nb, min(nc, round(math.sqrt(min_cells * nc / max(nq, 1)))))
+        nqb = max(nqb, min(nq, math.ceil(min_cells / nb)))
+    return nb, nqb
+
+
 def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id",
                  vec_id: str = "vec_id", embedding: str = "embedding", carry=("label",),
                  normalize: bool = True, corpus_block_rows: int = 50_000, query_block_rows: int = 20_000,
-                 exclude_self: bool = False, tie_decimals: int = 9, skip_failed: bool = True) -> DataFrame:
+                 exclude_self: bool = False, tie_decimals: int = 9, skip_failed: bool = True,
+                 min_cells: int | None = None) -> DataFrame:
     """JOIN-4 + WIN-1: exact inner-product top k of every query against the
     corpus (flat-index semantics; cosine after FN-9). Rows:
     (query_id, rank 1..k, vec_id, score, carry...). Fewer than k rows when
@@ -163,8 +179,8 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: st
         return queries.sparkSession.createDataFrame(
             [], f"query_id {queries.schema[query_id].dataType.simpleString()}, rank int, "
                 f"vec_id {corpus.schema[vec_id].dataType.simpleString()}, score double")
-    nb = max(1, math.ceil(nc / corpus_block_rows))
-    nqb = max(1, math.ceil(nq / query_block_rows))
+    nb, nqb = block_counts(nq, nc, corpus_block_rows, query_block_rows,
+                           min_cells or queries.sparkSession.sparkContext.defaultParallelism)
     q = queries.select(F.col(query_id), emb,
                        F.pmod(F.xxhash64(query_id), F.lit(nqb)).alias("qb"),
                        F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("cb"))
