@@ -75,5 +75,7 @@ def q_vector_index_roundtrip(spark, sf_dir):
     R.save_vector_index(idx, path, "hash-64")
     assert not R.save_vector_index(idx, path, "hash-64")  # present: rebuild skipped
     rows, man = R.load_vector_index(spark, path)
-    return rows.crossJoin(F.broadcast(man.select("model_name", "dimension", "total_vectors"))) \
-               .select("vec_id", "label", "norm", "model_name", "dimension", "total_vectors")
+    m = man.first()  # the one-row manifest: read once, attached as constants
+    return rows.select("vec_id", "label", "norm", F.lit(m["model_name"]).alias("model_name"),
+                       F.lit(m["dimension"]).cast("int").alias("dimension"),
+                       F.lit(m["total_vectors"]).cast("long").alias("total_vectors"))
