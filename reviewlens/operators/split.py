@@ -38,7 +38,11 @@ def split_hash(df: DataFrame, key: str, test_ratio: float = 0.1, seed: int = 42,
 
 def split_exact(df: DataFrame, key: str, test_ratio: float = 0.1, seed: int = 42,
                 col: str = "split") -> DataFrame:
-    """Tag exactly ceil(test_ratio * n) rows 'test' (smallest hash first)."""
+    """Tag exactly ceil(test_ratio * n) rows 'test' (smallest hash first).
+
+    ``key`` must be unique per row (the review id): rows are ordered by
+    (md5 prefix, key), and only the rows sharing the boundary 16-bit prefix
+    (about n/65,536) are ranked in one window partition."""
     if not 0 < test_ratio < 1:
         raise ValueError("test_ratio must be between 0 and 1")
     h = df.withColumn("_h", hash_bucket32(key, seed)).withColumn("_b", F.shiftright("_h", 16))

@@ -55,11 +55,13 @@ def scan_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
 
 def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 5000, mode: str = "errorifexists") -> None:
     """Write ``df`` as JSON-array files of about ``rows_per_file`` objects:
-    rows are hash-bucketed on all columns, each bucket becomes one array in
-    its own folder (bounded group size, no single-task write)."""
+    rows are hash-bucketed on all columns plus their position in the input
+    (so even identical duplicate rows spread evenly), each bucket becomes
+    one array in its own folder (bounded group size, no single-task write)."""
     n = df.count()
     buckets = max(1, -(-n // rows_per_file))
-    b = F.pmod(F.xxhash64(*df.columns), F.lit(buckets)).alias("bucket")
+    b = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id(), F.monotonically_increasing_id()),
+               F.lit(buckets)).alias("bucket")
     doc = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*df.columns))), ","), F.lit("]"))
     df.select("*", b).groupBy("bucket").agg(doc.alias("value")) \
       .write.mode(mode).partitionBy("bucket").text(path)
