@@ -222,3 +222,22 @@ def score_reviews(model, df: DataFrame, text: str = "text", keep=("review_id",))
                     binary_label(cat).alias("classification_result"),
                     F.array_max("probabilities").alias("classification_confidence"))
 
+
+
+def score_with_model(df: DataFrame, make_predict_fn, text: str = "text", keep=("review_id",),
+                     batch_size: int = 32) -> DataFrame:
+    """UDF-8 for user models: ``make_predict_fn()`` is called once per
+    Python worker and returns ``predict(texts: np.ndarray) -> logits``
+    (batch x 4, class order); ``predict_batch_udf`` feeds it ``batch_size``
+    rows at a time over Arrow. FN-11 (softmax, argmax, confidence, class,
+    valid/invalid) then runs natively."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    from .evaluate import classify_logits
+
+    predict = predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+    x = df.select(*keep, predict(F.col(text)).alias("logits"))
+    return classify_logits(x, "logits").select(
+        *keep, "predicted_label_id", F.col("classification_category"), F.col("classification_result"),
+        F.col("confidence").alias("classification_confidence"))

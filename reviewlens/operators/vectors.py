@@ -73,12 +73,13 @@ def hash_embedding(text, dim: int = 64) -> Column:
 
 def embed_batches(df: DataFrame, text_col: str, embed_fn, out_col: str = "embedding",
                   batch_size: int = 100, dim: int | None = None, max_retries: int = 3,
-                  base_wait: float = 1.0) -> DataFrame:
+                  base_wait: float = 1.0, on_failure: str = "zero") -> DataFrame:
     """UDF-5 for user models: ``embed_fn(list[str]) -> list[list[float]]``
     called per Arrow batch of ``batch_size`` texts inside ``mapInPandas``
     (the client is built once per partition by ``embed_fn`` itself).
     Retries with waits of base_wait*2**attempt s; after the last failure the rows get
-    a zero vector and ``embed_failed = true`` (UDF-4)."""
+    a zero vector and ``embed_failed = true`` (UDF-4, index side), or the
+    task fails with ``on_failure="raise"`` (query side)."""
     import time
 
     from pyspark.sql.types import ArrayType, BooleanType, FloatType, StructType
@@ -98,6 +99,8 @@ def embed_batches(df: DataFrame, text_col: str, embed_fn, out_col: str = "embedd
                         break
                     except Exception:  # noqa: BLE001
                         if attempt == max_retries - 1:
+                            if on_failure == "raise":  # query side: no silent zero vector
+                                raise
                             vecs.extend([[0.0] * (dim or 0)] * len(chunk))
                             failed.extend([True] * len(chunk))
                         elif base_wait > 0:

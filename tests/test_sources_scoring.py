@@ -127,3 +127,26 @@ def test_scorer_sub_batches(spark):
     out = S.classify(df, HalfBroken, template="zero_shot", batch_size=3, base_wait=0.0, max_retries=1)
     got = {r.review_id: r.ai_error for r in out.collect()}
     assert [k for k, v in got.items() if v] == [5]
+
+
+def test_embed_query_side_raises(spark):
+    from reviewlens.operators.vectors import embed_batches
+    df = spark.createDataFrame([(1, "bad")], "vec_id long, text string")
+    with pytest.raises(Exception, match="embedding service down"):
+        embed_batches(df, "text", Flaky(), dim=2, max_retries=1, base_wait=0.0, on_failure="raise").collect()
+
+
+def make_length_model():
+    import numpy as np
+
+    def predict(texts):
+        n = np.array([len(t) for t in texts], dtype=float)
+        return np.stack([n % 2, 1 - n % 2, np.zeros_like(n), np.zeros_like(n)], axis=1) * 5.0
+    return predict
+
+
+def test_score_with_user_model(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "abc")], "review_id int, text string")
+    got = {r.review_id: r for r in S.score_with_model(df, make_length_model).collect()}
+    assert got[1].classification_category == "advertisement" and got[1].classification_result == "invalid"
+    assert got[2].classification_category == "valid" and got[2].classification_confidence > 0.9
