@@ -3,9 +3,10 @@
 A single store (join key) may hold a third of all reviews, so a plain
 shuffle join would put a third of the data in one task. Strategy:
 
-1. the dimension side is broadcast only after its size was measured in
-   one distributed pass (row count and bytes, partial aggregation, no data
-   moved to one task) and found under both bounds;
+1. the dimension side is broadcast only after its size was measured
+   (a column-pruned row count, then, only if that is under its bound, a
+   byte count; both partial aggregations, no data moved to one task) and
+   found under both bounds;
 2. otherwise hot keys are found with a pre-aggregated key count of the
    big side (``groupBy(key).count()``: map-side combine, one row per key
    crosses the network). Keys with at least ``hot_rows`` rows get
@@ -44,7 +45,11 @@ def size_estimate(df: DataFrame) -> tuple[int, int]:
 
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                    max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes."""
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.
+    Rows are counted first (column-pruned, cheap even for a big side); the
+    byte pass only runs when the row count is already under its bound."""
+    if df.count() > max_rows:
+        return False
     n, b = size_estimate(df)
     return n <= max_rows and b <= max_bytes
 
@@ -69,6 +74,8 @@ def skew_safe_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "
         raise ValueError(f"unsupported join type for skew_safe_join: {how}")
     if fits_broadcast(small, max_broadcast_rows, max_broadcast_bytes):
         return big.join(F.broadcast(small), on, how)
+    if big.isStreaming:  # no key count on an unbounded input: stream-static join, AQE off for streams
+        return big.join(small, on, how)
     hot = F.broadcast(hot_keys(big, on, hot_rows, max_salts))
     cols = salt_from or big.columns
     b = big.join(hot, on, "left").withColumn(

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASSES, NO_CONTENT, NO_EXAMPLES, PY_WS
 from ..functions.text import let
+from .join import skew_safe_join
 
 
 def _c(c) -> Column:
@@ -234,7 +235,10 @@ def examples_text(queries: DataFrame, hits: DataFrame, meta: DataFrame, query_id
                      F.coalesce(F.col("_t"), F.lit("")), F.lit('"\nClassification: '),
                      F.coalesce(F.col("_l"), F.lit("")))
     items = F.sort_array(F.collect_list(F.struct("rank", block.alias("b"), F.col("_l").alias("l"))))
-    per_q = (h.join(m, vec_id, "inner").groupBy(query_id).agg(items.alias("_items"))
+    # a popular corpus vector can be a neighbour of a large share of all
+    # queries (hubness): the hits side may hold a hot vec_id, so join skew-safe
+    hm = skew_safe_join(h, m, [vec_id], "inner", salt_from=[query_id, "rank"])
+    per_q = (hm.groupBy(query_id).agg(items.alias("_items"))
              .select(query_id, F.array_join(F.transform("_items", lambda s: s["b"]), "\n\n").alias("examples"),
                      F.transform("_items", lambda s: s["l"]).alias("example_labels")))
     out = queries.select(query_id).join(per_q, query_id, "left")
