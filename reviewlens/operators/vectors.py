@@ -113,10 +113,15 @@ def embed_batches(df: DataFrame, text_col: str, embed_fn, out_col: str = "embedd
     return df.mapInPandas(run, schema)
 
 
-def _topk_cell(k: int, qid: str, vid: str, carry: list[str], decimals: int, chunk: int = 512):
+CELL_SCORE_ELEMENTS = 1 << 24   # score-matrix elements per query chunk (~128 MB as float64)
+BLOCK_FLOATS = 1 << 25          # corpus block floats (~256 MB as float64)
+
+
+def _topk_cell(k: int, qid: str, vid: str, carry: list[str], decimals: int):
     """Per-cell scorer: dense product in float64, then each query's top k by
     (score rounded to ``decimals`` desc, vec_id asc); only those k rows leave
-    the Python worker."""
+    the Python worker. Queries are scored in chunks sized so one score
+    matrix stays near ``CELL_SCORE_ELEMENTS`` elements."""
     def fn(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "vec_id", "score", "rscore"] + carry
         if len(q) == 0 or len(c) == 0:
@@ -125,6 +130,7 @@ def _topk_cell(k: int, qid: str, vid: str, carry: list[str], decimals: int, chun
         cids = c[vid].to_numpy()
         qids = q[qid].to_numpy()
         kk = min(k, len(c))
+        chunk = max(1, min(4096, CELL_SCORE_ELEMENTS // len(c)))
         out_q, out_i, out_s, out_r = [], [], [], []
         for s in range(0, len(q), chunk):
             qm = np.stack(q["emb"].iloc[s:s + chunk].to_numpy()).astype(np.float64)
@@ -178,7 +184,10 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: st
     carry = [c for c in carry if c in corpus.columns]
     emb = (l2_normalize(embedding) if normalize else _c(embedding).cast("array<double>")).alias("emb")
     nq = queries.count()
-    nc = corpus.count()
+    st = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(embedding)).alias("d")).first()
+    nc, dim = int(st["n"]), int(st["d"] or 1)
+    # memory per cell: a corpus block holds at most BLOCK_FLOATS numbers
+    corpus_block_rows = max(1, min(corpus_block_rows, BLOCK_FLOATS // max(dim, 1)))
     if nq == 0 or nc == 0:
         return queries.sparkSession.createDataFrame(
             [], f"query_id {queries.schema[query_id].dataType.simpleString()}, rank int, "
