@@ -105,6 +105,24 @@ class KnnVoteScorer:
         return out
 
 
+class FunctionScorer:
+    """UDF-2 remote back end: wraps a user function ``fn(prompts: list[str])
+    -> list[str]`` (an HTTP client, a local model...). Called with
+    ``batch_size`` prompts at a time; build the client inside ``fn`` lazily
+    or pass ``lambda: FunctionScorer(make_client())`` as the factory so it
+    is created once per task."""
+
+    def __init__(self, fn, batch_size: int | None = 32):
+        self.fn = fn
+        self.batch_size = batch_size
+
+    def score(self, batch: pd.DataFrame) -> list[str]:
+        out = list(self.fn(batch["prompt"].tolist()))
+        if len(out) != len(batch):
+            raise ValueError(f"scorer returned {len(out)} answers for {len(batch)} prompts")
+        return out
+
+
 def _score_batch(scorer, sub: pd.DataFrame, max_retries: int, base_wait: float):
     """Score one sub-batch: retried with waits of base_wait*2**attempt;
     after the last failure each row is scored alone so one bad row does not

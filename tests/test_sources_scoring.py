@@ -150,3 +150,15 @@ def test_score_with_user_model(spark):
     got = {r.review_id: r for r in S.score_with_model(df, make_length_model).collect()}
     assert got[1].classification_category == "advertisement" and got[1].classification_result == "invalid"
     assert got[2].classification_category == "valid" and got[2].classification_confidence > 0.9
+
+
+def echo_model(prompts):
+    return ["Classification: irrelevant" if "cat" in p else "I think advertisement" for p in prompts]
+
+
+def test_function_scorer(spark):
+    df = spark.createDataFrame([(1, "s", "my cat"), (2, "s", "buy now")],
+                               "review_id int, store_info string, text_info string")
+    out = S.classify(df, lambda: S.FunctionScorer(echo_model, batch_size=1), template="zero_shot", base_wait=0.0)
+    got = {r.review_id: r.ai_classification for r in out.collect()}
+    assert got == {1: "irrelevant", 2: "advertisement"}
