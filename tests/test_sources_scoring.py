@@ -153,11 +153,11 @@ def test_score_with_user_model(spark):
 
 
 def echo_model(prompts):
-    return ["Classification: irrelevant" if "cat" in p else "I think advertisement" for p in prompts]
+    return ["Classification: irrelevant" if "zebra" in p else "I think advertisement" for p in prompts]
 
 
 def test_function_scorer(spark):
-    df = spark.createDataFrame([(1, "s", "my cat"), (2, "s", "buy now")],
+    df = spark.createDataFrame([(1, "s", "my zebra"), (2, "s", "buy now")],
                                "review_id int, store_info string, text_info string")
     out = S.classify(df, lambda: S.FunctionScorer(echo_model, batch_size=1), template="zero_shot", base_wait=0.0)
     got = {r.review_id: r.ai_classification for r in out.collect()}
