@@ -1,0 +1,57 @@
+"""The file-to-file stages end to end on files written from the sf0.001 tables."""
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+import __spark_entry__ as E
+from reviewlens import pipelines as P
+from reviewlens.constants import CLASSES
+from reviewlens.operators import score as S
+from reviewlens.plans import fixtures as fx
+from reviewlens.session import checkpoint_dir
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_prepare_classify_profile_index_evaluate(spark):
+    base = os.path.join(checkpoint_dir(spark), f"pipe-{uuid.uuid4().hex}")
+    meta = fx.fx_meta(spark, SF).withColumn("hours", F.struct(F.lit("9").alias("open"), F.lit("17").alias("close")))
+    meta.write.json(os.path.join(base, "meta"))
+    fx.fx_review(spark, SF).write.json(os.path.join(base, "review"))
+    rschema = StructType(list(P.REVIEW_SCHEMA.fields) + [StructField("review_id", LongType())])
+
+    prep = P.prepare(spark, os.path.join(base, "meta"), os.path.join(base, "review"), os.path.join(base, "out"),
+                     review_schema=rschema)
+    expected = E.queries()["composed_reviews"](spark, SF)
+    assert sorted(prep["composed"].select("review_id", "text_info").collect()) == \
+        sorted(expected.select("review_id", "text_info").collect())
+    n = prep["composed"].count()
+    assert prep["train"].count() + prep["test"].count() == n
+    assert prep["test"].count() == -(-n // 10)
+
+    train = P.classify(prep["train"], os.path.join(base, "train_cls"), "zero_shot", base_wait=0.0, csv=True)
+    test = P.classify(prep["test"], os.path.join(base, "test_cls"), "few_shot_cot", base_wait=0.0)
+    assert train.count() == prep["train"].count()
+    assert set(r.ai_classification for r in train.collect()) <= set(CLASSES)
+
+    prof = P.profile(train, test)
+    assert prof["scalars"].count() == 2
+
+    idx, man = P.build_index(train, os.path.join(base, "index"))
+    assert man.first()["total_vectors"] == idx.count() == train.count()
+
+    rag = P.classify(prep["test"], os.path.join(base, "rag_cls"), "cot_rag", factory=S.KnnVoteScorer,
+                     index_path=os.path.join(base, "index"), base_wait=0.0)
+    assert rag.count() == prep["test"].count()
+
+    truth = fx.fx_gt(spark, SF)
+    preds = train.unionByName(test, allowMissingColumns=True).select("review_id", "ai_classification")
+    truth = truth.join(preds, "review_id", "left_semi")
+    preds = preds.join(truth, "review_id", "left_semi")
+    res = P.evaluate(truth, preds, json_path=os.path.join(base, "metrics.json"))
+    assert res["per_class"].count() == 4
+    assert res["overall"].first()["n_rows"] == truth.count()
+    assert spark.read.text(os.path.join(base, "metrics.json")).count() == 1
