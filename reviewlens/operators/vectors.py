@@ -246,7 +246,7 @@ def examples_text(queries: DataFrame, hits: DataFrame, meta: DataFrame, query_id
     items = F.sort_array(F.collect_list(F.struct("rank", block.alias("b"), F.col("_l").alias("l"))))
     # a popular corpus vector can be a neighbour of a large share of all
     # queries (hubness): the hits side may hold a hot vec_id, so join skew-safe
-    hm = skew_safe_join(h, m, [vec_id], "inner", salt_from=[query_id, "rank"])
+    hm = skew_safe_join(h, m, [vec_id], "inner", salt_from=[query_id, "rank"], materialize_big=True)
     per_q = (hm.groupBy(query_id).agg(items.alias("_items"))
              .select(query_id, F.array_join(F.transform("_items", lambda s: s["b"]), "\n\n").alias("examples"),
                      F.transform("_items", lambda s: s["l"]).alias("example_labels")))

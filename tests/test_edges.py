@@ -203,3 +203,12 @@ def test_empty_or_null_matches_python_strip(spark):
     got = col_values(df.select("id", T.is_empty_or_null("x").alias("e")), "e")
     want = [v.strip().lower() in ("", "null", "none", "nan") for v in vals]
     assert got == want
+
+
+def test_skew_safe_join_materialized_big_side(spark):
+    from reviewlens.operators.join import skew_safe_join
+    big = spark.range(500).select(F.col("id").alias("rid"), (F.col("id") % 3).cast("string").alias("k"))
+    small = spark.createDataFrame([("0", "a"), ("1", "b")], "k string, v string")
+    got = skew_safe_join(big, small, ["k"], "inner", salt_from=["rid"], max_broadcast_rows=0, hot_rows=50,
+                         materialize_big=True)
+    assert sorted(got.collect()) == sorted(big.join(small, ["k"]).collect())
