@@ -45,6 +45,8 @@ def split_exact(df: DataFrame, key: str, test_ratio: float = 0.1, seed: int = 42
     (about n/65,536) are ranked in one window partition."""
     if not 0 < test_ratio < 1:
         raise ValueError("test_ratio must be between 0 and 1")
+    from ..session import stable  # read twice (prefix counts, then tagging): never re-run a model
+    df = stable(df, "split-input")
     h = df.withColumn("_h", hash_bucket32(key, seed)).withColumn("_b", F.shiftright("_h", 16))
     # bounded table: one row per 16-bit prefix present (<= 65,536 rows)
     buckets = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -56,3 +56,23 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+_PYTHON_NODES = ("MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas",
+                 "ArrowEvalPython", "BatchEvalPython", "PythonUDF", "pythonUDF", "PythonMapInArrow")
+
+
+def has_python_stage(df: DataFrame) -> bool:
+    """True when ``df``'s plan runs Python code (a model call, a pandas stage)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(n in plan for n in _PYTHON_NODES)
+
+
+def stable(df: DataFrame, name: str = "stable") -> DataFrame:
+    """``df`` itself when recomputing it is cheap and repeatable; written
+    once to the shared checkpoint folder when its plan calls Python (models
+    may be slow, remote or non-deterministic), for operators that read
+    their input more than once."""
+    if df.isStreaming or not has_python_stage(df):
+        return df
+    return materialize(df, name)

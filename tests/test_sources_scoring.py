@@ -162,3 +162,13 @@ def test_function_scorer(spark):
     out = S.classify(df, lambda: S.FunctionScorer(echo_model, batch_size=1), template="zero_shot", base_wait=0.0)
     got = {r.review_id: r.ai_classification for r in out.collect()}
     assert got == {1: "irrelevant", 2: "advertisement"}
+
+
+def test_python_stage_written_once_before_reuse(spark):
+    from reviewlens.session import has_python_stage, stable
+    df = spark.createDataFrame([(1, "s", "free")], "review_id int, store_info string, text_info string")
+    scored = S.classify(df, S.RuleScorer, template="zero_shot", base_wait=0.0)
+    assert has_python_stage(scored) and not has_python_stage(df)
+    assert stable(df) is df
+    st = stable(scored)
+    assert not has_python_stage(st) and st.collect()[0].ai_classification == "advertisement"
