@@ -170,7 +170,9 @@ def metrics_report(per_class: DataFrame, overall: DataFrame, by=()) -> DataFrame
 
 def evaluate(df: DataFrame, y_true="y_true", y_pred="y_pred", labels=CLASSES, by=()):
     """Counts, per-class, overall and confusion for one prediction table."""
-    counts = prediction_counts(df, y_true, y_pred, labels, by)
+    from ..session import stable
+    # feeds four result tables: written once (it is tiny) when a model upstream would rerun
+    counts = stable(prediction_counts(df, y_true, y_pred, labels, by), "eval-counts")
     pc = per_class_metrics(counts, labels, by)
     return {"counts": counts, "per_class": pc, "overall": overall_metrics(pc, by),
             "confusion": confusion_matrix(counts, labels, by)}

@@ -76,13 +76,13 @@ def skew_safe_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "
     writes it once to the shared checkpoint folder first."""
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type for skew_safe_join: {how}")
+    from ..session import materialize, stable  # both sides are read more than once below
+    small = stable(small, "join-small")
     if fits_broadcast(small, max_broadcast_rows, max_broadcast_bytes):
         return big.join(F.broadcast(small), on, how)
     if big.isStreaming:  # no key count on an unbounded input: stream-static join, AQE off for streams
         return big.join(small, on, how)
-    if materialize_big:
-        from ..session import materialize
-        big = materialize(big, "join-big")
+    big = materialize(big, "join-big") if materialize_big else stable(big, "join-big")
     hot = F.broadcast(hot_keys(big, on, hot_rows, max_salts))
     cols = salt_from or big.columns
     b = big.join(hot, on, "left").withColumn(

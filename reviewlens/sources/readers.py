@@ -58,6 +58,8 @@ def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 5000, mode:
     rows are hash-bucketed on all columns plus their position in the input
     (so even identical duplicate rows spread evenly), each bucket becomes
     one array in its own folder (bounded group size, no single-task write)."""
+    from ..session import stable
+    df = stable(df, "json-arrays-input")  # counted, then written
     n = df.count()
     buckets = max(1, -(-n // rows_per_file))
     b = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id(), F.monotonically_increasing_id()),
