@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -46,6 +46,37 @@ def blank_lines(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.trim(F.col("value")) == "").select("file"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the text files under ``path`` with its 1-based line
+    number within its file, computed without collecting any file:
+    (partition, position) ids per line, a small table of line counts per
+    (file, partition), a running sum per file for each partition's offset.
+    A file's splits are packed into partitions in offset order."""
+    t = (spark.read.text(path)
+         .select(F.input_file_name().alias("file"), F.spark_partition_id().alias("_p"),
+                 F.monotonically_increasing_id().alias("_id"), "value"))
+    per = t.groupBy("file", "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    w = Window.partitionBy("file").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    off = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("file", "_p", "_first", "_off")
+    # one row per (file, partition): bounded by the number of input splits
+    return (t.join(F.broadcast(off), ["file", "_p"])
+            .select("file", (F.col("_off") + F.col("_id") - F.col("_first") + 1).alias("line_number"), "value"))
+
+
+def jsonl_problems(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-1 report: blank lines and undecodable lines (not JSON, or JSON
+    that is neither an object nor an array of objects), with file and line
+    number; the tolerant scan skips exactly these."""
+    n = numbered_lines(spark, path)
+    v = F.try_parse_json(F.col("value"))
+    kind = F.schema_of_variant(v)
+    blank = F.trim(F.col("value")) == ""
+    ok = v.isNotNull() & (kind.startswith("OBJECT") | kind.startswith("ARRAY<OBJECT"))
+    return (n.select("file", "line_number", F.when(blank, F.lit("blank")).when(~ok, F.lit("undecodable"))
+                     .alias("problem"), F.col("value").alias("line"))
+            .filter(F.col("problem").isNotNull()))
+
+
 def scan_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """SRC-2: files each holding one JSON array of objects (multi-line).
     One file is parsed by one task, so write many moderate files rather

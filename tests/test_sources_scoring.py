@@ -172,3 +172,34 @@ def test_python_stage_written_once_before_reuse(spark):
     assert stable(df) is df
     st = stable(scored)
     assert not has_python_stage(st) and st.collect()[0].ai_classification == "advertisement"
+
+
+def test_jsonl_problems_by_line_number(spark):
+    path = scratch(spark, "jsonl-lines")
+    os.makedirs(path)
+    lines = ['{"gmap_id":"a","text":"x"}', "", '{"gmap_id":"b","te', "[1,2]", '"str"',
+             '[{"gmap_id":"c"},{"gmap_id":"d"}]', '{"gmap_id":"e"}']
+    with open(os.path.join(path, "part.json"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    rep = {(r.line_number, r.problem) for r in R.jsonl_problems(spark, path).collect()}
+    assert rep == {(2, "blank"), (3, "undecodable"), (4, "undecodable"), (5, "undecodable")}
+
+
+def test_line_numbers_across_split_file(spark):
+    path = scratch(spark, "lines")
+    os.makedirs(path)
+    n = 30000
+    with open(os.path.join(path, "big.txt"), "w") as f:
+        f.write("".join(f"row {i:08d} {'x' * 40}\n" for i in range(1, n + 1)))
+    with open(os.path.join(path, "small.txt"), "w") as f:
+        f.write("a\nb\nc\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")  # big file in several splits
+    try:
+        got = R.numbered_lines(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    big = {r.line_number: r.value for r in got if r.file.endswith("big.txt")}
+    assert len(big) == n and all(big[i].startswith(f"row {i:08d}") for i in (1, 2, 9999, n))
+    assert all(v.startswith(f"row {k:08d}") for k, v in big.items())
+    small = sorted((r.line_number, r.value) for r in got if r.file.endswith("small.txt"))
+    assert small == [(1, "a"), (2, "b"), (3, "c")]
