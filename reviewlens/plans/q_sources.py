@@ -31,14 +31,30 @@ def q_scan_jsonl(spark, sf_dir):
     """SRC-1: reviews written as NDJSON with truncated objects (every 23rd
     id) and blank lines (every 19th) in place of some rows; the tolerant
     scan returns the decodable rows and keeps the bad lines apart."""
+    r, path = _jsonl_with_problems(spark, sf_dir)
+    good, _ = R.scan_jsonl(spark, path, r.schema)
+    return good
+
+
+def _jsonl_with_problems(spark, sf_dir):
     r = fx.fx_review(spark, sf_dir)
     line = F.to_json(F.struct(*r.columns))
     i = F.col("review_id")
     out = F.when(i % 23 == 0, F.substring(line, 1, 15)).when(i % 19 == 0, F.lit("")).otherwise(line)
     path = _scratch(spark, "jsonl")
     r.select(out.alias("value")).write.text(path)
-    good, _ = R.scan_jsonl(spark, path, r.schema)
-    return good
+    return r, path
+
+
+@query("scan_jsonl_problems", with_ctes("""SELECT problem, count(*) AS n_lines FROM (
+  SELECT CASE WHEN review_id % 23 = 0 THEN 'undecodable' WHEN review_id % 19 = 0 THEN 'blank' END AS problem
+  FROM fx_review) WHERE problem IS NOT NULL GROUP BY problem""", "fx_review"))
+def q_scan_jsonl_problems(spark, sf_dir):
+    """SRC-1 report: the same NDJSON file; blank and undecodable lines found
+    with file and line number (distributed numbering), counted per kind."""
+    _, path = _jsonl_with_problems(spark, sf_dir)
+    rep = R.jsonl_problems(spark, path)
+    return rep.groupBy("problem").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("scan_json_array", with_ctes(f"SELECT {REVIEW_COLS} FROM fx_review", "fx_review"))
