@@ -14,6 +14,8 @@ text formats that downstream parsing and evaluation rely on):
 - empty embedding text replacement: "No content"
 - no retrieved examples: "No similar examples found."
 - unknown category: "Unknown"
+- model call settings: max_tokens 1024 (2048 for the cot_rag template),
+  temperature 0.1
 """
 
 CLASSES = ["valid", "advertisement", "irrelevant", "rants without visit"]
@@ -32,3 +34,7 @@ OTHER_LABEL = "__other__"
 # (used with the (?U) flag so \s is Unicode White_Space; Python also
 # counts the four information separators U+001C..U+001F as space).
 PY_WS = r"[\s\x{1c}-\x{1f}]"
+
+MAX_TOKENS = 1024
+MAX_TOKENS_RAG = 2048
+TEMPERATURE = 0.1

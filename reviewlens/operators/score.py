@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CLASSES, ERROR_PREFIX
+from ..constants import CLASSES, ERROR_PREFIX, MAX_TOKENS, MAX_TOKENS_RAG, TEMPERATURE
 from ..functions.parse import parse_for_template
 from ..functions.prompts import render_prompt
 
@@ -42,6 +42,7 @@ RULE_KEYWORDS = [
     ("rants without visit", ["never been", "never visited", "heard that"]),
 ]
 COT_TEMPLATES = ("few_shot_cot", "cot_rag")
+NULL_PROMPT_ERROR = "ValueError: prompt could not be rendered (NULL store or comment)"
 
 
 def rule_answer(cls: str, reason: str, cot: bool) -> str:
@@ -105,19 +106,37 @@ class KnnVoteScorer:
         return out
 
 
+def generation_params(template: str) -> dict:
+    """Model call settings per template (more room for retrieval answers)."""
+    return {"max_tokens": MAX_TOKENS_RAG if template == "cot_rag" else MAX_TOKENS, "temperature": TEMPERATURE}
+
+
 class FunctionScorer:
     """UDF-2 remote back end: wraps a user function ``fn(prompts: list[str])
     -> list[str]`` (an HTTP client, a local model...). Called with
     ``batch_size`` prompts at a time; build the client inside ``fn`` lazily
     or pass ``lambda: FunctionScorer(make_client())`` as the factory so it
-    is created once per task."""
+    is created once per task. With ``with_params`` the call also gets
+    ``max_tokens`` and ``temperature`` for the rows' template."""
 
-    def __init__(self, fn, batch_size: int | None = 32):
+    def __init__(self, fn, batch_size: int | None = 32, with_params: bool = False):
         self.fn = fn
         self.batch_size = batch_size
+        self.with_params = with_params
 
     def score(self, batch: pd.DataFrame) -> list[str]:
-        out = list(self.fn(batch["prompt"].tolist()))
+        if not self.with_params:
+            out = list(self.fn(batch["prompt"].tolist()))
+        else:
+            out = [None] * len(batch)
+            tpl = batch["template"].to_numpy()
+            for t in pd.unique(tpl):
+                pos = [i for i in range(len(batch)) if tpl[i] == t]
+                res = list(self.fn(batch["prompt"].iloc[pos].tolist(), **generation_params(t)))
+                if len(res) != len(pos):
+                    raise ValueError(f"scorer returned {len(res)} answers for {len(pos)} prompts")
+                for i, r in zip(pos, res):
+                    out[i] = r
         if len(out) != len(batch):
             raise ValueError(f"scorer returned {len(out)} answers for {len(batch)} prompts")
         return out
@@ -151,10 +170,18 @@ def _score_partition(factory: Callable[[], object], batch_size: int | None, max_
             answers: list[str | None] = []
             errors: list[str | None] = []
             step = size or max(1, len(pdf))
-            for start in range(0, len(pdf), step):
-                a, e = _score_batch(scorer, pdf.iloc[start:start + step], max_retries, base_wait)
+            ok = pdf["prompt"].notna().to_numpy()
+            todo = pdf[ok]
+            for start in range(0, len(todo), step):
+                a, e = _score_batch(scorer, todo.iloc[start:start + step], max_retries, base_wait)
                 answers += a
                 errors += e
+            if not ok.all():  # FN-14: a NULL store or comment cannot be rendered -> error row
+                full_a: list[str | None] = [None] * len(pdf)
+                full_e: list[str | None] = [NULL_PROMPT_ERROR] * len(pdf)
+                for i, a, e in zip(ok.nonzero()[0], answers, errors):
+                    full_a[i], full_e[i] = a, e
+                answers, errors = full_a, full_e
             yield pdf.assign(ai_raw_response=answers, ai_error=errors).drop(columns=["prompt"])
     return run
 

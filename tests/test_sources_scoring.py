@@ -203,3 +203,20 @@ def test_line_numbers_across_split_file(spark):
     assert all(v.startswith(f"row {k:08d}") for k, v in big.items())
     small = sorted((r.line_number, r.value) for r in got if r.file.endswith("small.txt"))
     assert small == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_null_store_is_error_row_and_params_passed(spark):
+    seen = []
+
+    df = spark.createDataFrame([(1, None, "fine"), (2, "s", "fine"), (3, "s", "free")],
+                               "review_id int, store_info string, text_info string").coalesce(1)
+    out = {r.review_id: r for r in S.classify(df, S.RuleScorer, template="zero_shot", base_wait=0.0).collect()}
+    assert out[1].ai_error.startswith("ValueError: prompt could not be rendered")
+    assert out[2].ai_classification == "valid" and out[3].ai_classification == "advertisement"
+    pdf = __import__("pandas").DataFrame({"prompt": ["a", "b"], "template": ["cot_rag", "zero_shot"]})
+
+    def fn(prompts, max_tokens, temperature):
+        seen.append((tuple(prompts), max_tokens, temperature))
+        return ["Classification: valid"] * len(prompts)
+    S.FunctionScorer(fn, with_params=True).score(pdf)
+    assert sorted(seen) == [(("a",), 2048, 0.1), (("b",), 1024, 0.1)]
