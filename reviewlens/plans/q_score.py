@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .oracle import with_ctes
+from .q_evaluate import LABS, _report_sql
 from .q_vectors import K, RAG_SQL, rag_hits
 from .registry import composed, query, split_labelled
 from ..constants import CLASSES
@@ -145,3 +146,26 @@ def q_stream_classify(spark, sf_dir):
     q, sink = classify_stream(reviews, fx.fx_meta(spark, sf_dir), S.RuleScorer, template="zero_shot")
     q.awaitTermination()
     return spark.read.parquet(sink).select("review_id", "template", "ai_classification", "ai_raw_response")
+
+
+def _tpl_values_sql() -> str:
+    return ", ".join(f"('{t}')" for t in SWEEP)
+
+
+@query("classify_metrics", with_ctes(f"""WITH cls AS (SELECT review_id, t.template, {RCLS} AS y_pred
+  FROM fx_composed CROSS JOIN (VALUES {_tpl_values_sql()}) AS t(template)),
+tbase AS (SELECT c.template, c.review_id, g.label AS y_true, c.y_pred FROM cls c JOIN fx_gt g ON c.review_id = g.review_id
+  WHERE NOT coalesce(starts_with(c.y_pred, 'ERROR:'), false)),
+""" + _report_sql("tbase", LABS, "template"), "fx_composed", "fx_gt"))
+def q_classify_metrics(spark, sf_dir):
+    """PIPE-4 -> PIPE-5: the keyword scorer's answers for three templates
+    (one scoring pass) evaluated against the truth labels of the reviews
+    that have one, one metrics report per template (one shuffle)."""
+    c = composed(spark, sf_dir)
+    x = c.select("*", F.explode(F.array(*[F.lit(t) for t in SWEEP])).alias("tpl"))
+    pred = S.with_error_text(S.classify(x, S.RuleScorer, template=F.col("tpl"), base_wait=0.0))
+    truth = fx.fx_gt(spark, sf_dir).withColumnRenamed("label", "y_true")
+    a = ev.filter_error_predictions(
+        pred.select("review_id", "template", F.col("ai_classification").alias("y_pred")).join(truth, "review_id"))
+    r = ev.evaluate(a, by=["template"])
+    return ev.metrics_report(r["per_class"], r["overall"], by=["template"])
