@@ -35,15 +35,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and must be shared storage.
-    Only when it is unset (local tests) a private temp folder is created.
-    """
+    Otherwise the SparkContext's checkpoint folder is used if one was set;
+    only when neither exists (local tests) a private temp folder is created
+    and registered with ``setCheckpointDir`` (the core setting itself cannot
+    be changed at run time)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc = spark.sparkContext
+    if d:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+        return d
+    cp = sc.getCheckpointDir()
+    if cp is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="reviewlens-ckpt-"))
+        cp = sc.getCheckpointDir()
+    return cp[len("file:"):] if cp.startswith("file:") else cp
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
