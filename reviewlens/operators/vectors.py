@@ -190,10 +190,12 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: st
     nc, dim = int(st["n"]), int(st["d"] or 1)
     # memory per cell: a corpus block holds at most BLOCK_FLOATS numbers
     corpus_block_rows = max(1, min(corpus_block_rows, BLOCK_FLOATS // max(dim, 1)))
-    if nq == 0 or nc == 0:
-        return queries.sparkSession.createDataFrame(
+    if nq == 0 or nc == 0:  # same columns as a non-empty result, no rows
+        empty = queries.sparkSession.createDataFrame(
             [], f"query_id {queries.schema[query_id].dataType.simpleString()}, rank int, "
-                f"vec_id {corpus.schema[vec_id].dataType.simpleString()}, score double")
+                f"vec_id {corpus.schema[vec_id].dataType.simpleString()}, score double"
+                + "".join(f", {x} {corpus.schema[x].dataType.simpleString()}" for x in carry))
+        return empty.withColumnRenamed("query_id", query_id) if query_id != "query_id" else empty
     nb, nqb = block_counts(nq, nc, corpus_block_rows, query_block_rows,
                            min_cells or queries.sparkSession.sparkContext.defaultParallelism)
     q = queries.select(F.col(query_id), emb,

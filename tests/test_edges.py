@@ -212,3 +212,11 @@ def test_skew_safe_join_materialized_big_side(spark):
     got = skew_safe_join(big, small, ["k"], "inner", salt_from=["rid"], max_broadcast_rows=0, hot_rows=50,
                          materialize_big=True)
     assert sorted(got.collect()) == sorted(big.join(small, ["k"]).collect())
+
+
+def test_topk_empty_sides_keep_schema(spark):
+    q = spark.createDataFrame([], "query_id long, embedding array<float>")
+    c = _vecs(spark, [(1, [1.0, 0.0], "valid")], "vec_id")
+    out = V.topk_similar(q, c, k=3)
+    assert out.columns == ["query_id", "rank", "vec_id", "score", "label"] and out.count() == 0
+    assert V.knn_vote(out).count() == 0
