@@ -29,12 +29,20 @@ def with_extracted(df: DataFrame, text_col: str = "text_info", store_col: str =
 
 def value_counts(df: DataFrame, col: str, by=(), share_of: str = "all") -> DataFrame:
     """AGG-1/2: counts per non-null value, descending (ties by value), with
-    the share of all rows (``share_of='all'``) or of non-null rows."""
+    the share of all rows (``share_of='all'``) or of non-null rows.
+
+    The denominator is a scalar subquery (or a per-group total joined on
+    the ``by`` keys), never a key-less window: the table of distinct values
+    (e.g. free-text categories) is never moved into one task."""
     g = df.groupBy(*by, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    total = F.sum("n").over(w) if share_of == "all" else F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).over(w)
+    tot = F.sum("n") if share_of == "all" else F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+    if by:
+        g = g.join(g.groupBy(*by).agg(tot.alias("_total")), list(by))
+        total = F.col("_total")
+    else:
+        total = g.select(tot).scalar()
     out = g.withColumn("pct", F.col("n") * 100.0 / total).filter(F.col("value").isNotNull())
-    return out.withColumnRenamed("value", col).orderBy(*by, F.desc("n"), col)
+    return out.select(*by, F.col("value").alias(col), "n", "pct").orderBy(*by, F.desc("n"), col)
 
 
 def class_distribution(df: DataFrame, col: str = "ai_classification", by=()) -> DataFrame:
@@ -161,15 +169,16 @@ def category_overlap(train: DataFrame, test: DataFrame, col: str = "store_catego
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     only_a = F.col("_a").isNotNull() & F.col("_b").isNull()
     only_b = F.col("_a").isNull() & F.col("_b").isNotNull()
-    # the first five names need an order over the side-only sets: ranked per
-    # side by a window over the (small) distinct-category table
     side = F.when(both, "common").when(only_a, "train_only").otherwise("test_only")
     r = j.select(F.col(col), side.alias("side"))
-    r = r.withColumn("_r", F.row_number().over(Window.partitionBy("side").orderBy(col)))
-    return r.groupBy("side").agg(
-        F.count(F.lit(1)).alias("n_categories"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_r") <= 5, F.struct("_r", col)))),
-                                 lambda s: s[col]), ", ").alias("first_five"))
+    counts = r.groupBy("side").agg(F.count(F.lit(1)).alias("n_categories"))
+    # first five names per side: row_number() <= 5 is planned with a partial
+    # WindowGroupLimit, so at most five names per side and task are shuffled
+    top = (r.withColumn("_r", F.row_number().over(Window.partitionBy("side").orderBy(col)))
+           .filter(F.col("_r") <= 5)
+           .groupBy("side").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", col))),
+                                                         lambda s: s[col]), ", ").alias("first_five")))
+    return counts.join(top, "side").select("side", "n_categories", "first_five")
 
 
 def head_samples(df: DataFrame, key: str, n: int = 3) -> DataFrame:
