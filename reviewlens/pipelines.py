@@ -59,13 +59,19 @@ def prepare(spark: SparkSession, meta_path: str, review_path: str, out_dir: str,
     (FN-7/8) -> train/test split (SAMP-1) -> cleaning (PRED-4).
 
     Nested JSON values (category lists, hours, reply objects) arrive as
-    their JSON text. Reviews get a ``review_id`` (file position order) in
-    the written composed table (unless the input has one), which fixes
-    identity for all later stages."""
+    their JSON text. Unless the input has a ``review_id``, each review is
+    identified by its position in the input, ``<file>:<line>:<item>``
+    (numbered without collecting any file), so a re-run on the same files
+    gives the same ids whatever the cluster's split settings."""
     meta, bad_meta = R.scan_jsonl(spark, meta_path, meta_schema)
-    reviews, bad_reviews = R.scan_jsonl(spark, review_path, review_schema)
-    if "review_id" not in reviews.columns:
-        reviews = reviews.withColumn("review_id", F.monotonically_increasing_id())
+    if "review_id" in review_schema.fieldNames():
+        reviews, bad_reviews = R.scan_jsonl(spark, review_path, review_schema)
+    else:  # identity = position in the input (file, line, item), as the reference's row order
+        numbered = R.scan_jsonl_numbered(spark, review_path, review_schema)
+        reviews = numbered.select(
+            F.concat_ws(":", "file", F.col("line_number").cast("string"), F.col("item").cast("string"))
+             .alias("review_id"), *review_schema.fieldNames())
+        bad_reviews = R.jsonl_problems(spark, review_path).filter(F.col("problem") == "undecodable")
     joined = join_meta_review(meta, reviews)
     composed = _write(compose_reviews(joined), os.path.join(out_dir, "composed"), mode)
     split = (split_exact if exact else split_hash)(composed, "review_id", test_ratio, seed)

@@ -77,6 +77,26 @@ def jsonl_problems(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.col("problem").isNotNull()))
 
 
+def scan_jsonl_numbered(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """SRC-1 with identity: the decodable rows of NDJSON files, each with
+    ``file`` (base name), ``line_number`` and ``item`` (position inside a
+    line holding an array of objects, else 0). The same rows as
+    ``scan_jsonl``, keyed by where they are in the input, which does not
+    depend on how Spark splits the files."""
+    from pyspark.sql.types import ArrayType
+
+    n = numbered_lines(spark, path)
+    v = F.try_parse_json(F.col("value"))
+    kind = F.schema_of_variant(v)
+    one = F.array(F.from_json(F.col("value"), schema))
+    many = F.from_json(F.col("value"), ArrayType(schema))
+    items = (F.when(v.isNotNull() & kind.startswith("OBJECT"), one)
+             .when(v.isNotNull() & kind.startswith("ARRAY<OBJECT"), many))
+    x = n.select(F.element_at(F.split("file", "/"), -1).alias("file"), "line_number",
+                 F.posexplode(items).alias("item", "r"))
+    return x.select("file", "line_number", "item", *[F.col("r")[f.name].alias(f.name) for f in schema.fields])
+
+
 def scan_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """SRC-2: files each holding one JSON array of objects (multi-line).
     One file is parsed by one task, so write many moderate files rather

@@ -55,3 +55,20 @@ def test_prepare_classify_profile_index_evaluate(spark):
     assert res["per_class"].count() == 4
     assert res["overall"].first()["n_rows"] == truth.count()
     assert spark.read.text(os.path.join(base, "metrics.json")).count() == 1
+
+
+def test_prepare_ids_do_not_depend_on_splits(spark):
+    base = os.path.join(checkpoint_dir(spark), f"pipe-ids-{uuid.uuid4().hex}")
+    fx.fx_meta(spark, SF).write.json(os.path.join(base, "meta"))
+    fx.fx_review(spark, SF).drop("review_id").coalesce(1).write.json(os.path.join(base, "review"))
+    a = P.prepare(spark, os.path.join(base, "meta"), os.path.join(base, "review"), os.path.join(base, "a"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many more splits
+    try:
+        b = P.prepare(spark, os.path.join(base, "meta"), os.path.join(base, "review"), os.path.join(base, "b"))
+        rows_b = sorted(b["composed"].select("review_id", "text_info").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows_a = sorted(a["composed"].select("review_id", "text_info").collect())
+    assert rows_a == rows_b and len(rows_a) == E.queries()["composed_reviews"](spark, SF).count()
+    assert all(r.review_id.count(":") == 2 for r in rows_a)
+    assert sorted(r.review_id for r in a["test"].collect()) == sorted(r.review_id for r in b["test"].collect())

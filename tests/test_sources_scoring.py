@@ -220,3 +220,18 @@ def test_null_store_is_error_row_and_params_passed(spark):
         return ["Classification: valid"] * len(prompts)
     S.FunctionScorer(fn, with_params=True).score(pdf)
     assert sorted(seen) == [(("a",), 2048, 0.1), (("b",), 1024, 0.1)]
+
+
+def test_numbered_scan_matches_tolerant_scan(spark):
+    path = scratch(spark, "jsonl-num")
+    os.makedirs(path)
+    lines = ['{"gmap_id":"a","text":"x"}', "", '{"gmap_id":"b","te', "[1,2]", '"str"',
+             '[{"gmap_id":"c"},{"gmap_id":"d"}]', '{"gmap_id":"e","text":{"nested":1}}']
+    with open(os.path.join(path, "part.json"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    schema = spark.createDataFrame([], "gmap_id string, text string").schema
+    good, _ = R.scan_jsonl(spark, path, schema)
+    num = R.scan_jsonl_numbered(spark, path, schema)
+    assert sorted(num.select("gmap_id", "text").collect()) == sorted(good.collect())
+    keys = sorted((r.line_number, r.item, r.gmap_id) for r in num.collect())
+    assert keys == [(1, 0, "a"), (6, 0, "c"), (6, 1, "d"), (7, 0, "e")]
