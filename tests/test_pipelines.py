@@ -72,3 +72,17 @@ def test_prepare_ids_do_not_depend_on_splits(spark):
     assert rows_a == rows_b and len(rows_a) == E.queries()["composed_reviews"](spark, SF).count()
     assert all(r.review_id.count(":") == 2 for r in rows_a)
     assert sorted(r.review_id for r in a["test"].collect()) == sorted(r.review_id for r in b["test"].collect())
+
+
+def test_string_ids_through_retrieval(spark):
+    base = os.path.join(checkpoint_dir(spark), f"pipe-str-{uuid.uuid4().hex}")
+    fx.fx_meta(spark, SF).write.json(os.path.join(base, "meta"))
+    fx.fx_review(spark, SF).drop("review_id").write.json(os.path.join(base, "review"))
+    prep = P.prepare(spark, os.path.join(base, "meta"), os.path.join(base, "review"), os.path.join(base, "out"))
+    train = P.classify(prep["train"], os.path.join(base, "train_cls"), "few_shot", base_wait=0.0)
+    P.build_index(train, os.path.join(base, "index"))
+    rag = P.classify(prep["test"], os.path.join(base, "rag_cls"), "cot_rag", factory=S.KnnVoteScorer,
+                     index_path=os.path.join(base, "index"), base_wait=0.0)
+    got = rag.collect()
+    assert len(got) == prep["test"].count() and all(r.ai_classification in CLASSES for r in got)
+    assert all("similar reviews say" in r.ai_raw_response for r in got)
