@@ -64,7 +64,7 @@ def q_scan_json_array(spark, sf_dir):
     r = fx.fx_review(spark, sf_dir)
     path = _scratch(spark, "jsonarr")
     R.write_json_arrays(r, path, rows_per_file=2000)
-    return require_columns(R.scan_json_array(spark, path, r.schema), ["text"]).select(*r.columns)
+    return require_columns(R.scan_json_array(spark, path, r.schema, check=True), ["text"]).select(*r.columns)
 
 
 @query("csv_roundtrip", with_ctes(f"SELECT {REVIEW_COLS} FROM fx_review", "fx_review"))

@@ -97,10 +97,24 @@ def scan_jsonl_numbered(spark: SparkSession, path: str, schema: StructType) -> D
     return x.select("file", "line_number", "item", *[F.col("r")[f.name].alias(f.name) for f in schema.fields])
 
 
-def scan_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def not_json_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Files under ``path`` whose first non-blank line does not open a JSON
+    array (one row per such file); a keyed aggregation over numbered lines,
+    no file is read into one row."""
+    n = numbered_lines(spark, path).filter(F.trim(F.col("value")) != "")
+    first = n.groupBy("file").agg(F.min_by(F.col("value"), F.col("line_number")).alias("first_line"))
+    return first.filter(~F.ltrim(F.col("first_line")).startswith("[")).select("file")
+
+
+def scan_json_array(spark: SparkSession, path: str, schema: StructType, check: bool = False) -> DataFrame:
     """SRC-2: files each holding one JSON array of objects (multi-line).
     One file is parsed by one task, so write many moderate files rather
-    than one big one."""
+    than one big one. With ``check`` a file that is not a JSON array is an
+    error listing the offending files (the input must be a list)."""
+    if check:
+        bad = not_json_arrays(spark, path).limit(5).collect()
+        if bad:
+            raise ValueError("JSON file must contain an array of objects: " + ", ".join(r.file for r in bad))
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
 

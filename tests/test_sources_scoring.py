@@ -235,3 +235,16 @@ def test_numbered_scan_matches_tolerant_scan(spark):
     assert sorted(num.select("gmap_id", "text").collect()) == sorted(good.collect())
     keys = sorted((r.line_number, r.item, r.gmap_id) for r in num.collect())
     assert keys == [(1, 0, "a"), (6, 0, "c"), (6, 1, "d"), (7, 0, "e")]
+
+
+def test_json_array_check(spark):
+    path = scratch(spark, "jsonarr-check")
+    os.makedirs(path)
+    with open(os.path.join(path, "a.json"), "w") as f:
+        f.write('\n  [\n {"text": "x"},\n {"text": "y"}\n]\n')
+    schema = spark.createDataFrame([], "text string").schema
+    assert sorted(r.text for r in R.scan_json_array(spark, path, schema, check=True).collect()) == ["x", "y"]
+    with open(os.path.join(path, "b.json"), "w") as f:
+        f.write('{"text": "z"}\n')
+    with pytest.raises(ValueError, match="b.json"):
+        R.scan_json_array(spark, path, schema, check=True)
