@@ -16,8 +16,19 @@ from ..constants import CLASSES
 from ..operators.split import hash_bucket32
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table as a lazy DataFrame. The (read-only) tables are
+    listed and their footers read once per session and path, not once per
+    query build; no data is cached."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, id(spark), path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
 
 
 def class_of(c) -> F.Column:
