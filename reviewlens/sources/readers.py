@@ -48,18 +48,19 @@ def blank_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every line of the text files under ``path`` with its 1-based line
-    number within its file, computed without collecting any file:
-    (partition, position) ids per line, a small table of line counts per
-    (file, partition), a running sum per file for each partition's offset.
-    A file's splits are packed into partitions in offset order."""
+    number within its file, computed without collecting any file. Each
+    line knows its split (``_metadata.file_block_start``) and its position
+    in the task (``monotonically_increasing_id``, consecutive within a
+    split); a small table of line counts per (file, split) and a running sum
+    over the splits of each file, ordered by block start, give each split's
+    first line number. The (file, split) table has one row per input split."""
     t = (spark.read.text(path)
-         .select(F.input_file_name().alias("file"), F.spark_partition_id().alias("_p"),
+         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
                  F.monotonically_increasing_id().alias("_id"), "value"))
-    per = t.groupBy("file", "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    w = Window.partitionBy("file").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    off = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("file", "_p", "_first", "_off")
-    # one row per (file, partition): bounded by the number of input splits
-    return (t.join(F.broadcast(off), ["file", "_p"])
+    per = t.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    w = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    off = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("file", "_blk", "_first", "_off")
+    return (t.join(F.broadcast(off), ["file", "_blk"])
             .select("file", (F.col("_off") + F.col("_id") - F.col("_first") + 1).alias("line_number"), "value"))
 
 
