@@ -169,3 +169,49 @@ def q_classify_metrics(spark, sf_dir):
         pred.select("review_id", "template", F.col("ai_classification").alias("y_pred")).join(truth, "review_id"))
     r = ev.evaluate(a, by=["template"])
     return ev.metrics_report(r["per_class"], r["overall"], by=["template"])
+
+
+def make_keyword_logit_model():
+    """A deterministic stand-in for a user model (UDF-8): logit of each
+    class = occurrences of its scorer keywords in the lower-cased text,
+    'valid' gets 0.5. Runs per Arrow batch inside ``predict_batch_udf``."""
+    import numpy as np
+
+    kws = [[]] + [ws for _, ws in S.RULE_KEYWORDS]  # class order: valid, advertisement, irrelevant, rants
+
+    def predict(texts):
+        out = np.zeros((len(texts), len(CLASSES)))
+        for i, t in enumerate(texts):
+            low = (t or "").lower()
+            out[i] = [sum(low.count(w) for w in ws) for ws in kws]
+        out[:, 0] += 0.5
+        return out
+    return predict
+
+
+def _logit_sql(text: str) -> list[str]:
+    low = f"lower(coalesce({text}, ''))"
+    per = [["0.5"]] + [[f"((length({low}) - length(replace({low}, '{w}', ''))) // {len(w)})" for w in ws]
+                       for _, ws in S.RULE_KEYWORDS]
+    return [" + ".join(p) if c else "0.5" for c, p in enumerate(per)]
+
+
+_LG = _logit_sql("text_info")
+_MX = f"greatest({', '.join(f'l{i}' for i in range(4))})"
+
+
+@query("model_scores", with_ctes(f"""WITH lg AS (SELECT review_id, {', '.join(f'CAST({e} AS DOUBLE) AS l{i}' for i, e in enumerate(_LG))}
+  FROM fx_composed),
+ex AS (SELECT *, {', '.join(f'exp(l{i} - {_MX}) AS e{i}' for i in range(4))}, {_MX} AS mx FROM lg),
+pr AS (SELECT review_id, CASE WHEN l0 = mx THEN 0 WHEN l1 = mx THEN 1 WHEN l2 = mx THEN 2 ELSE 3 END AS pid,
+  greatest(e0, e1, e2, e3) / (e0 + e1 + e2 + e3) AS conf FROM ex)
+SELECT review_id, CAST(pid AS INTEGER) AS predicted_label_id,
+  (['valid', 'advertisement', 'irrelevant', 'rants without visit'])[pid + 1] AS classification_category,
+  CASE WHEN pid = 0 THEN 'valid' ELSE 'invalid' END AS classification_result,
+  round(conf, 6) AS classification_confidence FROM pr""", "fx_composed"))
+def q_model_scores(spark, sf_dir):
+    """UDF-8 user-model path: every composed review scored by a model
+    function through predict_batch_udf (batches of 32), then FN-11
+    (softmax, first argmax, confidence, class, valid/invalid) natively."""
+    c = composed(spark, sf_dir)
+    return S.score_with_model(c, make_keyword_logit_model, text="text_info", keep=("review_id",))

@@ -34,5 +34,5 @@ def test_scoring_pass_needs_no_shuffle(static_plans):
 
 def test_python_only_in_model_and_cell_stages(static_plans):
     allowed = {"classify_reviews", "classify_errors", "rag_classify", "topk_similar", "rag_topk",
-               "rag_examples_text", "knn_vote", "retrieved_label_distribution"}
+               "rag_examples_text", "knn_vote", "retrieved_label_distribution", "model_scores"}
     assert {n for n, s in static_plans.items() if s["python"]} <= allowed
