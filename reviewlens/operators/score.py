@@ -9,9 +9,9 @@ column expressions, so the Python worker sees each row exactly once.
 ``classify`` runs one ``mapInPandas`` pass. The scorer object is built once
 per partition (``factory()`` inside the task), never per row, and called
 with ``batch_size`` rows at a time. A failing call is retried with waits
-of 2**attempt s; after the last attempt each row is scored alone, so one
-bad row does not fail its neighbours (UDF-3/4): its error text goes to
-``ai_error`` and the job goes on.
+of 2**attempt s; after the last attempt the batch is bisected down to the
+failing rows, so one bad row does not fail its neighbours (UDF-3/4): its
+error text goes to ``ai_error`` and the job goes on.
 
 Scorers may be remote and non-deterministic; Spark may run a task twice.
 Call ``materialize`` (``reviewlens.session``) on the result before more
@@ -144,21 +144,35 @@ class FunctionScorer:
 
 def _score_batch(scorer, sub: pd.DataFrame, max_retries: int, base_wait: float):
     """Score one sub-batch: retried with waits of base_wait*2**attempt;
-    after the last failure each row is scored alone so one bad row does not
-    fail its neighbours. Returns (answers, errors)."""
+    after the last failure the batch is bisected, so only the halves that
+    hold a failing row are scored again (O(bad rows * log n) calls, not one
+    call per row) and one bad row never fails its neighbours. Returns
+    (answers, errors)."""
     for attempt in range(max_retries):
         try:
             return list(scorer.score(sub)), [None] * len(sub)
         except Exception:  # noqa: BLE001
             if attempt < max_retries - 1 and base_wait > 0:
                 time.sleep(base_wait * 2 ** attempt)
-    answers: list[str | None] = [None] * len(sub)
-    errors: list[str | None] = [None] * len(sub)
-    for i in range(len(sub)):  # isolate the failing rows
+    return _isolate(scorer, sub)
+
+
+def _isolate(scorer, sub: pd.DataFrame):
+    if len(sub) == 1:
         try:
-            answers[i] = scorer.score(sub.iloc[i:i + 1])[0]
+            return [scorer.score(sub)[0]], [None]
         except Exception as e:  # noqa: BLE001
-            errors[i] = f"{type(e).__name__}: {e}"
+            return [None], [f"{type(e).__name__}: {e}"]
+    answers: list[str | None] = []
+    errors: list[str | None] = []
+    mid = len(sub) // 2
+    for half in (sub.iloc[:mid], sub.iloc[mid:]):
+        try:
+            a, e = list(scorer.score(half)), [None] * len(half)
+        except Exception:  # noqa: BLE001
+            a, e = _isolate(scorer, half)
+        answers += a
+        errors += e
     return answers, errors
 
 
