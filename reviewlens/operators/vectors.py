@@ -72,15 +72,37 @@ def hash_embedding(text, dim: int = 64) -> Column:
     return l2_normalize(counts)
 
 
+def _embed_bisect(embed_fn, texts: list[str], dim: int) -> tuple[list, list]:
+    """Split a failing chunk in halves until the failing texts are found;
+    they get a zero vector, their neighbours their real embedding."""
+    if len(texts) == 1:
+        try:
+            return list(embed_fn(texts)), [False]
+        except Exception:  # noqa: BLE001
+            return [[0.0] * dim], [True]
+    vecs, failed = [], []
+    mid = len(texts) // 2
+    for half in (texts[:mid], texts[mid:]):
+        try:
+            vecs.extend(embed_fn(half))
+            failed.extend([False] * len(half))
+        except Exception:  # noqa: BLE001
+            v, f = _embed_bisect(embed_fn, half, dim)
+            vecs.extend(v)
+            failed.extend(f)
+    return vecs, failed
+
+
 def embed_batches(df: DataFrame, text_col: str, embed_fn, out_col: str = "embedding",
                   batch_size: int = 100, dim: int | None = None, max_retries: int = 3,
                   base_wait: float = 1.0, on_failure: str = "zero") -> DataFrame:
     """UDF-5 for user models: ``embed_fn(list[str]) -> list[list[float]]``
     called per Arrow batch of ``batch_size`` texts inside ``mapInPandas``
     (the client is built once per partition by ``embed_fn`` itself).
-    Retries with waits of base_wait*2**attempt s; after the last failure the rows get
-    a zero vector and ``embed_failed = true`` (UDF-4, index side), or the
-    task fails with ``on_failure="raise"`` (query side)."""
+    Retries with waits of base_wait*2**attempt s; after the last failure the
+    chunk is bisected and only the failing texts get a zero vector and
+    ``embed_failed = true`` (UDF-4, index side), or the task fails with
+    ``on_failure="raise"`` (query side)."""
     import time
 
     from pyspark.sql.types import ArrayType, BooleanType, FloatType, StructType
@@ -102,8 +124,9 @@ def embed_batches(df: DataFrame, text_col: str, embed_fn, out_col: str = "embedd
                         if attempt == max_retries - 1:
                             if on_failure == "raise":  # query side: no silent zero vector
                                 raise
-                            vecs.extend([[0.0] * (dim or 0)] * len(chunk))
-                            failed.extend([True] * len(chunk))
+                            v, f = _embed_bisect(embed_fn, chunk, dim or 0)  # only failing texts get zeros
+                            vecs.extend(v)
+                            failed.extend(f)
                         elif base_wait > 0:
                             time.sleep(base_wait * 2 ** attempt)
             pdf[out_col] = vecs

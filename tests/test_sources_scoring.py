@@ -112,7 +112,7 @@ class Flaky:
 def test_embed_retry_zero_vector_and_skip(spark):
     from reviewlens.operators.vectors import embed_batches, topk_similar
     df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "fine!")], "vec_id long, text string").coalesce(1)
-    emb = embed_batches(df, "text", Flaky(), batch_size=1, dim=2, max_retries=2, base_wait=0.0)
+    emb = embed_batches(df, "text", Flaky(), batch_size=3, dim=2, max_retries=2, base_wait=0.0)
     got = {r.vec_id: r for r in emb.collect()}
     assert got[2].embed_failed and list(got[2].embedding) == [0.0, 0.0]
     assert not got[1].embed_failed
