@@ -142,6 +142,13 @@ class FunctionScorer:
         return out
 
 
+def _call(scorer, sub: pd.DataFrame) -> list:
+    out = list(scorer.score(sub))
+    if len(out) != len(sub):  # a short or long answer list is a failed call, not a misaligned one
+        raise ValueError(f"scorer returned {len(out)} answers for {len(sub)} rows")
+    return out
+
+
 def _score_batch(scorer, sub: pd.DataFrame, max_retries: int, base_wait: float):
     """Score one sub-batch: retried with waits of base_wait*2**attempt;
     after the last failure the batch is bisected, so only the halves that
@@ -150,7 +157,7 @@ def _score_batch(scorer, sub: pd.DataFrame, max_retries: int, base_wait: float):
     (answers, errors)."""
     for attempt in range(max_retries):
         try:
-            return list(scorer.score(sub)), [None] * len(sub)
+            return _call(scorer, sub), [None] * len(sub)
         except Exception:  # noqa: BLE001
             if attempt < max_retries - 1 and base_wait > 0:
                 time.sleep(base_wait * 2 ** attempt)
@@ -160,7 +167,7 @@ def _score_batch(scorer, sub: pd.DataFrame, max_retries: int, base_wait: float):
 def _isolate(scorer, sub: pd.DataFrame):
     if len(sub) == 1:
         try:
-            return [scorer.score(sub)[0]], [None]
+            return _call(scorer, sub), [None]
         except Exception as e:  # noqa: BLE001
             return [None], [f"{type(e).__name__}: {e}"]
     answers: list[str | None] = []
@@ -168,7 +175,7 @@ def _isolate(scorer, sub: pd.DataFrame):
     mid = len(sub) // 2
     for half in (sub.iloc[:mid], sub.iloc[mid:]):
         try:
-            a, e = list(scorer.score(half)), [None] * len(half)
+            a, e = _call(scorer, half), [None] * len(half)
         except Exception:  # noqa: BLE001
             a, e = _isolate(scorer, half)
         answers += a

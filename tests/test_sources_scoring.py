@@ -248,3 +248,19 @@ def test_json_array_check(spark):
         f.write('{"text": "z"}\n')
     with pytest.raises(ValueError, match="b.json"):
         R.scan_json_array(spark, path, schema, check=True)
+
+
+class ShortAnswers(S.RuleScorer):
+    """Drops the answer for 'gap' rows instead of raising."""
+
+    def score(self, batch):
+        out = super().score(batch)
+        return [a for a, t in zip(out, batch[self.comment_col]) if t != "gap"]
+
+
+def test_wrong_answer_count_is_a_failure(spark):
+    df = spark.createDataFrame([(1, "s", "ok"), (2, "s", "gap"), (3, "s", "free")],
+                               "review_id int, store_info string, text_info string").coalesce(1)
+    got = {r.review_id: r for r in S.classify(df, ShortAnswers, template="zero_shot", base_wait=0.0).collect()}
+    assert got[1].ai_classification == "valid" and got[3].ai_classification == "advertisement"
+    assert got[2].ai_classification is None and "answers" in got[2].ai_error
