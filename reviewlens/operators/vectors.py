@@ -201,7 +201,8 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: st
     (query_id, rank 1..k, vec_id, score, carry...). Fewer than k rows when
     the corpus is smaller than k (JOIN-5). Ranking uses the score rounded
     to ``tie_decimals`` so that float summation order cannot reorder
-    equal vectors; exact ties go to the lower vec_id."""
+    equal vectors; exact ties go to the lower vec_id. Query ids must be
+    unique (each id's merge window holds its blocks x k candidates)."""
     from ..session import stable  # inputs are read twice (sizes, then scoring): never re-run a model
     queries, corpus = stable(queries, "topk-queries"), stable(corpus, "topk-corpus")
     if skip_failed and "embed_failed" in corpus.columns:  # UDF-4: zero vectors of failed embeddings
