@@ -11,6 +11,7 @@ from .registry import composed, joined, query
 from ..constants import DEFAULT_CLEAN_PATTERN
 from ..functions import text as T
 from ..operators import prepare as prep
+from ..operators import profile as pf
 
 JOINED_COLS = ("meta_name meta_address meta_description meta_category meta_avg_rating meta_num_of_reviews "
                "meta_state review_text review_name review_rating review_time review_resp review_id gmap_id")
@@ -209,3 +210,12 @@ def q_embedding_text(spark, sf_dir):
     """FN-13: stripped text, empty -> 'No content'."""
     r = fx.fx_review(spark, sf_dir)
     return r.select("review_id", T.embedding_text("text").alias("embed_text"))
+
+
+@query("error_examples", with_ctes(f"""SELECT * FROM ({CLASSIFIED_SQL}) x
+WHERE {_any_contains_sql(DEFAULT_CLEAN_PATTERN, False)} ORDER BY review_id LIMIT 3""", "fx_composed", "fx_pred"))
+def q_error_examples(spark, sf_dir):
+    """TOPK-2 (error examples): the first three rows, by key, that the
+    cleaning step would drop; a top-3 report (the limit is the feature)."""
+    c = classified(spark, sf_dir)
+    return pf.head_samples(c.filter(prep.contains_any_column(c, DEFAULT_CLEAN_PATTERN)), "review_id", 3)
