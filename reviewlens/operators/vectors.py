@@ -209,9 +209,14 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: st
         corpus = corpus.filter(~F.coalesce(F.col("embed_failed"), F.lit(False)))
     carry = [c for c in carry if c in corpus.columns]
     emb = (l2_normalize(embedding) if normalize else _c(embedding).cast("array<double>")).alias("emb")
-    nq = queries.count()
-    st = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(embedding)).alias("d")).first()
-    nc, dim = int(st["n"]), int(st["d"] or 1)
+    # sizes of both sides and the vector dimension in one job (partial aggregation, two rows back)
+    sides = (queries.select(F.lit(0).alias("_side"), F.lit(None).cast("int").alias("_d"))
+             .unionByName(corpus.select(F.lit(1).alias("_side"), F.size(embedding).alias("_d"))))
+    st = {r["_side"]: r for r in sides.groupBy("_side").agg(F.count(F.lit(1)).alias("n"),
+                                                             F.max("_d").alias("d")).collect()}
+    nq = int(st[0]["n"]) if 0 in st else 0
+    nc = int(st[1]["n"]) if 1 in st else 0
+    dim = int(st[1]["d"] or 1) if 1 in st else 1
     # memory per cell: a corpus block holds at most BLOCK_FLOATS numbers
     corpus_block_rows = max(1, min(corpus_block_rows, BLOCK_FLOATS // max(dim, 1)))
     if nq == 0 or nc == 0:  # same columns as a non-empty result, no rows
