@@ -46,3 +46,28 @@ def test_split_partitions_do_not_change_result(spark):
     runs = [sorted(r.review_id for r in split_exact(base.repartition(n), "review_id", 0.1)
                    .filter("split = 'test'").collect()) for n in (1, 4, 16)]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_text_classifier_outputs_are_consistent(spark):
+    from reviewlens.operators import score as S
+    from reviewlens.plans.registry import split_labelled
+    s = split_labelled(spark, "/root/testdata/sf0.001").filter(F.col("text_info").isNotNull())
+    train = s.filter(F.col("ai_classification").isNotNull())
+    model = S.train_text_classifier(train, text="text_info", label="ai_classification", max_iter=30)
+    out = S.score_reviews(model, s, text="text_info").collect()
+    assert len(out) == s.count()
+    for r in out:
+        assert 0 <= r.predicted_label_id < len(CLASSES)
+        assert r.classification_category == CLASSES[r.predicted_label_id]
+        assert r.classification_result == ("valid" if r.predicted_label_id == 0 else "invalid")
+        assert 1.0 / len(CLASSES) - 1e-9 <= r.classification_confidence <= 1.0 + 1e-9
+    # a model fitted on clearly separable texts predicts its own training rows
+    sep = spark.createDataFrame(
+        [(2 * i + j, f"{w} {w} {w} word{i}", c) for i in range(20)
+         for j, (w, c) in enumerate([("great", "valid"), ("discount", "advertisement")])],
+        "review_id int, text_info string, ai_classification string")
+    m2 = S.train_text_classifier(sep, text="text_info", label="ai_classification", max_iter=50, reg=0.0)
+    pred = {r.review_id: r.classification_category
+            for r in S.score_reviews(m2, sep, text="text_info").collect()}
+    truth = {r.review_id: r.ai_classification for r in sep.collect()}
+    assert sum(pred[k] == truth[k] for k in truth) >= 0.95 * len(truth)
