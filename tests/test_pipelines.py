@@ -39,6 +39,12 @@ def test_prepare_classify_profile_index_evaluate(spark):
 
     prof = P.profile(train, test)
     assert prof["scalars"].count() == 2
+    sr = prof["sizes_ratings"].first()
+    assert sr.train_rows == train.count() and sr.test_rows == test.count()
+    cc = prof["class_comparison"].collect()
+    assert {r.ai_classification for r in cc} <= set(CLASSES)
+    assert abs(sum(r.train_pct for r in cc) - 100.0) < 1e-6
+    assert {r.side for r in prof["category_overlap"].collect()} <= {"common", "train_only", "test_only"}
 
     idx, man = P.build_index(train, os.path.join(base, "index"))
     assert man.first()["total_vectors"] == idx.count() == train.count()
