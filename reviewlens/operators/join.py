@@ -66,19 +66,24 @@ def hot_keys(big: DataFrame, on: list[str], hot_rows: int = DEFAULT_HOT_ROWS,
 def skew_safe_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
                    salt_from: list[str] | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                    max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, hot_rows: int = DEFAULT_HOT_ROWS,
-                   max_salts: int = DEFAULT_MAX_SALTS, materialize_big: bool = False) -> DataFrame:
+                   max_salts: int = DEFAULT_MAX_SALTS, materialize_big: bool = False,
+                   small_fits: bool | None = None) -> DataFrame:
     """Join ``big`` (fact) with ``small`` (dimension) on equal ``on`` keys.
     Every row of ``big`` meets every matching row of ``small`` exactly once
     (salting changes where pairs are formed, never which).
 
     The salted path reads ``big`` twice (key count, then the join). When
     ``big`` is expensive to recompute (e.g. top-k hits), ``materialize_big``
-    writes it once to the shared checkpoint folder first."""
+    writes it once to the shared checkpoint folder first. ``small_fits``
+    passes a broadcast decision already measured for this same input
+    (e.g. once per session for a read-only table); None measures it."""
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type for skew_safe_join: {how}")
     from ..session import materialize, stable  # both sides are read more than once below
     small = stable(small, "join-small")
-    if fits_broadcast(small, max_broadcast_rows, max_broadcast_bytes):
+    if small_fits is None:
+        small_fits = fits_broadcast(small, max_broadcast_rows, max_broadcast_bytes)
+    if small_fits:
         return big.join(F.broadcast(small), on, how)
     if big.isStreaming:  # no key count on an unbounded input: stream-static join, AQE off for streams
         return big.join(small, on, how)

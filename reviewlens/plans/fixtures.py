@@ -54,6 +54,19 @@ def fx_meta(spark, sf_dir) -> DataFrame:
     )
 
 
+_META_FITS: dict[tuple, bool] = {}
+
+
+def meta_fits(spark, sf_dir) -> bool:
+    """Broadcast decision for ``fx_meta`` (measured by ``fits_broadcast``),
+    taken once per session and path: the driver tables are read-only."""
+    from ..operators.join import fits_broadcast
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+    if key not in _META_FITS:
+        _META_FITS[key] = fits_broadcast(fx_meta(spark, sf_dir))
+    return _META_FITS[key]
+
+
 def fx_review(spark, sf_dir) -> DataFrame:
     return review_view(table(spark, sf_dir, "documents"))
 

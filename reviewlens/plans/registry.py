@@ -46,7 +46,8 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
 # ---- derived fixtures shared by many queries (Spark side) ----
 
 def joined(spark, sf_dir) -> DataFrame:
-    return prep.join_meta_review(fx.fx_meta(spark, sf_dir), fx.fx_review(spark, sf_dir))
+    return prep.join_meta_review(fx.fx_meta(spark, sf_dir), fx.fx_review(spark, sf_dir),
+                                 small_fits=fx.meta_fits(spark, sf_dir))
 
 
 def composed(spark, sf_dir) -> DataFrame:
