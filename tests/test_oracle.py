@@ -31,6 +31,10 @@ def test_query_equals_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(rows) == len(drows)
     assert digest(df.columns, rows)[0] == digest(dcols, drows)[0]
+    # strict: raw values identical too (no rounding), whatever normalisation a checker applies
+    raw = lambda cols, rs: sorted("|".join(repr(r[i]) for i in sorted(range(len(cols)), key=lambda j: cols[j]))
+                                  for r in rs)
+    assert raw(df.columns, rows) == raw(dcols, drows)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
