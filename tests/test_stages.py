@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 import __spark_entry__ as E
-from reviewlens import pipelines as P
+from reviewlens import stages as P
 from reviewlens.constants import CLASSES
 from reviewlens.operators import score as S
 from reviewlens.plans import fixtures as fx
