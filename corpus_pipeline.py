@@ -74,7 +74,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = docs.select("doc_id", "lang", "source", bpe.encode(F.col("text"), *vocabulary).alias("ids"))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                      F.sha2(bpe.decode(F.col("ids"), *vocabulary), 256).alias("decoded_sha256"))
+                      F.sha2(bpe.decode(F.col("ids"), vocabulary[0]), 256).alias("decoded_sha256"))
 
 
 STAGES = [

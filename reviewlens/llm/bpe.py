@@ -32,7 +32,7 @@ from .common import worker_cache
 #: Unicode White_Space, which ``\s`` means in the pattern (fixed values).
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Pieces a worker remembers, and the longest piece that it does.
-CACHE_PIECES, CACHE_LENGTH = 300_000, 200
+CACHE_PIECES, CACHE_LENGTH = 200_000, 200
 OFFSETS = "array<struct<byte_start:int,byte_end:int,char_start:int,char_end:int>>"
 
 
@@ -50,22 +50,24 @@ def read_ranks(path: str) -> bytes:
         return zlib.compress(f.read())
 
 
-class Codec:
+def token_ranks(ranks: bytes) -> dict[bytes, int]:
+    lines = (line.split() for line in zlib.decompress(ranks).splitlines() if line.strip())
+    return {base64.b64decode(token): int(r) for token, r in lines}
+
+
+class Encoder:
     def __init__(self, ranks: bytes, pattern: str):
         import regex
-        from tokenizers import Tokenizer, models
+        from tokenizers import models
 
-        lines = (line.split() for line in zlib.decompress(ranks).splitlines() if line.strip())
-        rank = {base64.b64decode(token): int(r) for token, r in lines}
-        self.token_bytes = {r: token for token, r in rank.items()}
-        self.alphabet = byte_alphabet()
-        self.table = {b: c for b, c in enumerate(self.alphabet)}
+        rank = token_ranks(ranks)
+        self.sizes = {r: len(token) for token, r in rank.items()}
+        self.table = dict(enumerate(byte_alphabet()))
         shown = {token: self._shown(token) for token in rank}
         pairs = [(shown[token[:i]], shown[token[i:]])
                  for token in sorted(rank, key=rank.get) for i in range(1, len(token))
                  if token[:i] in rank and token[i:] in rank]
-        self.tokenizer = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in rank.items()}, merges=pairs,
-                                              ignore_merges=True))
+        self.model = models.BPE(vocab={shown[t]: r for t, r in rank.items()}, merges=pairs, ignore_merges=True)
         self.pattern = regex.compile(self._explicit(pattern))
         self.pieces: dict[str, bytes] = {}
 
@@ -94,10 +96,9 @@ class Codec:
     def ids(self, text: str) -> bytes:
         """Little-endian int32 ids of a text, joined."""
         pieces, known = self.pattern.findall(text), self.pieces
-        new = list(set(pieces).difference(known))
-        if new:
-            found = self.tokenizer.encode_batch([self._shown(p.encode()) for p in new], add_special_tokens=False)
-            known.update((p, b"".join(i.to_bytes(4, "little") for i in e.ids)) for p, e in zip(new, found))
+        new = set(pieces).difference(known)
+        for p in new:
+            known[p] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(self._shown(p.encode()))])
         out = b"".join([known[p] for p in pieces])
         for p in new:
             if len(p) > CACHE_LENGTH:
@@ -113,21 +114,27 @@ class Codec:
 
         data = np.frombuffer(text.encode(), np.uint8)
         index = np.cumsum((data & 0xC0) != 0x80) - 1 if len(data) else np.zeros(0, np.int64)
-        ends = np.cumsum([len(self.token_bytes[i]) for i in ids]).astype(int)
+        ends = np.cumsum([self.sizes[i] for i in ids]).astype(int)
         starts = np.concatenate([[0], ends[:-1]]).astype(int) if len(ends) else ends
         return [{"byte_start": int(s), "byte_end": int(e), "char_start": int(index[s]),
                  "char_end": int(index[e - 1]) + 1} for s, e in zip(starts, ends)]
 
+
+class Decoder:
+    def __init__(self, ranks: bytes):
+        self.tokens = {r: token for token, r in token_ranks(ranks).items()}
+
     def data(self, ids) -> bytes:
-        known = self.token_bytes
-        return b"".join([known[i] for i in ids])
+        tokens = self.tokens
+        return b"".join([tokens[i] for i in ids])
 
 
-def codec(ranks: bytes, pattern: str) -> Codec:
+def held(kind, *args):
+    """The encoder or decoder of these arguments, made once per worker."""
     cache = worker_cache("bpe")
-    key = (zlib.crc32(ranks), len(ranks), pattern)
+    key = (kind.__name__, zlib.crc32(args[0]), *args[1:])
     if key not in cache:
-        cache[key] = Codec(ranks, pattern)
+        cache[key] = kind(*args)
     return cache[key]
 
 
@@ -137,9 +144,9 @@ def encode(text: Column, ranks: bytes, pattern: str) -> Column:
     def bpe_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        c = codec(ranks, pattern)
+        c = held(Encoder, ranks, pattern)
         for batch in batches:
-            found = [c.ids(t) if t else b"" for t in batch.to_pylist()]
+            found = [c.ids(t) if (t := text.as_py()) else b"" for text in batch]
             ends = np.cumsum([0] + [len(x) // 4 for x in found])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                            pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
@@ -151,7 +158,7 @@ def offsets(text: Column, ids: Column, ranks: bytes, pattern: str) -> Column:
     """For each id its byte and character extent in the text."""
     @F.arrow_udf(OFFSETS)
     def bpe_offsets(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        c = codec(ranks, pattern)
+        c = held(Encoder, ranks, pattern)
         kind = pa.list_(pa.struct([(n, pa.int32()) for n in re.findall(r"(\w+):int", OFFSETS)]))
         for texts, lists in batches:
             yield pa.array([c.spans(t or "", i or []) for t, i in zip(texts.to_pylist(), lists.to_pylist())], kind)
@@ -159,27 +166,25 @@ def offsets(text: Column, ids: Column, ranks: bytes, pattern: str) -> Column:
     return bpe_offsets(text, ids)
 
 
-def decode(ids: Column, ranks: bytes, pattern: str) -> Column:
+def decode(ids: Column, ranks: bytes) -> Column:
     """The bytes that the ids stand for, joined before any decoding to text,
     so a character split over tokens is whole again."""
     @F.arrow_udf("binary")
     def bpe_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        c = codec(ranks, pattern)
+        c = held(Decoder, ranks)
         for batch in batches:
-            flat, out = np.asarray(batch.flatten()).tolist(), []
-            counts = [0 if n is None else n for n in batch.value_lengths().to_pylist()]
-            at = 0
-            for n in counts:
-                out.append(c.data(flat[at:at + n]))
-                at += n
+            flat, out, at = np.asarray(batch.flatten()), [], 0
+            for n in batch.value_lengths().to_pylist():
+                out.append(c.data(flat[at:at + (n or 0)].tolist()))
+                at += n or 0
             yield pa.array(out, pa.binary())
 
     return bpe_bytes(ids)
 
 
-def decode_text(ids: Column, ranks: bytes, pattern: str) -> Column:
+def decode_text(ids: Column, ranks: bytes) -> Column:
     """Decoded bytes as text; bytes that are no UTF-8 (ids cut inside a
     character) become U+FFFD."""
-    return F.try_validate_utf8(F.decode(decode(ids, ranks, pattern), F.lit("UTF-8")))
+    return F.try_validate_utf8(F.decode(decode(ids, ranks), F.lit("UTF-8")))
