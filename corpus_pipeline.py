@@ -71,10 +71,10 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document and copy: its token ids, and digests of the ids
     and of the bytes they decode to."""
     vocabulary = queries.bpe_vocabulary()
-    out = docs.select("doc_id", "lang", "source", bpe.encode(F.col("text"), *vocabulary).alias("ids"))
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                      F.sha2(bpe.decode(F.col("ids"), vocabulary[0]), 256).alias("decoded_sha256"))
+    out = docs.select("doc_id", "lang", "source", bpe.round_trip(F.col("text"), *vocabulary).alias("r"))
+    return out.select("doc_id", "lang", "source", F.size("r.ids").cast("long").alias("n_tokens"), "r.ids",
+                      F.sha2(F.array_join(F.col("r.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2(F.col("r.data"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -32,7 +32,7 @@ from .common import worker_cache
 #: Unicode White_Space, which ``\s`` means in the pattern (fixed values).
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Pieces a worker remembers, and the longest piece that it does.
-CACHE_PIECES, CACHE_LENGTH = 200_000, 200
+CACHE_PIECES, CACHE_LENGTH = 100_000, 200
 OFFSETS = "array<struct<byte_start:int,byte_end:int,char_start:int,char_end:int>>"
 
 
@@ -184,6 +184,26 @@ def decode(ids: Column, ranks: bytes) -> Column:
     return bpe_bytes(ids)
 
 
+def round_trip(text: Column, ranks: bytes, pattern: str) -> Column:
+    """struct(ids, data): ``encode``, and ``decode`` of its ids, in one
+    worker, so that ids do not go back to Python."""
+
+    @F.arrow_udf("ids:array<int>,data:binary")
+    def bpe_round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+
+        e, d = held(Encoder, ranks, pattern), held(Decoder, ranks)
+        for batch in batches:
+            found = [np.frombuffer(e.ids(t), "<i4") if (t := text.as_py()) else np.zeros(0, "<i4") for text in batch]
+            ends = np.cumsum([0] + [len(x) for x in found])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                           pa.array(np.concatenate([*found, np.zeros(0, "<i4")]), pa.int32()))
+            yield pa.StructArray.from_arrays([ids, pa.array([d.data(x.tolist()) for x in found], pa.binary())],
+                                             ["ids", "data"])
+
+    return bpe_round_trip(text)
+
+
 def decode_text(ids: Column, ranks: bytes) -> Column:
     """Decoded bytes as text; bytes that are no UTF-8 (ids cut inside a
     character) become U+FFFD."""

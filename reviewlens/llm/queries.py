@@ -33,10 +33,10 @@ def bpe_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, st
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe_vocabulary()
-    docs = documents(spark, sf_dir).select("doc_id", bpe.encode(F.col("text"), *vocabulary).alias("ids"))
-    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                       F.sha2(bpe.decode(F.col("ids"), vocabulary[0]), 256).alias("decoded_sha256"))
+    docs = documents(spark, sf_dir).select("doc_id", bpe.round_trip(F.col("text"), *vocabulary).alias("r"))
+    return docs.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("r.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2(F.col("r.data"), 256).alias("decoded_sha256"))
 
 
 @query
