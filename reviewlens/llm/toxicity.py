@@ -61,7 +61,7 @@ def features(data):
         h = (h[:m] ^ x[n - 1:]) * np.uint32(0x01000193)
         if n in GRAMS:
             mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-            grams.append(((mixed >> np.uint32(15)).astype(np.int64) % BUCKETS, ~inner))
+            grams.append(((mixed >> np.uint32(15)).astype(np.int32) % BUCKETS, ~inner))
     return grams, np.flatnonzero(blank)[:-1]
 
 
@@ -103,61 +103,78 @@ class Model:
                 continue
             odds = self.word_odds(b" " + b" ".join(w for i in part for w in lists[i]) + b" ")
             counts = np.array([len(lists[i]) for i in part])
-            best = window_odds(odds, counts)[1] + self.bias
+            stop, _, ok = windows(counts)
+            best = np.maximum.reduceat(window_odds(odds, stop, ok), np.cumsum(counts) - counts) + self.bias
             out[part] = 1 / (1 + np.exp(-np.clip(best, -60, 60)))
         return out.tolist()
 
 
-def window_odds(odds, counts):
-    """(mean of the window that begins at each word, or -inf where a window
-    would leave a text of at least WINDOW words; the maximum of each text)."""
+def windows(counts):
+    """(end of the window that begins at each word, its text, whether it is
+    one): windows do not leave their text, and only a text shorter than WINDOW
+    has a shorter one."""
     import numpy as np
 
-    sums = np.concatenate([[0.0], np.cumsum(odds)])
     ends = np.cumsum(counts)
-    begins = ends - counts
-    end_of = np.repeat(ends, counts)
-    i = np.arange(len(odds))
-    stop = np.minimum(i + WINDOW, end_of)
-    mean = (sums[stop] - sums[i]) / (stop - i)
-    mean[(i > np.repeat(begins, counts)) & (i + WINDOW > end_of)] = -np.inf
-    return mean, np.maximum.reduceat(mean, begins)
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    i = np.arange(len(owner), dtype=np.int32)
+    stop = np.minimum(i + WINDOW, ends[owner]).astype(np.int32)
+    return stop, owner, (i == (ends - counts)[owner]) | (stop - i == WINDOW)
+
+
+def window_odds(odds, stop, ok):
+    """Mean over the window that begins at each word; -inf where there is none."""
+    import numpy as np
+
+    sums = np.concatenate([[0.0], np.cumsum(odds)])
+    mean = sums[stop] - sums[:-1]
+    mean /= stop - np.arange(len(stop), dtype=np.int32)
+    mean[~ok] = -np.inf
+    return mean
 
 
-def fit(texts: list[str], toxic: list[int], share: float | None = None, steps: int = 60, seed: int = 7,
+def fit(texts, toxic: list[int], share: float | None = None, steps: int = 60, seed: int = 7,
         rate: float = 0.03, hold: float = 1e-4) -> Model:
     """``share``: of toxic labels outside the sample (None: as sampled).
     ``hold`` draws embeddings back to their start."""
     import numpy as np
 
-    pairs = [(w, y) for t, y in zip(texts, toxic) if (w := words_of(t))]
-    y = np.array([y for _, y in pairs], np.int64)
+    index: dict[bytes, int] = {}
+    lists, y = [], []
+    for t, label in zip(texts, toxic):
+        if ws := words_of(t):
+            lists.append(np.array([index.setdefault(w, len(index)) for w in ws], np.int32))
+            y.append(label)
+    y = np.array(y, np.int64)
     if len(set(y.tolist())) < 2:
         return Model(None, 0.0, constant=share if share is not None else float(np.mean(toxic)) if len(toxic) else 0.0)
-    index: dict[bytes, int] = {}
-    flat = np.array([index.setdefault(w, len(index)) for ws, _ in pairs for w in ws], np.int64)
-    counts = np.array([len(ws) for ws, _ in pairs])
+    flat, counts = np.concatenate(lists), np.array([len(x) for x in lists])
+    lists.clear()
     n_words = len(index)
     data = b" " + b" ".join(index) + b" "
     grams, _ = features(data)
-    word_at = np.cumsum(np.frombuffer(data, np.uint8) == 32) - 1
-    ids = np.concatenate([g[ok] for g, ok in grams])
-    owner = np.concatenate([word_at[:len(g)][ok] for g, ok in grams])
-    order = np.argsort(owner, kind="stable")
-    ids, sizes = ids[order], np.bincount(owner, minlength=n_words)
+    table, held_by = np.zeros((len(data), len(GRAMS)), np.int32), np.zeros((len(data), len(GRAMS)), bool)
+    for j, (g, one) in enumerate(grams):
+        table[:len(g), j], held_by[:len(g), j] = g, one
+    ids = table[held_by]  # by position, so by word
+    word_at = np.cumsum(np.frombuffer(data, np.uint8) == 32, dtype=np.int32) - 1
+    sizes = np.bincount(word_at, held_by.sum(1), n_words + 1)[:n_words].astype(np.int64)
+    del grams, table, held_by, word_at, data
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
     # texts of each class that hold an n-gram
-    text_of = np.repeat(np.arange(len(y)), counts)
+    stop, text_of, ok = windows(counts)
     seen = np.unique(text_of * np.int64(n_words) + flat)
     t_of, w_of = seen // n_words, seen % n_words
+    del seen
     held = np.zeros((2, BUCKETS))
-    for a in range(0, len(seen), 200_000):  # in blocks, to bound memory
-        tw, ww = t_of[a:a + 200_000], w_of[a:a + 200_000]
+    for a in range(0, len(t_of), 50_000):  # in blocks, to bound memory
+        tw, ww = t_of[a:a + 50_000], w_of[a:a + 50_000]
         g = np.concatenate([ids[at[w]:at[w] + sizes[w]] for w in ww])
         c = y[np.repeat(tw, sizes[ww])]
         for k in (0, 1):
             held[k] += np.bincount(g[c == k], minlength=BUCKETS)
+    del t_of, w_of
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     start = np.log((held[1] + 1) / (n1 + 2)) - np.log((held[0] + n0 / n1) / (n0 + 2 * n0 / n1))
 
@@ -174,7 +191,8 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None, steps: i
     starts = np.cumsum(counts) - counts
     for step in range(1, steps + 1):
         by_word = np.add.reduceat((emb @ (out[:, 1] - out[:, 0]))[ids], at) / sizes
-        mean, top = window_odds(by_word[flat], counts)
+        mean = window_odds(by_word[flat], stop, ok)
+        top = np.maximum.reduceat(mean, starts)
         hit = np.flatnonzero(mean == top[text_of])
         chosen = hit[np.unique(text_of[hit], return_index=True)[1]]  # the first highest window of each text
         n = np.minimum(WINDOW, starts + counts - chosen)
@@ -205,7 +223,7 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None, steps: i
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", per_class: int = 2000, max_chars: int = 10_000) -> Model:
+          label_col: str = "toxic", per_class: int = 1500, max_chars: int = 6_000) -> Model:
     """Fits on a bounded sample of the labelled rows of ``labels``."""
     rows = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
     share = rows.agg(F.avg("y")).collect()[0][0]
@@ -216,8 +234,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .filter(F.char_length("t").between(1, max_chars))
              .join(F.broadcast(sample), "i")  # at most 3 * per_class ids
              .select("t", "y").collect())
-    found.sort(key=lambda r: (r["y"], r["t"]))
-    return fit([r["t"] for r in found], [r["y"] for r in found], share or 0.0)
+    found = sorted((r["y"], r["t"]) for r in found)
+    return fit((t for _, t in found), [y for y, _ in found], share or 0.0)
 
 
 def score(text: Column, model: Model) -> Column:
