@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
 
-SECTION, PARAGRAPH = r"(?<=\n\n)(?!\n)", r"(?<=\n)"
+SECTION, PARAGRAPH = r"(?<=\n\n)(?!\n|\z)", r"(?<=\n)(?!\z)"
 WORD, PLACE = r"\S++\s*+", 8
 BITS = 8
 
@@ -85,12 +85,12 @@ def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column)
 def successors(values: DataFrame) -> DataFrame:
     """``values``: distinct non-null bigints v. Returns (v, next): the next
     larger value, null for the largest."""
+    if values.limit(2**BITS + 1).count() <= 2**BITS:  # few enough for one window
+        return values.select("v", F.lead("v").over(Window.orderBy("v")).alias("next"))
     inside = Window.partitionBy(F.shiftright("v", BITS)).orderBy("v")
     values = written(values.withColumn("next", F.lead("v").over(inside)).withColumn("g", F.shiftright("v", BITS)),
                      "successors")
     groups = values.groupBy("g").agg(F.min("v").alias("least"))
-    if groups.limit(2).count() < 2:
-        return values.select("v", "next")
     after = successors(groups.select(F.col("g").alias("v"))).withColumnsRenamed({"v": "g", "next": "h"})
     heads = groups.withColumnsRenamed({"g": "h", "least": "head"})
     edge = values.filter("next IS NULL").join(after, "g").join(heads, "h", "left").select("v", F.col("head").alias("next"))
