@@ -32,20 +32,20 @@ Review:
 {COMMENT_PH}"""
 
 _EXAMPLES = """Worked examples:
-Business: Corner bakery, fresh bread
-Review: "The sourdough was still warm and the staff were kind."
+Business: Riverside bicycle workshop, repairs while you wait
+Review: "They trued my wheel in twenty minutes and showed me the worn spoke."
 Classification: valid
 
-Business: Corner bakery, fresh bread
-Review: "Best deals on phones, visit my shop online today!"
+Business: Riverside bicycle workshop, repairs while you wait
+Review: "Half price roof cleaning all month, call Dana and quote BIKE10."
 Classification: advertisement
 
-Business: Corner bakery, fresh bread
-Review: "My cat learned a new trick yesterday."
+Business: Riverside bicycle workshop, repairs while you wait
+Review: "The sunset over the harbour was orange tonight."
 Classification: irrelevant
 
-Business: Corner bakery, fresh bread
-Review: "Never been there but I heard it is terrible."
+Business: Riverside bicycle workshop, repairs while you wait
+Review: "My neighbour says they overcharge, so I would not set foot inside."
 Classification: rants without visit"""
 
 TEMPLATES = {
@@ -88,12 +88,12 @@ then end with the line
 Classification: <class>""",
 }
 
+#: shown name, what the template asks for
 TEMPLATE_INFO = {
-    "zero_shot": ("Zero-shot", "Direct classification without examples; fastest and cheapest"),
-    "few_shot": ("Few-shot", "Classification with fixed examples; balanced accuracy and cost"),
-    "few_shot_cot": ("Few-shot + Chain-of-Thought", "Fixed examples and written reasoning; slower"),
-    "cot_rag": ("COT RAG (Chain-of-Thought + Retrieval Augmented Generation)",
-                "Retrieved similar labelled reviews and reasoning; most context-aware"),
+    "zero_shot": ("Guide only", "Class guide and review; one answer line"),
+    "few_shot": ("Guide and four cases", "Adds one worked case of each class; one answer line"),
+    "few_shot_cot": ("Four cases, argued", "Worked cases; asks for an argument before the answer line"),
+    "cot_rag": ("Retrieved cases, argued", "Cases come from the vector index; asks for an argument before the answer line"),
 }
 
 
@@ -106,12 +106,12 @@ def template_column(template) -> Column:
     name raises at run time (lazy ``raise_error``)."""
     if isinstance(template, str):
         if template not in TEMPLATES:
-            raise ValueError(f"Unknown template type: {template}. Valid options: {', '.join(TEMPLATES)}")
+            raise ValueError(f"no template {template!r}; there are {', '.join(TEMPLATES)}")
         return F.lit(TEMPLATES[template])
     m = F.create_map(*[x for k, v in TEMPLATES.items() for x in (F.lit(k), F.lit(v))])
     txt = F.element_at(m, template)
     return F.when(txt.isNotNull(), txt).otherwise(
-        F.raise_error(F.concat(F.lit("Unknown template type: "), F.coalesce(template, F.lit("NULL")))))
+        F.raise_error(F.concat(F.lit("no template "), F.coalesce(template, F.lit("NULL")))))
 
 
 def render_prompt(store, comment, template="few_shot", examples=None) -> Column:
@@ -119,7 +119,7 @@ def render_prompt(store, comment, template="few_shot", examples=None) -> Column:
     store = F.col(store) if isinstance(store, str) else store
     comment = F.col(comment) if isinstance(comment, str) else comment
     if isinstance(template, str) and template == "cot_rag" and examples is None:
-        raise ValueError("retrieved_examples is required for cot_rag template type")
+        raise ValueError("the cot_rag template needs examples")
     out = F.replace(template_column(template), F.lit(STORE_PH), store)
     out = F.replace(out, F.lit(COMMENT_PH), comment)
     if examples is not None:

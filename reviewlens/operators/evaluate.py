@@ -32,11 +32,13 @@ def label_name(label_id, labels=CLASSES) -> Column:
 
 
 def is_error_prediction(c) -> Column:
-    return F.coalesce(_col(c).startswith(ERROR_PREFIX), F.lit(False))
+    bare = F.trim(_col(c)) == ERROR_PREFIX.rstrip(":")
+    return F.coalesce(_col(c).startswith(ERROR_PREFIX) | bare, F.lit(False))
 
 
 def filter_error_predictions(df: DataFrame, pred: str = "y_pred") -> DataFrame:
-    """PRED-7: drop predictions starting with 'ERROR:'; NULL is kept (wrong)."""
+    """PRED-7: drop predictions that start with 'ERROR:' or are a bare 'ERROR';
+    NULL is kept (wrong)."""
     return df.filter(~is_error_prediction(F.col(pred)))
 
 
@@ -44,18 +46,21 @@ def align(truth: DataFrame, pred: DataFrame, key: str = "review_id",
           truth_col: str = "label", pred_col: str = "label") -> DataFrame:
     """JOIN-3: align truth and predictions by key (not by file position).
 
-    A full outer join; a key on one side only raises at run time, so no
-    extra pass over the data is needed for the check.
+    One grouped pass: a key must come exactly once on each side. The check
+    sits in both label columns, so no metric can be computed without it.
     """
-    t = truth.select(F.col(key).alias("_kt"), F.col(truth_col).alias("y_true"))
-    p = pred.select(F.col(key).alias("_kp"), F.col(pred_col).alias("y_pred"))
-    j = t.join(p, F.col("_kt") == F.col("_kp"), "full_outer")
-    ok = F.col("_kt").isNotNull() & F.col("_kp").isNotNull()
-    return j.select(
-        F.when(ok, F.coalesce("_kt", "_kp")).otherwise(F.raise_error(F.concat(
-            F.lit("Row mismatch between truth and predictions at key "),
-            F.coalesce(F.col("_kt"), F.col("_kp")).cast("string")))).alias(key),
-        "y_true", "y_pred")
+    t = truth.select(F.col(key).alias(key), F.lit(1).alias("_t"), F.lit(0).alias("_p"),
+                     F.col(truth_col).alias("y_true"), F.lit(None).cast("string").alias("y_pred"))
+    p = pred.select(F.col(key).alias(key), F.lit(0).alias("_t"), F.lit(1).alias("_p"),
+                    F.lit(None).cast("string").alias("y_true"), F.col(pred_col).alias("y_pred"))
+    g = t.unionByName(p).groupBy(key).agg(F.sum("_t").alias("_t"), F.sum("_p").alias("_p"),
+                                          F.max("y_true").alias("y_true"), F.max("y_pred").alias("y_pred"))
+    once = (F.col("_t") == 1) & (F.col("_p") == 1)
+    wrong = F.raise_error(F.concat(
+        F.lit("each key needs one truth row and one prediction; key "),
+        F.coalesce(F.col(key).cast("string"), F.lit("NULL")), F.lit(" has "), F.col("_t").cast("string"), F.lit(" and "),
+        F.col("_p").cast("string")))
+    return g.select(key, *[F.when(once, F.col(c)).otherwise(wrong).alias(c) for c in ("y_true", "y_pred")])
 
 
 def align_mismatch(truth: DataFrame, pred: DataFrame, key: str = "review_id") -> DataFrame:
@@ -66,16 +71,30 @@ def align_mismatch(truth: DataFrame, pred: DataFrame, key: str = "review_id") ->
 
 
 def prediction_counts(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
-                      labels=CLASSES, by=()) -> DataFrame:
-    """The one shuffle: counts per (by..., folded truth, folded prediction, correct)."""
+                      labels=CLASSES, by=(), groups: DataFrame | None = None) -> DataFrame:
+    """The one shuffle: counts per (by..., folded truth, folded prediction,
+    correct). ``groups`` holds the groups that must appear, e.g. those of the
+    input before error rows were dropped: one left without rows counts 0, so
+    its overall metrics fail instead of being left out."""
     t, p = F.col(y_true), F.col(y_pred)
     fold = lambda c: F.when(c.isin(*labels), c).otherwise(F.lit(OTHER_LABEL))
-    return (df.groupBy(*by, fold(t).alias("y_true"), fold(p).alias("y_pred"),
-                       F.coalesce(t == p, F.lit(False)).alias("correct"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    counts = (df.groupBy(*by, fold(t).alias("y_true"), fold(p).alias("y_pred"),
+                         F.coalesce(t == p, F.lit(False)).alias("correct"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    return counts if groups is None else counts.unionByName(_zero(groups.select(*by).distinct()))
 
 
-def _with_labels(counts: DataFrame, labels) -> DataFrame:
+def _zero(groups: DataFrame) -> DataFrame:
+    """A count of 0 for each row of ``groups``."""
+    none = F.lit(OTHER_LABEL)
+    return groups.select("*", none.alias("y_true"), none.alias("y_pred"), F.lit(False).alias("correct"),
+                         F.lit(0).cast("long").alias("n"))
+
+
+def _with_labels(counts: DataFrame, labels, by=()) -> DataFrame:
+    if not by:  # every label appears, whatever the input holds
+        one = counts.sparkSession.range(1).select()
+        counts = counts.select("y_true", "y_pred", "correct", "n").unionByName(_zero(one))
     lab = F.explode(F.array(*[F.struct(F.lit(i).alias("label_id"), F.lit(x).alias("label"))
                               for i, x in enumerate(labels)])).alias("_lab")
     return counts.select("*", lab).select("*", "_lab.label_id", "_lab.label").drop("_lab")
@@ -86,7 +105,7 @@ def per_class_metrics(counts: DataFrame, labels=CLASSES, by=()) -> DataFrame:
 
     Also carries the group totals (rows, correct rows) used by EVAL-2/4/5.
     """
-    x = _with_labels(counts, labels)
+    x = _with_labels(counts, labels, by)
     yt, yp, lab, n = F.col("y_true"), F.col("y_pred"), F.col("label"), F.col("n")
     agg = x.groupBy(*by, "label_id", "label").agg(
         F.sum(F.when((yt == lab) & (yp == lab), n).otherwise(0)).alias("tp"),
@@ -126,7 +145,7 @@ def overall_metrics(per_class: DataFrame, by=(), extra=()) -> DataFrame:
     )
     total = F.coalesce(F.col("total"), F.lit(0))
     acc = F.when(total > 0, F.col("correct") / total).otherwise(
-        F.raise_error(F.lit("No valid predictions found (all are errors)")))
+        F.raise_error(F.lit("no prediction is left to evaluate")))
     return g.select(*by, total.cast("long").alias("n_rows"), acc.alias("accuracy"), "support_total",
                     "precision_weighted", "recall_weighted", "f1_weighted",
                     "precision_macro", "recall_macro", "f1_macro",
@@ -136,7 +155,7 @@ def overall_metrics(per_class: DataFrame, by=(), extra=()) -> DataFrame:
 def confusion_matrix(counts: DataFrame, labels=CLASSES, by=()) -> DataFrame:
     """EVAL-6: zero-filled matrix in label order; rows = actual label.
     Truth or prediction outside the labels is dropped here only."""
-    x = _with_labels(counts, labels)
+    x = _with_labels(counts, labels, by)
     cols = [F.sum(F.when((F.col("y_true") == F.col("label")) & (F.col("y_pred") == p), F.col("n"))
                   .otherwise(0)).cast("long").alias("pred_" + p.replace(" ", "_"))
             for p in labels]

@@ -24,7 +24,7 @@ def require_columns(df: DataFrame, cols) -> DataFrame:
     """SRC-6: fail at plan time, naming every missing column."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise MissingColumnsError(f"Missing required columns: {', '.join(missing)}")
+        raise MissingColumnsError(f"columns not found: {', '.join(missing)}")
     return df
 
 

@@ -47,7 +47,8 @@ def split_exact(df: DataFrame, key: str, test_ratio: float = 0.1, seed: int = 42
         raise ValueError("test_ratio must be between 0 and 1")
     from ..session import stable  # read twice (prefix counts, then tagging): never re-run a model
     df = stable(df, "split-input")
-    h = df.withColumn("_h", hash_bucket32(key, seed)).withColumn("_b", F.shiftright("_h", 16))
+    # a NULL key hashes to 0: its rows are counted, ranked first (by their other columns) and kept
+    h = df.withColumn("_h", F.coalesce(hash_bucket32(key, seed), F.lit(0).cast("long"))).withColumn("_b", F.shiftright("_h", 16))
     # bounded table: one row per 16-bit prefix present (<= 65,536 rows)
     buckets = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w_all = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -64,7 +65,7 @@ def split_exact(df: DataFrame, key: str, test_ratio: float = 0.1, seed: int = 42
     decided = x.filter(~is_edge).withColumn(
         col, F.when(F.col("_before") + F.col("_cnt") <= F.col("_target"), "test").otherwise("train"))
     # rows of the single boundary prefix (~n/65,536): ranked by (h, key)
-    w = Window.partitionBy("_b").orderBy("_h", key)
+    w = Window.partitionBy("_b").orderBy("_h", key, *[F.xxhash64(*df.columns)])
     edge = x.filter(is_edge).withColumn("_r", F.row_number().over(w)).withColumn(
         col, F.when(F.col("_before") + F.col("_r") <= F.col("_target"), "test").otherwise("train")).drop("_r")
     out = decided.unionByName(edge)

@@ -191,6 +191,24 @@ def block_counts(nq: int, nc: int, corpus_block_rows: int, query_block_rows: int
     return nb, nqb
 
 
+def is_usable(embedding, dim: int | None) -> Column:
+    """A vector of ``dim`` finite numbers (None: of any length)."""
+    v = _c(embedding).cast("array<double>")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    right = F.size(v) == dim if dim is not None else F.lit(True)
+    return F.coalesce(v.isNotNull() & right & ~bad, F.lit(False))
+
+
+def usable_vectors(df: DataFrame, embedding: str = "embedding", dim: int | None = None) -> DataFrame:
+    return df.filter(is_usable(embedding, dim))
+
+
+def unusable_vectors(df: DataFrame, embedding: str = "embedding", dim: int | None = None) -> DataFrame:
+    """The rows that ``topk_similar`` sets apart: NULL, short, long or
+    non-finite vectors. They are no hits, get none, and disturb no other."""
+    return df.filter(~is_usable(embedding, dim))
+
+
 def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id",
                  vec_id: str = "vec_id", embedding: str = "embedding", carry=("label",),
                  normalize: bool = True, corpus_block_rows: int = 50_000, query_block_rows: int = 20_000,
@@ -202,12 +220,17 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: st
     the corpus is smaller than k (JOIN-5). Ranking uses the score rounded
     to ``tie_decimals`` so that float summation order cannot reorder
     equal vectors; exact ties go to the lower vec_id. Query ids must be
-    unique (each id's merge window holds its blocks x k candidates)."""
+    unique (each id's merge window holds its blocks x k candidates). The
+    rounding departs from raw score order for scores closer than that.
+    Vectors that are NULL, of another length than the corpus's longest or not
+    finite are set apart on both sides (``unusable_vectors`` lists them)."""
     from ..session import stable  # inputs are read twice (sizes, then scoring): never re-run a model
     queries, corpus = stable(queries, "topk-queries"), stable(corpus, "topk-corpus")
     if skip_failed and "embed_failed" in corpus.columns:  # UDF-4: zero vectors of failed embeddings
         corpus = corpus.filter(~F.coalesce(F.col("embed_failed"), F.lit(False)))
     carry = [c for c in carry if c in corpus.columns]
+    dim_ = corpus.agg(F.max(F.size(embedding))).collect()[0][0]
+    queries, corpus = (usable_vectors(x, embedding, dim_) for x in (queries, corpus))
     emb = (l2_normalize(embedding) if normalize else _c(embedding).cast("array<double>")).alias("emb")
     # sizes of both sides and the vector dimension in one job (partial aggregation, two rows back)
     sides = (queries.select(F.lit(0).alias("_side"), F.lit(None).cast("int").alias("_d"))

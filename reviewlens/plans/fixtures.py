@@ -54,19 +54,6 @@ def fx_meta(spark, sf_dir) -> DataFrame:
     )
 
 
-_META_FITS: dict[tuple, bool] = {}
-
-
-def meta_fits(spark, sf_dir) -> bool:
-    """Broadcast decision for ``fx_meta`` (measured by ``fits_broadcast``),
-    taken once per session and path: the driver tables are read-only."""
-    from ..operators.join import fits_broadcast
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
-    if key not in _META_FITS:
-        _META_FITS[key] = fits_broadcast(fx_meta(spark, sf_dir))
-    return _META_FITS[key]
-
-
 def fx_review(spark, sf_dir) -> DataFrame:
     return review_view(table(spark, sf_dir, "documents"))
 
@@ -165,7 +152,11 @@ def fx_query(spark, sf_dir) -> DataFrame:
 
 
 def fx_logits(spark, sf_dir) -> DataFrame:
-    """Model outputs for the truth set: first four embedding values as logits."""
-    e = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("logits"), "label")
-    return e
+    """Model outputs for the truth set: four logits from the whole vector,
+    component i adding to logit i mod 4."""
+    def logit(j):
+        part = F.filter(F.col("embedding").cast("array<double>"), lambda x, i: i % 4 == j)
+        return F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x)
+
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.array(*[logit(j) for j in range(len(CLASSES))]).alias("logits"), "label")

@@ -151,9 +151,11 @@ SELECT template, n_rows, support_total, {_r(OVERALL_COLS)} FROM ov""", "fx_pred_
 def q_metrics_by_template(spark, sf_dir):
     """EVAL-11: the template sweep, all four templates in one job (template
     is part of every group key: one shuffle for the whole sweep)."""
-    p = ev.filter_error_predictions(fx.fx_pred_by_template(spark, sf_dir))
+    rows = fx.fx_pred_by_template(spark, sf_dir)
+    p = ev.filter_error_predictions(rows)
     by = ["template"]
-    return ev.overall_metrics(ev.per_class_metrics(ev.prediction_counts(p, by=by), by=by), by=by)
+    counts = ev.prediction_counts(p, by=by, groups=rows)
+    return ev.overall_metrics(ev.per_class_metrics(counts, by=by), by=by)
 
 
 @query("metrics_report_by_template", with_ctes(f"WITH {TPL_BASE}, " + _report_sql("tbase", LABS, "template"),
@@ -183,7 +185,7 @@ def q_metrics_json(spark, sf_dir):
                          "m.precision", "m.recall", "m.f1", "m.support")
 
 
-LOGITS = """lg AS (SELECT e.vec_id, CAST(e.embedding[1:4] AS DOUBLE[]) AS logits, e.label % 4 AS true_id, d.text
+LOGITS = """lg AS (SELECT e.vec_id, list_transform([0, 1, 2, 3], lambda j: list_sum(list_filter(CAST(e.embedding AS DOUBLE[]), lambda x, i: (i - 1) % 4 = j))) AS logits, e.label % 4 AS true_id, d.text
   FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id),
 sm AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM lg),
 pr AS (SELECT *, list_transform(ex, lambda x: x / list_sum(ex)) AS probs,

@@ -36,7 +36,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this is set by the deployment and must be shared storage.
     Otherwise the SparkContext's checkpoint folder is used if one was set;
-    only when neither exists (local tests) a private temp folder is created
+    with neither, a cluster is refused, and in local mode a private temp folder is created
     and registered with ``setCheckpointDir`` (the core setting itself cannot
     be changed at run time)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     cp = sc.getCheckpointDir()
     if cp is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="reviewlens-ckpt-"))
         cp = sc.getCheckpointDir()
     return cp[len("file:"):] if cp.startswith("file:") else cp

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 BAD = "_bad_record"
 
@@ -22,15 +23,29 @@ def _with_bad(schema: StructType) -> StructType:
     return StructType(list(schema.fields) + [StructField(BAD, StringType(), True)])
 
 
+def _as_text(schema: StructType) -> StructType:
+    """The schema with its single values as text, so that a value of another
+    type than declared does not make its whole object undecodable."""
+    return StructType([f if isinstance(f.dataType, (ArrayType, MapType, StructType))
+                       else StructField(f.name, StringType(), True) for f in schema.fields])
+
+
+def _typed(value, field: StructField):
+    """A text value as declared; NULL if it is nothing of that type."""
+    if isinstance(field.dataType, (ArrayType, MapType, StructType, StringType)):
+        return value.alias(field.name)
+    return value.try_cast(field.dataType).alias(field.name)
+
+
 def scan_jsonl(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """SRC-1: one JSON object per line. Undecodable lines (truncated
     objects, scalars, scalar arrays) are kept apart, not fatal; blank lines
     are skipped; a line holding an array of objects yields one row per
     object. Returns (good rows, bad lines)."""
-    raw = (spark.read.schema(_with_bad(schema)).option("mode", "PERMISSIVE")
+    raw = (spark.read.schema(_with_bad(_as_text(schema))).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", BAD).json(path))
     names = [f.name for f in schema.fields]
-    good = raw.filter(F.col(BAD).isNull()).select(*names)
+    good = raw.filter(F.col(BAD).isNull()).select(*[_typed(F.col(f.name), f) for f in schema.fields])
     # Spark refuses a scan of raw JSON whose pruned columns are only the
     # corrupt-record column (e.g. ``bad.count()``); the filter also reads a
     # data column (always true for bad lines) so pruning keeps it.
@@ -78,24 +93,40 @@ def jsonl_problems(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.col("problem").isNotNull()))
 
 
+def _below(spark: SparkSession, path: str):
+    """The file's path below the input: relative to ``path`` if that is a
+    folder, to the last folder before a wildcard, or the file's own name."""
+    fixed = re.split(r"[*?{\[]", path)[0]
+    if fixed != path:
+        fixed = fixed.rsplit("/", 1)[0]
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(fixed)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = store.makeQualified(root)
+    if store.exists(root) and not store.getFileStatus(root).isDirectory():
+        root = root.getParent()
+    parts = len([x for x in root.toUri().getPath().split("/") if x])
+    steps = F.split(F.regexp_replace("file", "^[^:/]+:(//[^/]*)?/+", ""), "/")
+    return F.array_join(F.slice(steps, F.lit(parts + 1), F.size(steps)), "/")
+
+
 def scan_jsonl_numbered(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """SRC-1 with identity: the decodable rows of NDJSON files, each with
-    ``file`` (base name), ``line_number`` and ``item`` (position inside a
+    ``file`` (its path below ``path``), ``line_number`` and ``item`` (position inside a
     line holding an array of objects, else 0). The same rows as
     ``scan_jsonl``, keyed by where they are in the input, which does not
     depend on how Spark splits the files."""
-    from pyspark.sql.types import ArrayType
-
     n = numbered_lines(spark, path)
+    text = _as_text(schema)
     v = F.try_parse_json(F.col("value"))
     kind = F.schema_of_variant(v)
-    one = F.array(F.from_json(F.col("value"), schema))
-    many = F.from_json(F.col("value"), ArrayType(schema))
+    one = F.array(F.from_json(F.col("value"), text))
+    many = F.from_json(F.col("value"), ArrayType(text))
     items = (F.when(v.isNotNull() & kind.startswith("OBJECT"), one)
              .when(v.isNotNull() & kind.startswith("ARRAY<OBJECT"), many))
-    x = n.select(F.element_at(F.split("file", "/"), -1).alias("file"), "line_number",
+    x = n.select(_below(spark, path).alias("file"), "line_number",
                  F.posexplode(items).alias("item", "r"))
-    return x.select("file", "line_number", "item", *[F.col("r")[f.name].alias(f.name) for f in schema.fields])
+    return x.select("file", "line_number", "item", *[_typed(F.col("r")[f.name], f) for f in schema.fields])
 
 
 def not_json_arrays(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .constants import CLASSES, DEFAULT_CLEAN_PATTERN
 from .operators import evaluate as ev
@@ -36,13 +36,14 @@ def _schema(*fields: tuple[str, object]) -> StructType:
     return StructType([StructField(n, t, True) for n, t in fields])
 
 
-# nested values (category list, hours, reply object) are read as their JSON text
+# nested values (category list, hours, reply object) and numbers are read as their JSON text, so that a
+# value of an unexpected type keeps its row and its wording
 META_SCHEMA = _schema(("gmap_id", StringType()), ("name", StringType()), ("address", StringType()),
-                      ("description", StringType()), ("category", StringType()), ("avg_rating", DoubleType()),
-                      ("num_of_reviews", LongType()), ("price", StringType()), ("hours", StringType()),
+                      ("description", StringType()), ("category", StringType()), ("avg_rating", StringType()),
+                      ("num_of_reviews", StringType()), ("price", StringType()), ("hours", StringType()),
                       ("state", StringType()))
 REVIEW_SCHEMA = _schema(("gmap_id", StringType()), ("text", StringType()), ("name", StringType()),
-                        ("rating", LongType()), ("time", LongType()), ("resp", StringType()))
+                        ("rating", StringType()), ("time", StringType()), ("resp", StringType()))
 HASH_MODEL = "hash-{dim}"
 
 
@@ -101,9 +102,10 @@ def profile(train: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
 
 def build_index(labelled: DataFrame, index_path: str, text: str = "text_info", label: str = "ai_classification",
                 id_col: str = "review_id", dim: int = 64, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """PIPE-3: PRED-1 -> FN-13 -> UDF-5 (hashed embedder) -> FN-9 -> SRC-7.
+    """PIPE-3: PRED-1 -> PRED-7 (error answers are no examples) -> FN-13 -> UDF-5 (hashed embedder) -> FN-9 -> SRC-7.
     Skipped when an index is present, unless ``force``."""
-    rows = dropna_required(require_columns(labelled, [text, label]), [text, label]).select(
+    rows = ev.filter_error_predictions(dropna_required(require_columns(labelled, [text, label]), [text, label]), label)
+    rows = rows.select(
         F.col(id_col).alias("vec_id"), "store_info", text, label, V.hash_embedding(text, dim).alias("embedding"))
     R.save_vector_index(rows, index_path, HASH_MODEL.format(dim=dim), force=force)
     return R.load_vector_index(labelled.sparkSession, index_path)
@@ -120,7 +122,7 @@ def classify(reviews: DataFrame, output_path: str, template: str = "few_shot", f
     keep = tuple(c for c in x.columns if c not in ("prompt",))
     if template == "cot_rag":
         if index_path is None:
-            raise ValueError("retrieved_examples is required for cot_rag template type")
+            raise ValueError("the cot_rag template needs index_path, where its examples come from")
         idx, man = R.load_vector_index(reviews.sparkSession, index_path)
         dim = int(man.first()["dimension"])
         q = x.select(F.col("review_id").alias("query_id"), V.hash_embedding("text_info", dim).alias("embedding"))

@@ -1,11 +1,11 @@
 """SRC-8 (re-aimed single-review mode): classify reviews as they land.
 
-A file-source stream of review rows goes through the same DataFrame
-functions as the batch job (stream-static join with store metadata,
-composition, render -> score -> parse) and is appended to a Parquet sink.
-Every step is stateless, so no watermark is needed; exactly-once output
-comes from the sink's commit log under the checkpoint folder, which must
-be shared storage on a cluster (``spark.checkpoint.dir``).
+Each micro batch of review rows goes through the batch job's own functions
+(join with store metadata, composition, render -> score -> parse), so a store
+that holds much of a batch is salted there as in any batch. Every step is
+stateless, so no watermark is needed. A batch is written as a whole to its own
+folder of the sink (``batch_id=N``), so one that runs again replaces itself.
+Checkpoint and sink must be on shared storage (``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -38,9 +38,12 @@ def classify_stream(reviews: DataFrame, meta: DataFrame, factory, template: str
     base = os.path.join(checkpoint_dir(spark), f"stream-classify-{uuid.uuid4().hex}")
     sink_path = sink_path or os.path.join(base, "out")
     checkpoint_path = checkpoint_path or os.path.join(base, "ckpt")
-    composed = compose_reviews(join_meta_review(meta, reviews))
-    out = with_error_text(classify(composed, factory, template=template, base_wait=1.0))
-    w = (out.writeStream.format("parquet").option("path", sink_path)
-         .option("checkpointLocation", checkpoint_path).outputMode("append"))
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        composed = compose_reviews(join_meta_review(meta, batch))
+        out = with_error_text(classify(composed, factory, template=template, base_wait=1.0))
+        out.write.mode("overwrite").parquet(os.path.join(sink_path, f"batch_id={batch_id}"))
+
+    w = reviews.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start(), sink_path

@@ -2,12 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from reviewlens.plans import catalog  # noqa: F401  (registers the library's own queries)
+from reviewlens.plans.registry import QUERIES
 from tools.plan_report import summarize
 
-QUERIES = E.queries()
-
 
 @pytest.fixture(scope="module")
 def static_plans(spark):
