@@ -47,10 +47,10 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = written(simhash.near_dedup(docs, shingle=4, max_bits=4), "groups")
     keep = groups.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
     keep = written(keep.withColumnRenamed("id", "keep_id"), "keep")
-    same = docs["doc_id"] == keep["keep_id"]
-    out = docs.join(keep.filter("rows = 1"), same, "left_semi")
+    same = docs["doc_id"] == keep["keep_id"]  # a table of ids grows with the corpus: merged at every size
+    out = docs.join(keep.filter("rows = 1").hint("merge"), same, "left_semi")
     if not keep.filter("rows > 1").isEmpty():
-        out = out.unionByName(docs.join(keep.filter("rows > 1"), same, "left_semi").dropDuplicates(["doc_id"]))
+        out = out.unionByName(docs.join(keep.filter("rows > 1").hint("merge"), same, "left_semi").dropDuplicates(["doc_id"]))
     if not groups.filter("component_id IS NULL").isEmpty():
         out = out.unionByName(docs.filter("doc_id IS NULL"))
     return out
@@ -62,9 +62,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     not part of a mix."""
     mix = mixing.mix(docs).filter("id IS NOT NULL").groupBy("id").agg(F.min("copies").cast("int").alias("copies"))
     mix = written(mix.withColumnRenamed("id", "mix_id").filter("copies > 0"), "mix")
-    return docs.join(mix, docs["doc_id"] == mix["mix_id"]).select(
-        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), mix["copies"])).alias("copy_of_mix")
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(mix.hint("merge"), docs["doc_id"] == mix["mix_id"]).select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("d"), F.explode(F.sequence(F.lit(1), mix["copies"]))
+    ).select("d.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
