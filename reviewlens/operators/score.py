@@ -183,7 +183,10 @@ def _isolate(scorer, sub: pd.DataFrame):
     return answers, errors
 
 
-def _score_partition(factory: Callable[[], object], batch_size: int | None, max_retries: int, base_wait: float):
+def _score_partition(factory: Callable[[], object], batch_size: int | None, max_retries: int, base_wait: float,
+                     comment: str, back: list[str]):
+    """``comment``: the input column shown to the scorer as ``comment``;
+    ``back``: the input columns that leave Python again."""
     def run(it):
         scorer = factory()  # one client per task, not per row
         size = batch_size or getattr(scorer, "batch_size", None)
@@ -192,7 +195,7 @@ def _score_partition(factory: Callable[[], object], batch_size: int | None, max_
             errors: list[str | None] = []
             step = size or max(1, len(pdf))
             ok = pdf["prompt"].notna().to_numpy()
-            todo = pdf[ok]
+            todo = pdf.assign(comment=pdf[comment])[ok]
             for start in range(0, len(todo), step):
                 a, e = _score_batch(scorer, todo.iloc[start:start + step], max_retries, base_wait)
                 answers += a
@@ -203,7 +206,7 @@ def _score_partition(factory: Callable[[], object], batch_size: int | None, max_
                 for i, a, e in zip(ok.nonzero()[0], answers, errors):
                     full_a[i], full_e[i] = a, e
                 answers, errors = full_a, full_e
-            yield pdf.assign(ai_raw_response=answers, ai_error=errors).drop(columns=["prompt"])
+            yield pdf[back].assign(ai_raw_response=answers, ai_error=errors)
     return run
 
 
@@ -221,18 +224,22 @@ def classify(df: DataFrame, factory: Callable[[], object], template="few_shot",
     Arrow batch, which Spark caps by records and bytes); ``partitions``
     bounds the number of concurrent scorer clients."""
     tpl = F.lit(template) if isinstance(template, str) else template
-    cols = [F.col(c) for c in keep] + [tpl.alias("template"), F.col(comment).alias("comment")]
-    cols += [F.col(c) for c in context]
-    if examples is not None:
-        cols.append(F.col(examples))
+    kept = [c for c in keep if c != "template"]
+    cols = [F.col(c) for c in kept] + [tpl.alias("template")]
+    shown = comment  # a kept comment column is not sent a second time
+    if comment not in kept:
+        shown = "comment" if "comment" not in kept else "_comment"
+        cols.append(F.col(comment).alias(shown))
+    cols += [F.col(c) for c in dict.fromkeys((*context, *([examples] if examples else []))) if c not in kept]
     cols.append(render_prompt(store, comment, template, examples).alias("prompt"))
     x = df.select(*cols)
     if partitions:
         x = x.repartition(partitions)
-    schema = x.drop("prompt").schema.add("ai_raw_response", "string").add("ai_error", "string")
-    scored = x.mapInPandas(_score_partition(factory, batch_size, max_retries, base_wait), schema)
+    back = [*kept, "template"]
+    schema = x.select(*back).schema.add("ai_raw_response", "string").add("ai_error", "string")
+    scored = x.mapInPandas(_score_partition(factory, batch_size, max_retries, base_wait, shown, back), schema)
     parsed = F.when(F.col("ai_error").isNull(), parse_for_template(F.col("ai_raw_response"), F.col("template")))
-    return scored.select(*keep, "template", "ai_raw_response", "ai_error", parsed.alias("ai_classification"))
+    return scored.select(*back, "ai_raw_response", "ai_error", parsed.alias("ai_classification"))
 
 
 def with_error_text(df: DataFrame) -> DataFrame:

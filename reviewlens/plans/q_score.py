@@ -70,7 +70,7 @@ _ERR = "'ERROR: ValueError: scorer refused the text'"
 FROM fx_composed""", "fx_composed"))
 def q_classify_errors(spark, sf_dir):
     """UDF-3 / UDF-4: a scorer failing on some rows; the batch is retried,
-    then rows are scored one by one, failures become 'ERROR: …' rows and
+    then bisected down to the failing rows, which become 'ERROR: …' rows and
     the job goes on."""
     out = S.classify(composed(spark, sf_dir), RefusingScorer, template="zero_shot", base_wait=0.0, max_retries=2)
     return S.with_error_text(out).select("review_id", "ai_classification", "ai_raw_response")
