@@ -58,18 +58,24 @@ def hash_embedding(text, dim: int = 64) -> Column:
     """UDF-5 shipped embedder (no model, no network): lower-cased word
     tokens hashed (md5, first 32 bits) into ``dim`` buckets, counts L2
     normalised. Whole texts, pure column expressions, no shuffle: tokens
-    are hashed once per row, each bucket count is one native pass
-    (``size - size(array_remove)``), no per-element Python or lambda."""
+    are hashed once per row, then the buckets and one of each number below
+    ``dim`` are sorted, so that each bucket's count is the length of its run
+    less one. Work grows with tokens + dim, not with their product."""
     # FN-13 without rewriting the text: stripping cannot change the tokens
     # (white space separates them), only a blank text becomes 'No content'
     t = _c(text).cast("string")
     t = F.when(t.isNull() | t.rlike(rf"(?U)^{PY_WS}*$"), F.lit(NO_CONTENT)).otherwise(t)
     toks = F.array_remove(F.split(F.lower(t), TOKEN_SPLIT), "")
     buckets = F.transform(toks, lambda t: hash_bucket(t, dim))
-    counts = let(buckets, lambda b: F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double")))
-    return l2_normalize(counts)
+    runs = F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(dim - 1))))
+
+    def counted(s):
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1),
+                          lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda st: F.transform(
+            st, lambda at, j: (F.coalesce(F.get(st, j + 1), F.size(s)) - at - 1).cast("double")))
+
+    return l2_normalize(let(runs, counted))
 
 
 def _embed_bisect(embed_fn, texts: list[str], dim: int) -> tuple[list, list]:
@@ -140,23 +146,30 @@ CELL_SCORE_ELEMENTS = 1 << 24   # score-matrix elements per query chunk (~128 MB
 BLOCK_FLOATS = 1 << 25          # corpus block floats (~256 MB as float64)
 
 
-def _topk_cell(k: int, qid: str, vid: str, carry: list[str], decimals: int):
-    """Per-cell scorer: dense product in float64, then each query's top k by
-    (score rounded to ``decimals`` desc, vec_id asc); only those k rows leave
-    the Python worker. Queries are scored in chunks sized so one score
-    matrix stays near ``CELL_SCORE_ELEMENTS`` elements."""
+def _topk_cell(k: int, qid: str, vid: str, carry: list[str], decimals: int, normalize: bool):
+    """Per-cell scorer: FN-9 if ``normalize``, dense product in float64, then
+    each query's top k by (score rounded to ``decimals`` desc, vec_id asc);
+    only those k rows leave the Python worker. Queries are scored in chunks
+    sized so one score matrix stays near ``CELL_SCORE_ELEMENTS`` elements."""
+    def matrix(vectors: pd.Series) -> np.ndarray:
+        m = np.stack(vectors.to_numpy()).astype(np.float64)
+        if normalize:
+            norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            m /= np.where(norms > 0, norms, 1.0)
+        return m
+
     def fn(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "vec_id", "score", "rscore"] + carry
         if len(q) == 0 or len(c) == 0:
             return pd.DataFrame({x: [] for x in cols})
-        cm = np.stack(c["emb"].to_numpy()).astype(np.float64)
+        cm = matrix(c["emb"])
         cids = c[vid].to_numpy()
         qids = q[qid].to_numpy()
         kk = min(k, len(c))
         chunk = max(1, min(4096, CELL_SCORE_ELEMENTS // len(c)))
         out_q, out_i, out_s, out_r = [], [], [], []
         for s in range(0, len(q), chunk):
-            qm = np.stack(q["emb"].iloc[s:s + chunk].to_numpy()).astype(np.float64)
+            qm = matrix(q["emb"].iloc[s:s + chunk])
             raw = qm @ cm.T
             rs = np.round(raw, decimals)
             kth = -np.partition(-rs, kk - 1, axis=1)[:, kk - 1]
@@ -231,7 +244,7 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: st
     carry = [c for c in carry if c in corpus.columns]
     dim_ = corpus.agg(F.max(F.size(embedding))).collect()[0][0]
     queries, corpus = (usable_vectors(x, embedding, dim_) for x in (queries, corpus))
-    emb = (l2_normalize(embedding) if normalize else _c(embedding).cast("array<double>")).alias("emb")
+    emb = F.col(embedding).alias("emb")  # shuffled as stored (float32 stays float32), normalised in the cell
     # sizes of both sides and the vector dimension in one job (partial aggregation, two rows back)
     sides = (queries.select(F.lit(0).alias("_side"), F.lit(None).cast("int").alias("_d"))
              .unionByName(corpus.select(F.lit(1).alias("_side"), F.size(embedding).alias("_d"))))
@@ -261,7 +274,7 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: st
     schema = (f"query_id {queries.schema[query_id].dataType.simpleString()}, "
               f"vec_id {ctypes[vec_id]}, score double, rscore double" + "".join(f", {x} {ctypes[x]}" for x in carry))
     cand = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-            .applyInPandas(_topk_cell(kk, query_id, vec_id, carry, tie_decimals), schema))
+            .applyInPandas(_topk_cell(kk, query_id, vec_id, carry, tie_decimals, normalize), schema))
     if exclude_self:
         cand = cand.filter(F.col("query_id") != F.col("vec_id"))
     w = Window.partitionBy("query_id").orderBy(F.desc("rscore"), "vec_id")
