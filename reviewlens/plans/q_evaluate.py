@@ -169,7 +169,9 @@ def q_metrics_report_by_template(spark, sf_dir):
 
 @query("metrics_json", with_ctes(f"""WITH {BASE}, {_per_class_sql('base', LABS)}, {_overall_sql('base')}
 SELECT 'Multi-class Classification Metrics' AS title, round(o.accuracy, 6) AS accuracy,
-  round(o.f1_macro, 6) AS f1_macro, round(o.f1_weighted, 6) AS f1_weighted, p.label,
+  round(o.precision_weighted, 6) AS precision_weighted, round(o.recall_weighted, 6) AS recall_weighted,
+  round(o.f1_weighted, 6) AS f1_weighted, round(o.precision_macro, 6) AS precision_macro,
+  round(o.recall_macro, 6) AS recall_macro, round(o.f1_macro, 6) AS f1_macro, p.label,
   round(p.precision, 6) AS precision, round(p.recall, 6) AS recall, round(p.f1, 6) AS f1, p.support
 FROM ov o CROSS JOIN pcm p""", "fx_pred"))
 def q_metrics_json(spark, sf_dir):
@@ -179,10 +181,10 @@ def q_metrics_json(spark, sf_dir):
     r = ev.evaluate(aligned(spark, sf_dir))
     doc = metrics_json(r["per_class"], "Multi-class Classification Metrics")
     parsed = doc.select(F.from_json("json", METRICS_JSON_SCHEMA).alias("d"))
-    return parsed.select("d.title", "d.accuracy", "d.f1_macro", "d.f1_weighted",
-                         F.explode("d.per_class_metrics").alias("label", "m")) \
-                 .select("title", "accuracy", "f1_macro", "f1_weighted", "label",
-                         "m.precision", "m.recall", "m.f1", "m.support")
+    overall = ["title", "accuracy", "precision_weighted", "recall_weighted", "f1_weighted",
+               "precision_macro", "recall_macro", "f1_macro"]
+    return parsed.select("d.*").select(*overall, F.explode("per_class_metrics").alias("label", "m")) \
+                 .select(*overall, "label", "m.precision", "m.recall", "m.f1", "m.support")
 
 
 LOGITS = """lg AS (SELECT e.vec_id, list_transform([0, 1, 2, 3], lambda j: list_sum(list_filter(CAST(e.embedding AS DOUBLE[]), lambda x, i: (i - 1) % 4 = j))) AS logits, e.label % 4 AS true_id, d.text

@@ -150,20 +150,25 @@ def scan_json_array(spark: SparkSession, path: str, schema: StructType, check: b
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 5000, mode: str = "errorifexists") -> None:
-    """Write ``df`` as JSON-array files of about ``rows_per_file`` objects:
-    rows are hash-bucketed on all columns plus their position in the input
-    (so even identical duplicate rows spread evenly), each bucket becomes
-    one array in its own folder (bounded group size, no single-task write)."""
+def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 5000, mode: str = "errorifexists",
+                      bytes_per_file: int = 64 << 20) -> None:
+    """Write ``df`` as JSON-array files of about ``rows_per_file`` objects and
+    ``bytes_per_file`` bytes, whichever gives more files. Each array lies in
+    its own folder, no task writes more than a few of them.
+
+    Equal rows are counted first (pre-aggregated, so a row that repeats
+    without end costs no task more) and numbered when they are taken apart;
+    an object's file depends on its text and number alone, so a task that
+    runs again puts every object where it was."""
     from ..session import stable
-    df = stable(df, "json-arrays-input")  # counted, then written
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_file))
-    b = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id(), F.monotonically_increasing_id()),
-               F.lit(buckets)).alias("bucket")
-    doc = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*df.columns))), ","), F.lit("]"))
-    df.select("*", b).groupBy("bucket").agg(doc.alias("value")) \
-      .write.mode(mode).partitionBy("bucket").text(path)
+    objects = stable(df.select(F.to_json(F.struct(*df.columns)).alias("o")), "json-arrays-input")
+    n, size = objects.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("o")), F.lit(0))).collect()[0]
+    buckets = max(1, -(-n // rows_per_file), -(-int(size) // bytes_per_file))
+    one_by_one = (objects.groupBy("o").agg(F.count(F.lit(1)).alias("n"))
+                  .select("o", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")))
+    doc = F.concat(F.lit("["), F.array_join(F.collect_list("o"), ","), F.lit("]"))
+    (one_by_one.groupBy(F.pmod(F.xxhash64("o", "i"), F.lit(buckets)).alias("bucket")).agg(doc.alias("value"))
+     .write.mode(mode).partitionBy("bucket").text(path))
 
 
 CSV_READ = {"header": True, "multiLine": True, "quote": '"', "escape": '"',
