@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .oracle import _WS, h32, with_ctes
 from .q_prepare import CLASSIFIED_SQL, classified
 from .registry import composed, labelled, query, split_labelled
+from ..constants import PROFILE_ERROR_PATTERNS
 from ..operators import profile as pf
 from ..operators import split as sp
 
@@ -96,7 +97,7 @@ def q_top_categories(spark, sf_dir):
     return pf.top_categories(prof(spark, sf_dir))
 
 
-_PATS = ["ERROR:", "Error calling", "Rate limit", "API Error"]
+_PATS = list(PROFILE_ERROR_PATTERNS)
 _CCOLS = ["CAST(review_id AS VARCHAR)", "gmap_id", "store_info", "text_info", "ai_classification", "ai_raw_response"]
 
 
@@ -119,10 +120,12 @@ def q_error_pattern_counts(spark, sf_dir):
   count(store_avg_rating) AS store_rated_rows, round(avg(store_avg_rating), 6) AS store_rating_mean,
   round(stddev_samp(store_avg_rating), 6) AS store_rating_std, round(avg(text_length), 6) AS text_length_mean,
   round(median(CAST(text_length AS DOUBLE)), 6) AS text_length_median, min(text_length) AS text_length_min,
-  max(text_length) AS text_length_max, count(DISTINCT store_category) AS categories
+  max(text_length) AS text_length_max, count(DISTINCT store_category) AS categories,
+  round(min(extracted_rating), 6) AS rating_min, round(max(extracted_rating), 6) AS rating_max,
+  round(median(extracted_rating), 6) AS rating_median
 FROM prof GROUP BY split""", "fx_split"))
 def q_profile_dataset(spark, sf_dir):
-    """AGG-6: scalar profile of train and test in one aggregate."""
+    """AGG-6: scalar profile of train and test from one histogram."""
     return pf.profile_scalars(prof(spark, sf_dir), by=["split"])
 
 
@@ -133,14 +136,13 @@ UNION ALL SELECT split, 'rating', CAST(extracted_rating AS VARCHAR), count(*) FR
   WHERE extracted_rating IS NOT NULL GROUP BY split, extracted_rating
 UNION ALL SELECT split, 'category', store_category, count(*) FROM prof GROUP BY split, store_category""", "fx_split"))
 def q_profile_distributions(spark, sf_dir):
-    """AGG-6: class / rating / category distributions per split, one
-    GROUPING SETS aggregate."""
+    """AGG-6: class / rating / category distributions per split, one histogram."""
     return pf.profile_distributions(prof(spark, sf_dir), "split")
 
 
-def _sides(spark, sf_dir):
-    p = prof(spark, sf_dir)
-    return p.filter(F.col("split") == "train"), p.filter(F.col("split") == "test")
+def _by_split(spark, sf_dir, col):
+    """Both sides' histogram of ``col`` from one pass."""
+    return pf.histogram(prof(spark, sf_dir), [col], ["split"])
 
 
 @query("compare_class_distribution", with_ctes(f"""WITH {PROF},
@@ -154,8 +156,7 @@ SELECT coalesce(tr.ai_classification, te.ai_classification) AS ai_classification
 FROM tr FULL OUTER JOIN te ON tr.ai_classification = te.ai_classification""", "fx_split"))
 def q_compare_class_distribution(spark, sf_dir):
     """JOIN-6 / SET-2: train vs test class shares, absent = 0."""
-    tr, te = _sides(spark, sf_dir)
-    return pf.compare_class_distribution(tr, te)
+    return pf.class_comparison(_by_split(spark, sf_dir, "ai_classification"))
 
 
 @query("compare_sizes_ratings", with_ctes(f"""WITH {PROF} SELECT
@@ -169,8 +170,7 @@ def q_compare_class_distribution(spark, sf_dir):
 FROM prof""", "fx_split"))
 def q_compare_sizes_ratings(spark, sf_dir):
     """AGG-13: sizes, ratio, mean ratings and their difference."""
-    tr, te = _sides(spark, sf_dir)
-    return pf.compare_sizes_ratings(tr, te)
+    return pf.sizes_ratings(_by_split(spark, sf_dir, "extracted_rating"))
 
 
 @query("category_overlap", with_ctes(f"""WITH {PROF},
@@ -186,8 +186,7 @@ SELECT side, count(*) AS n_categories,
 FROM r GROUP BY side""", "fx_split"))
 def q_category_overlap(spark, sf_dir):
     """SET-1: common / train-only / test-only categories."""
-    tr, te = _sides(spark, sf_dir)
-    return pf.category_overlap(tr, te)
+    return pf.overlap(_by_split(spark, sf_dir, "store_category"))
 
 
 @query("split_hash", with_ctes(f"""SELECT review_id,

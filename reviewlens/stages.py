@@ -88,16 +88,9 @@ def prepare(spark: SparkSession, meta_path: str, review_path: str, out_dir: str,
 
 
 def profile(train: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
-    """PIPE-2: AGG-6 for both sides (one scalar aggregate, one GROUPING SETS
-    pass) plus the comparisons (JOIN-6, AGG-13, SET-1)."""
-    both = (pf.with_extracted(train).withColumn("split", F.lit("train"))
-            .unionByName(pf.with_extracted(test).withColumn("split", F.lit("test")), allowMissingColumns=True))
-    tr, te = pf.with_extracted(train), pf.with_extracted(test)
-    return {"scalars": pf.profile_scalars(both, by=["split"]),
-            "distributions": pf.profile_distributions(both, by="split"),
-            "class_comparison": pf.compare_class_distribution(tr, te),
-            "sizes_ratings": pf.compare_sizes_ratings(tr, te),
-            "category_overlap": pf.category_overlap(tr, te)}
+    """PIPE-2: AGG-1..6 for both sides, missing values, error patterns, the
+    ten most frequent categories and the comparisons (JOIN-6, AGG-13, SET-1)."""
+    return pf.full_profile(train, test)
 
 
 def build_index(labelled: DataFrame, index_path: str, text: str = "text_info", label: str = "ai_classification",
