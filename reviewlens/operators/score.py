@@ -278,6 +278,17 @@ def train_text_classifier(train: DataFrame, text: str = "text", label: str = "la
     return pipe.fit(data)
 
 
+def save_text_classifier(model, path: str, overwrite: bool = False) -> None:
+    """The fitted model in ``path`` (shared storage)."""
+    (model.write().overwrite() if overwrite else model.write()).save(path)
+
+
+def load_text_classifier(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def score_reviews(model, df: DataFrame, text: str = "text", keep=("review_id",)) -> DataFrame:
     """UDF-8: batch inference; adds classification_category (class),
     classification_result (valid/invalid), classification_confidence

@@ -326,9 +326,11 @@ def examples_text(queries: DataFrame, hits: DataFrame, meta: DataFrame, query_id
     return out.select(*cols)
 
 
-def index_stats(index: DataFrame, embedding: str = "embedding", label: str = "label") -> DataFrame:
+def index_stats(index: DataFrame, embedding: str = "embedding", label: str = "label",
+                manifest: DataFrame | None = None) -> DataFrame:
     """AGG-8: vectors, dimension, columns and the label distribution, as
-    (metric, key, value) rows."""
+    (metric, key, value) rows; with the index's ``manifest`` also the name of
+    the model it was built with (as key)."""
     a = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(embedding)).alias("d"))
     scal = a.select(F.explode(F.array(
         F.struct(F.lit("total_vectors").alias("metric"), F.lit(None).cast("string").alias("key"),
@@ -340,4 +342,9 @@ def index_stats(index: DataFrame, embedding: str = "embedding", label: str = "la
     )).alias("s")).select("s.*")
     dist = index.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("value")) \
         .select(F.lit("label_count").alias("metric"), F.col(label).cast("string").alias("key"), "value")
-    return scal.unionByName(dist)
+    out = scal.unionByName(dist)
+    if manifest is None:
+        return out
+    model = manifest.select(F.lit("model_name").alias("metric"), F.col("model_name").alias("key"),
+                            F.lit(None).cast("long").alias("value"))
+    return out.unionByName(model)

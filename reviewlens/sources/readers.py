@@ -12,10 +12,13 @@ import json
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from ..operators.join import fits_broadcast
+from ..session import materialize, stable
+
 BAD = "_bad_record"
 
 
@@ -75,24 +78,34 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     per = t.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     w = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     off = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("file", "_blk", "_first", "_off")
-    return (t.join(F.broadcast(off), ["file", "_blk"])
+    off = materialize(off, "splits")  # measured, then joined
+    # a split's lines are bounded by its bytes, so beyond the broadcast bound no key of the plain join is hot
+    return (t.join(F.broadcast(off) if fits_broadcast(off) else off, ["file", "_blk"])
             .select("file", (F.col("_off") + F.col("_id") - F.col("_first") + 1).alias("line_number"), "value"))
 
 
+def _problem() -> Column:
+    """What keeps a text line (``value``) out of the tolerant scan, or NULL."""
+    v = F.try_parse_json(F.col("value"))
+    kind = F.schema_of_variant(v)
+    ok = v.isNotNull() & (kind.startswith("OBJECT") | kind.startswith("ARRAY<OBJECT"))
+    return F.when(F.trim(F.col("value")) == "", F.lit("blank")).when(~ok, F.lit("undecodable"))
+
+
 def jsonl_problems(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1 report: blank lines and undecodable lines (not JSON, or JSON
     that is neither an object nor an array of objects), with file and line
     number; the tolerant scan skips exactly these."""
     n = numbered_lines(spark, path)
-    v = F.try_parse_json(F.col("value"))
-    kind = F.schema_of_variant(v)
-    blank = F.trim(F.col("value")) == ""
-    ok = v.isNotNull() & (kind.startswith("OBJECT") | kind.startswith("ARRAY<OBJECT"))
-    return (n.select("file", "line_number", F.when(blank, F.lit("blank")).when(~ok, F.lit("undecodable"))
-                     .alias("problem"), F.col("value").alias("line"))
+    return (n.select("file", "line_number", _problem().alias("problem"), F.col("value").alias("line"))
             .filter(F.col("problem").isNotNull()))
 
 
+def undecodable_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The undecodable lines alone, from one read without numbering."""
+    return spark.read.text(path).filter(_problem() == "undecodable").select(F.col("value").alias("line"))
+
+
 def _below(spark: SparkSession, path: str):
     """The file's path below the input: relative to ``path`` if that is a
     folder, to the last folder before a wildcard, or the file's own name."""
@@ -160,7 +173,6 @@ def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 5000, mode:
     without end costs no task more) and numbered when they are taken apart;
     an object's file depends on its text and number alone, so a task that
     runs again puts every object where it was."""
-    from ..session import stable
     objects = stable(df.select(F.to_json(F.struct(*df.columns)).alias("o")), "json-arrays-input")
     n, size = objects.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("o")), F.lit(0))).collect()[0]
     buckets = max(1, -(-n // rows_per_file), -(-int(size) // bytes_per_file))

@@ -6,7 +6,8 @@ built from the operators, and writes Parquet (CSV / JSON exports optional).
     profile   train + test -> profile tables
     index     labelled table -> vector index (Parquet + manifest)
     classify  reviews (+ index for cot_rag) -> predictions (Parquet, CSV)
-    evaluate  truth + predictions -> metrics tables and the JSON document
+    evaluate  truth + predictions -> metrics tables and the JSON documents
+    train_classifier, classify_trained  the trained text classifier, saved and applied
 
 Outputs are written once and read back, so later stages and repeated
 actions never recompute (or re-score) earlier ones, and a lost executor
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .constants import CLASSES, DEFAULT_CLEAN_PATTERN
+from .constants import CLASSES, DEFAULT_CLEAN_PATTERN, UNKNOWN_BUSINESS
+from .functions.text import model_input_text
 from .operators import evaluate as ev
 from .operators import profile as pf
 from .operators import score as S
@@ -29,6 +31,7 @@ from .operators import vectors as V
 from .operators.prepare import (clean_error_rows, compose_reviews, compose_summary, dropna_required,
                                 join_meta_review, join_stats, require_columns, store_column_fallback)
 from .operators.split import split_exact, split_hash
+from .session import materialize
 from .sources import readers as R
 from .sources.sinks import csv_output_path, metrics_json, write_csv, write_metrics_json
 
@@ -64,15 +67,16 @@ def prepare(spark: SparkSession, meta_path: str, review_path: str, out_dir: str,
     identified by its position in the input, ``<file>:<line>:<item>``
     (numbered without collecting any file), so a re-run on the same files
     gives the same ids whatever the cluster's split settings."""
-    meta, bad_meta = R.scan_jsonl(spark, meta_path, meta_schema)
+    meta, _ = R.scan_jsonl(spark, meta_path, meta_schema)
     if "review_id" in review_schema.fieldNames():
-        reviews, bad_reviews = R.scan_jsonl(spark, review_path, review_schema)
+        reviews, _ = R.scan_jsonl(spark, review_path, review_schema)
     else:  # identity = position in the input (file, line, item), as the reference's row order
         numbered = R.scan_jsonl_numbered(spark, review_path, review_schema)
         reviews = numbered.select(
             F.concat_ws(":", "file", F.col("line_number").cast("string"), F.col("item").cast("string"))
              .alias("review_id"), *review_schema.fieldNames())
-        bad_reviews = R.jsonl_problems(spark, review_path).filter(F.col("problem") == "undecodable")
+    bad_meta, bad_reviews = R.undecodable_lines(spark, meta_path), R.undecodable_lines(spark, review_path)
+    meta, reviews = materialize(meta, "meta"), materialize(reviews, "reviews")  # parsed once, read three times
     joined = join_meta_review(meta, reviews)
     composed = _write(compose_reviews(joined), os.path.join(out_dir, "composed"), mode)
     split = (split_exact if exact else split_hash)(composed, "review_id", test_ratio, seed)
@@ -135,20 +139,61 @@ def classify(reviews: DataFrame, output_path: str, template: str = "few_shot", f
 
 def evaluate(truth: DataFrame, predictions: DataFrame, key: str = "review_id", truth_col: str = "label",
              pred_col: str = "ai_classification", title: str = "Review classification",
-             json_path: str | None = None) -> dict[str, DataFrame]:
-    """PIPE-5: EVAL-1 (keyed alignment, error predictions dropped) ->
-    EVAL-2..8 multi-class and binary, from one partial-aggregated shuffle."""
+             json_path: str | None = None, binary_json_path: str | None = None) -> dict[str, DataFrame]:
+    """PIPE-5: SRC-6 -> EVAL-1 (keyed alignment, error predictions dropped) ->
+    EVAL-2..8 multi-class and binary, each with its report and JSON document."""
+    require_columns(truth, [key, truth_col])
+    require_columns(predictions, [key, pred_col])
     a = ev.filter_error_predictions(ev.align(truth, predictions, key, truth_col, pred_col))
     multi = ev.evaluate(a)
     binary = ev.evaluate_binary(a)
     out = {"per_class": multi["per_class"], "overall": multi["overall"], "confusion": multi["confusion"],
            "report": ev.metrics_report(multi["per_class"], multi["overall"]),
-           "binary_overall": binary["overall"], "binary_confusion": binary["confusion"]}
-    doc = metrics_json(multi["per_class"], title)
-    if json_path:
-        write_metrics_json(doc, json_path)
-    out["json"] = doc
+           "binary_per_class": binary["per_class"], "binary_overall": binary["overall"],
+           "binary_confusion": binary["confusion"],
+           "binary_report": ev.metrics_report(binary["per_class"], binary["overall"])}
+    for name, side, path in (("json", multi, json_path), ("binary_json", binary, binary_json_path)):
+        out[name] = metrics_json(side["per_class"], title)
+        if path:
+            write_metrics_json(out[name], path)
     return out
 
 
-__all__ = ["prepare", "profile", "build_index", "classify", "evaluate", "META_SCHEMA", "REVIEW_SCHEMA", "CLASSES"]
+def _model_input(df: DataFrame, text: str, business: str, rating: str | None):
+    """FN-12 over the columns that are there: the business may be missing
+    (its placeholder is used) and so may the rating."""
+    require_columns(df, [text])
+    shop = F.col(business) if business in df.columns else F.lit(UNKNOWN_BUSINESS)
+    return model_input_text(shop, F.col(text), F.col(rating) if rating in df.columns else None)
+
+
+def train_classifier(labelled: DataFrame, model_path: str, label: str = "ai_classification", text: str = "text",
+                     business: str = "business_name", rating: str | None = "rating", **fit_opts):
+    """UDF-9: fits the text classifier on FN-12 inputs and saves it."""
+    rows = labelled.select(_model_input(labelled, text, business, rating).alias("text"), F.col(label).alias("label"))
+    model = S.train_text_classifier(rows.dropna(), **fit_opts)
+    S.save_text_classifier(model, model_path)
+    return model
+
+
+def classify_trained(reviews: DataFrame, model_path: str, output_path: str, text: str = "text",
+                     business: str = "business_name", rating: str | None = "rating", csv: bool = False,
+                     mode: str = "errorifexists") -> dict[str, DataFrame]:
+    """UDF-8 from table to file with a saved model: every row keeps its
+    columns and gets ``classification_result``, ``classification_category``
+    and ``classification_confidence``. Also returns the summary counts."""
+    model = S.load_text_classifier(model_path)
+    shown = _model_input(reviews, text, business, rating)
+    if business not in reviews.columns:
+        reviews = reviews.withColumn(business, F.lit(UNKNOWN_BUSINESS))
+    keep = [c for c in reviews.columns if not c.startswith("classification_")]
+    scored = S.score_reviews(model, reviews.withColumn("_input", shown), "_input", keep).drop("predicted_label_id")
+    out = _write(scored, output_path, mode)
+    if csv:
+        write_csv(out, csv_output_path(output_path), mode=mode)
+    return {"rows": out, "results": out.groupBy("classification_result").count(),
+            "categories": out.groupBy("classification_category").count()}
+
+
+__all__ = ["prepare", "profile", "build_index", "classify", "train_classifier", "classify_trained", "evaluate",
+           "META_SCHEMA", "REVIEW_SCHEMA", "CLASSES"]

@@ -264,3 +264,24 @@ def test_wrong_answer_count_is_a_failure(spark):
     got = {r.review_id: r for r in S.classify(df, ShortAnswers, template="zero_shot", base_wait=0.0).collect()}
     assert got[1].ai_classification == "valid" and got[3].ai_classification == "advertisement"
     assert got[2].ai_classification is None and "answers" in got[2].ai_error
+
+
+def test_json_arrays_repeat_rows_and_byte_bound(spark):
+    path = os.path.join(checkpoint_dir(spark), f"arrays-{uuid.uuid4().hex}")
+    rows = [(1, "same")] * 500 + [(i, "x" * 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    R.write_json_arrays(df, path, rows_per_file=5000, bytes_per_file=2000)
+    files = spark.read.text(path, wholetext=True)
+    assert files.count() > 10
+    assert sorted(tuple(r) for r in R.scan_json_array(spark, path, df.schema).select("k", "t").collect()) == sorted(rows)
+
+
+def test_scorer_texts_do_not_travel_back(spark):
+    df = spark.createDataFrame([(1, "s", "call now")], "review_id int, store_info string, text_info string")
+    out = S.classify(df, S.RuleScorer, template="zero_shot", base_wait=0.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.split("\n") if "MapInPandas" in x)
+    returned = line.split("[", 1)[1].split("]", 1)[0] if line.count("[") == 1 else line.rsplit("[", 1)[1]
+    assert "prompt" not in returned and "comment" not in returned and "ai_raw_response" in returned
+    kept = S.classify(df, S.RuleScorer, template="zero_shot", keep=("review_id", "text_info"), base_wait=0.0)
+    assert kept.first().text_info == "call now"

@@ -3,6 +3,7 @@
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -10,6 +11,8 @@ import __spark_entry__ as E
 from reviewlens import stages as P
 from reviewlens.constants import CLASSES
 from reviewlens.operators import score as S
+from reviewlens.operators import vectors as V
+from reviewlens.operators.prepare import MissingColumnsError
 from reviewlens.plans import fixtures as fx
 from reviewlens.session import checkpoint_dir
 
@@ -45,6 +48,11 @@ def test_prepare_classify_profile_index_evaluate(spark):
     assert {r.ai_classification for r in cc} <= set(CLASSES)
     assert abs(sum(r.train_pct for r in cc) - 100.0) < 1e-6
     assert {r.side for r in prof["category_overlap"].collect()} <= {"common", "train_only", "test_only"}
+    missing = {(r.split, r.column): r.n_missing for r in prof["missing"].collect()}
+    assert missing["train", "text_info"] == 0 and ("test", "store_info") in missing
+    assert prof["error_patterns"].filter("pattern = 'total' AND n_rows = 0").count() == 2
+    top = prof["top_categories"].filter("split = 'train'").orderBy("rank").collect()
+    assert [r["rank"] for r in top] == list(range(1, len(top) + 1)) and top[0].n == max(r.n for r in top)
 
     idx, man = P.build_index(train, os.path.join(base, "index"))
     assert man.first()["total_vectors"] == idx.count() == train.count()
@@ -61,6 +69,29 @@ def test_prepare_classify_profile_index_evaluate(spark):
     assert res["per_class"].count() == 4
     assert res["overall"].first()["n_rows"] == truth.count()
     assert spark.read.text(os.path.join(base, "metrics.json")).count() == 1
+    assert {r.category for r in res["binary_report"].collect()} == \
+        {"valid", "invalid", "macro_avg", "weighted_avg", "accuracy"}
+    assert res["binary_json"].count() == 1
+    with pytest.raises(MissingColumnsError):
+        P.evaluate(truth, preds.drop("ai_classification"))
+    stats = {(r.metric, r.key) for r in V.index_stats(idx, label="ai_classification", manifest=man).collect()}
+    assert ("model_name", "hash-64") in stats
+
+
+def test_trained_classifier_saved_and_applied(spark):
+    base = os.path.join(checkpoint_dir(spark), f"pipe-model-{uuid.uuid4().hex}")
+    rows = [(i, "warm bread and kind staff" if i % 2 else "call now for a discount code", "Mill Bakery",
+             4.0 if i % 3 else None, "valid" if i % 2 else "advertisement") for i in range(60)]
+    df = spark.createDataFrame(rows, "review_id int, text string, business_name string, rating double, label string")
+    P.train_classifier(df, os.path.join(base, "model"), label="label", num_features=1 << 10, max_iter=5)
+    out = P.classify_trained(df, os.path.join(base, "model"), os.path.join(base, "rows"))
+    got = out["rows"].collect()
+    assert len(got) == 60 and all(r.classification_category == r.label for r in got)
+    assert {r.classification_result: r["count"] for r in out["results"].collect()} == {"valid": 30, "invalid": 30}
+    bare = P.classify_trained(df.select("review_id", "text"), os.path.join(base, "model"), os.path.join(base, "bare"))
+    assert {r.business_name for r in bare["rows"].collect()} == {"Unknown Business"}
+    with pytest.raises(MissingColumnsError):
+        P.classify_trained(df.drop("text"), os.path.join(base, "model"), os.path.join(base, "none"))
 
 
 def test_prepare_ids_do_not_depend_on_splits(spark):
