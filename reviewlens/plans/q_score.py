@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .oracle import with_ctes
 from .q_evaluate import LABS, _report_sql
+from .q_parse import _sql_lit
 from .q_vectors import K, RAG_SQL, rag_hits
 from .registry import composed, query, split_labelled
 from ..constants import CLASSES
+from ..functions.prompts import COMMENT_PH, EXAMPLES_PH, STORE_PH, TEMPLATES, render_prompt
 from ..operators import evaluate as ev
 from ..operators import score as S
 from ..operators.vectors import examples_text
@@ -103,6 +105,19 @@ def q_rag_classify(spark, sf_dir):
     return S.with_error_text(out).select("review_id", "template", "ai_classification", "ai_raw_response")
 
 
+@query("rag_prompts", with_ctes(f"""WITH {RAG_SQL}
+SELECT q.review_id, replace(replace(replace({_sql_lit(TEMPLATES['cot_rag'])}, {_sql_lit(STORE_PH)}, q.store_info),
+  {_sql_lit(COMMENT_PH)}, q.text_info), {_sql_lit(EXAMPLES_PH)}, e.examples) AS prompt
+FROM qs q JOIN rex e ON q.review_id = e.query_id""", "fx_split"))
+def q_rag_prompts(spark, sf_dir):
+    """FN-14 / UDF-6: the whole prompt of every test review under the template
+    that shows retrieved examples."""
+    qs, idx, h = rag_hits(spark, sf_dir)
+    x = qs.join(examples_text(qs, h, idx, max_examples=K), "query_id")
+    return x.select(F.col("query_id").alias("review_id"),
+                    render_prompt("store_info", "text_info", "cot_rag", "examples").alias("prompt"))
+
+
 def _train_test(spark, sf_dir):
     s = split_labelled(spark, sf_dir).filter(F.col("text_info").isNotNull())
     train = s.filter((F.col("split") == "train") & F.col("ai_classification").isNotNull())

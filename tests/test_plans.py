@@ -33,5 +33,20 @@ def test_scoring_pass_needs_no_shuffle(static_plans):
 
 def test_python_only_in_model_and_cell_stages(static_plans):
     allowed = {"classify_reviews", "classify_errors", "rag_classify", "topk_similar", "rag_topk",
-               "rag_examples_text", "knn_vote", "retrieved_label_distribution", "model_scores"}
+               "rag_examples_text", "rag_prompts", "knn_vote", "retrieved_label_distribution", "model_scores"}
     assert {n for n, s in static_plans.items() if s["python"]} <= allowed
+
+
+def test_profile_reads_its_input_once(static_plans):
+    for n in ("profile_dataset", "compare_class_distribution", "category_overlap", "numeric_summary"):
+        assert static_plans[n]["scans"] <= 3  # of the written histogram
+
+
+def test_topk_shuffles_stored_vectors(spark):
+    """Nothing is computed on a vector above the replication."""
+    from reviewlens.operators import vectors as V
+    e = spark.createDataFrame([(1, [1.0, 0.0], "valid")], "vec_id int, embedding array<float>, label string")
+    hits = V.topk_similar(e.withColumnRenamed("vec_id", "query_id").drop("label"), e)
+    lines = hits._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = next(i for i, x in enumerate(lines) if "Generate" in x)
+    assert not any("lambda" in x for x in lines[:first])
