@@ -11,6 +11,7 @@ from .registry import composed, labelled, query, split_labelled
 from ..constants import PROFILE_ERROR_PATTERNS
 from ..operators import profile as pf
 from ..operators import split as sp
+from ..session import materialize
 
 _IN = _WS[1:-1]
 RATING_SQL = f"TRY_CAST(nullif(regexp_extract(text_info, 'Rating:{_WS}*(\\d+\\.?\\d*)', 1), '') AS DOUBLE)"
@@ -219,8 +220,8 @@ def q_split_exact(spark, sf_dir):
 FROM s""", "fx_labelled"))
 def q_split_verify(spark, sf_dir):
     """AGG-12 / JOIN-7 / SET-3: counts add up, ratios, key overlap, lost rows."""
-    lab = labelled(spark, sf_dir)
-    s = sp.split_exact(lab, "review_id", 0.1, 42)
+    lab = materialize(labelled(spark, sf_dir), "labelled")
+    s = materialize(sp.split_exact(lab, "review_id", 0.1, 42), "split")
     return sp.split_verify(lab, s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test"), "review_id")
 
 

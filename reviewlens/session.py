@@ -54,6 +54,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return cp[len("file:"):] if cp.startswith("file:") else cp
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder of stage tables under the checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), f"stages-{spark.sparkContext.applicationId}")
+
+
+def clear_stages(spark: SparkSession) -> bool:
+    """Deletes the stage tables that this application has written. Call it
+    when no DataFrame read from one of them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
@@ -61,7 +73,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     lost executor or a second action never re-runs them.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(run_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
@@ -72,15 +84,31 @@ _PYTHON_NODES = ("MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapC
 
 def has_python_stage(df: DataFrame) -> bool:
     """True when ``df``'s plan runs Python code (a model call, a pandas stage)."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return any(n in plan for n in _PYTHON_NODES)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    return any(n in text for n in _PYTHON_NODES)
+
+
+def is_repeatable(df: DataFrame) -> bool:
+    """False when the plan draws values (``rand``, ``uuid``) that a second
+    reading may not draw again. File positions and row numbers of a task
+    (``monotonically_increasing_id``) are among what it refuses."""
+    def fixed(node) -> bool:
+        children = node.children()
+        return all(e.deterministic() for e in _each(node.expressions())) and all(fixed(c) for c in _each(children))
+
+    return fixed(df._jdf.queryExecution().optimizedPlan())
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
 
 
 def stable(df: DataFrame, name: str = "stable") -> DataFrame:
     """``df`` itself when recomputing it is cheap and repeatable; written
     once to the shared checkpoint folder when its plan calls Python (models
-    may be slow, remote or non-deterministic), for operators that read
-    their input more than once."""
-    if df.isStreaming or not has_python_stage(df):
+    may be slow, remote or non-deterministic) or draws values, for operators
+    that read their input more than once."""
+    if df.isStreaming or not has_python_stage(df) and is_repeatable(df):
         return df
     return materialize(df, name)

@@ -220,3 +220,14 @@ def test_topk_empty_sides_keep_schema(spark):
     out = V.topk_similar(q, c, k=3)
     assert out.columns == ["query_id", "rank", "vec_id", "score", "label"] and out.count() == 0
     assert V.knn_vote(out).count() == 0
+
+
+def test_drawn_keys_are_written_and_stages_cleared(spark):
+    from reviewlens import session
+    df = spark.range(50)
+    assert session.stable(df) is df
+    drawn = df.withColumn("k", F.rand())
+    assert not session.is_repeatable(drawn)
+    kept = session.stable(drawn)
+    assert sorted(kept.collect()) == sorted(kept.collect())
+    assert session.run_folder(spark) in kept.inputFiles()[0]
