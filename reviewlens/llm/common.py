@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import checkpoint_dir, materialize
 
 #: The ASCII white space the operators' contracts name: x20 and x09-x0D.
@@ -35,6 +36,27 @@ def text_or_empty(col):
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def running(numbers, block: int = 512):
+    """Running sums of an array of ints. Sums are folded block by block: one
+    fold that appends to its result copies it at every step, which is the
+    square of the array's length."""
+    def add(acc, x):
+        return let(acc["at"] + x, lambda at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
+
+    def add_block(a, acc, i):
+        start = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("out"))
+        return let(F.aggregate(F.slice(a, i * block + 1, block), start, add), lambda done: F.struct(
+            done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out")))
+
+    def fold(a):
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int"))
+        return F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(
+            F.flatten(F.aggregate(blocks, start, lambda acc, i: add_block(a, acc, i))["out"]))
+
+    return let(numbers, fold)
+
+
 def lookup(rows: DataFrame, table: DataFrame, on: str, n: str, total: int, share: float = HOT_SHARE) -> DataFrame:
     """Inner join of ``rows`` with ``table``, one row per key that also counts
     the key's rows in column ``n``.

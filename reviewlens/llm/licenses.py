@@ -26,7 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from ..functions.text import let
+from .common import running, text_or_empty, written
 
 #: phrase and label (fixed values)
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -85,14 +86,8 @@ def places(line: Column, phrase: str) -> Column:
     """Word indices where a phrase starts: words before it, counted by the
     blank in front of each."""
     n = len(phrase.split())
-    pieces = F.split(line, f" {phrase}(?= )", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, piece):
-        begin = acc["at"] + n_blanks(piece)
-        return F.struct((begin + n).alias("at"), F.concat(acc["out"], F.array(begin)).alias("out"))
-
-    found = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)["out"]
+    found = let(F.split(line, f" {phrase}(?= )", -1), lambda pieces: F.transform(
+        running(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda piece: n_blanks(piece) + n)), lambda end: end - n))
     return F.when(line.contains(f" {phrase} "), found).otherwise(F.array().cast("array<int>"))
 
 

@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, text_or_empty, written
+from ..functions.text import let
+from .common import lookup, running, text_or_empty, written
 
 #: kind, pattern, group that holds the value, its least length (fixed values)
 BASE = (
@@ -41,18 +42,16 @@ FOUND = "array<struct<start:int,end:int,value:string>>"
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping
     matches: the pieces between them give the offsets."""
-    pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
-
-    def step(acc, m):
-        begin = acc["at"] + F.char_length(m["p"])
-        end = begin + F.char_length(m["w"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(
-            F.struct(begin.alias("start"), end.alias("end"), m["v"].alias("value")))).alias("out"))
-
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("p"), whole.alias("w"), value.alias("v"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast(FOUND))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v")] if group else []
+
+    def spans(found):
+        ends = running(F.transform(found, lambda m: F.char_length(m["p"]) + F.char_length(m["w"])))
+        return let(ends, lambda end: F.transform(found, lambda m, i: F.struct(
+            (end[i] - F.char_length(m["w"])).alias("start"), end[i].alias("end"), m["v" if group else "w"].alias("value"))))
+
+    zipped = let(whole, lambda w: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(w)).alias("p"), w.alias("w"), *value))
+    return F.when(text.rlike(pattern), let(zipped, spans)).otherwise(F.array().cast(FOUND))
 
 
 def base_spans(text: Column, kind: int) -> Column:

@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 from reviewlens.llm import (bpe, components, exact_dedup, language, licenses, line_dedup, merkle, mixing,  # noqa: E402
                             queries, secrets, simhash, toxicity)
-from reviewlens.llm.common import scratch  # noqa: E402
+from reviewlens.llm.common import running, scratch  # noqa: E402
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, n_tokens int, kept string, "
           "fp string, hash string, row string")
@@ -186,6 +186,36 @@ def test_secret_ownership(spark):
     assert not any(live[i] for i in range(3, 30))
 
 
+def test_spans_of_a_text_with_thousands_of_matches(spark):
+    """Offsets are folded in blocks: several blocks, with ends inside and on the edge of one."""
+    for n in (511, 512, 513, 3000):
+        tokens = [hashlib.md5(str(i).encode()).hexdigest()[:24 + i % 7] for i in range(n)]
+        df = spark.createDataFrame([(1, " é ".join(tokens) + "\nmit license" * n, "s")], "doc_id int, text string, source string")
+        text, r = df.first().text, secrets.find_secrets(df).first()
+        assert [(s.start, s.end) for s in r.base] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+        words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+        places = licenses.scan_licenses(df).first().base[3]
+        assert places == [i for i in range(len(words)) if words[i:i + 2] == ["mit", "license"]]
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 3, 4, 7, 8, 9, 100)] + [(None,)]
+    out = spark.createDataFrame(rows, "a array<int>").select("a", running(F.col("a"), block=4).alias("s")).collect()
+    for r in out:
+        assert r.s == (None if r.a is None else np.cumsum(r.a).tolist())
+
+
+def test_samples_stay_bounded_when_ids_repeat(spark, monkeypatch):
+    rows = [(i % 3, f"text {i} of many words", i % 3 % 2, "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, toxic int, lang string")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, *_: seen.append(len(list(texts))))
+    monkeypatch.setattr(language, "fit", lambda texts, *_: seen.append(len(texts)))
+    toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"))
+    language.learn(df)
+    assert seen == [3, 3]
+
+
 def test_license_places_and_labels(spark, docs, none):
     text_of = {r[0]: r[1] or "" for r in table()}
     out = licenses.scan_licenses(docs).collect()
