@@ -16,7 +16,8 @@ languages at most ``per_lang`` texts, those with the smallest id hash, none
 above ``max_chars``, and at most ``FIT_WINDOWS`` windows of each.
 
 Defined results: ``und`` and score 0 for a null text or one without a letter,
-and for all texts if nothing could be learned.
+and for all texts if nothing could be learned. Of rows that repeat an id the
+smallest text and language are learned from, so the sample keeps its bound.
 """
 
 from __future__ import annotations
@@ -153,9 +154,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))  # limited before its shuffle
     sample = (rows.join(F.broadcast(often), "l").withColumn("r", rank).filter(F.col("r") <= per_lang)
               .groupBy("i").agg(F.min("l").alias("l")))
-    found = (docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    found = (docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
              .filter(F.char_length("t").between(1, max_chars))
              .join(F.broadcast(sample), "i")  # at most per_lang * max_langs ids
+             .groupBy("i").agg(F.min("t").alias("t"), F.min("l").alias("l"))  # an id that repeats is one text
              .select("t", "l").collect())
     found.sort(key=lambda r: (r["l"], r["t"]))
     return fit([r["t"] for r in found], [r["l"] for r in found])

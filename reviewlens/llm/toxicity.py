@@ -18,8 +18,9 @@ and twice as many others, those with the smallest id hash, none above
 about ``BLOCK`` bytes.
 
 Defined results: a null, empty or wordless text scores 0; null labels are no
-labels; an id labelled twice counts as toxic if one label says so; with no
-text of one of the classes every score is the share of toxic labels.
+labels; an id labelled twice counts as toxic if one label says so; of rows
+that repeat an id the smallest text is learned from, so the sample keeps its
+bound; with no text of one of the classes every score is the share of toxic labels.
 """
 
 from __future__ import annotations
@@ -233,6 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = (docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
              .filter(F.char_length("t").between(1, max_chars))
              .join(F.broadcast(sample), "i")  # at most 3 * per_class ids
+             .groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y"))  # an id that repeats is one text
              .select("t", "y").collect())
     found = sorted((r["y"], r["t"]) for r in found)
     return fit((t for _, t in found), [y for y, _ in found], share or 0.0)
