@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .oracle import with_ctes
+from .oracle import class_list_sql, with_ctes
 from .q_evaluate import LABS, _report_sql
 from .q_parse import _sql_lit
 from .q_vectors import K, RAG_SQL, rag_hits
 from .registry import composed, query, split_labelled
 from ..constants import CLASSES
 from ..functions.prompts import COMMENT_PH, EXAMPLES_PH, STORE_PH, TEMPLATES, render_prompt
+from ..operators import bayes as B
 from ..operators import evaluate as ev
 from ..operators import score as S
 from ..operators.vectors import examples_text
+from ..session import materialize
 
 SWEEP = ["zero_shot", "few_shot", "few_shot_cot"]
 _COT = "('few_shot_cot', 'cot_rag')"
@@ -148,6 +150,53 @@ def q_score_reviews(spark, sf_dir):
     return S.score_reviews(model, test, text="text_info")
 
 
+def _bayes_sql() -> str:
+    """CTEs of the closed-form classifier: training rows, word counts, model."""
+    n = range(len(CLASSES))
+    per_class = ", ".join(f"count(*) FILTER (lab = '{c}') AS n{i}" for i, c in enumerate(CLASSES))
+    text = f"translate(text_info, '{B.UPPER}', '{B.LOWER}')"
+    unit = lambda share, i: f"CAST(round({B.UNIT} * ln({share})) AS BIGINT) AS l{i}"
+    seen = ", ".join(unit(f"(n{i} + 1)::DOUBLE / (t{i} + size)::DOUBLE", i) for i in n)
+    prior = ", ".join(unit(f"(n{i} + 1)::DOUBLE / (size + {len(CLASSES)})::DOUBLE", i) for i in n)
+    return f"""tr AS (SELECT text_info, ai_classification AS lab FROM fx_split WHERE split = 'train' AND text_info IS NOT NULL
+  AND ai_classification IN {class_list_sql()}),
+cnt AS (SELECT word, {per_class} FROM (
+  SELECT lab, unnest(regexp_extract_all({text}, '{B.WORD_RE}')) AS word FROM tr) GROUP BY word),
+tot AS (SELECT {", ".join(f"coalesce(sum(n{i}), 0) AS t{i}" for i in n)}, count(*) AS size FROM cnt),
+doc AS (SELECT {per_class}, count(*) AS size FROM tr),
+model AS (SELECT word, {seen} FROM cnt, tot UNION ALL SELECT '' AS word, {prior} FROM doc),
+"""
+
+
+@query("train_bayes_classifier", with_ctes(
+    "WITH " + _bayes_sql().rstrip().rstrip(",") + " SELECT word, l0, l1, l2, l3 FROM model", "fx_split"))
+def q_train_bayes_classifier(spark, sf_dir):
+    """UDF-9 in closed form: naive Bayes log likelihoods (millionths) of
+    every word of the labelled train split, by class; priors at the empty word."""
+    train, _ = _train_test(spark, sf_dir)
+    return B.fit_bayes(train, "text_info", "ai_classification")
+
+
+@query("score_bayes", with_ctes("WITH " + _bayes_sql() + f"""w AS (SELECT review_id,
+  unnest(list_concat([''], regexp_extract_all(translate(text_info, '{B.UPPER}', '{B.LOWER}'), '{B.WORD_RE}'))) AS word
+  FROM fx_split WHERE split = 'test' AND text_info IS NOT NULL),
+s AS (SELECT review_id, {", ".join(f"sum(l{i})::BIGINT AS s{i}" for i in range(len(CLASSES)))}
+  FROM w JOIN model USING (word) GROUP BY review_id),
+b AS (SELECT *, greatest(s0, s1, s2, s3) AS mx FROM s),
+r AS (SELECT review_id, CASE WHEN s0 = mx THEN 0 WHEN s1 = mx THEN 1 WHEN s2 = mx THEN 2 ELSE 3 END AS pid,
+  1 / ({" + ".join(f"exp((s{i} - mx)::DOUBLE / {B.UNIT})" for i in range(len(CLASSES)))}) AS conf FROM b)
+SELECT review_id, CAST(pid AS INTEGER) AS predicted_label_id,
+  ([{", ".join(f"'{c}'" for c in CLASSES)}])[pid + 1] AS classification_category,
+  CASE WHEN pid = 0 THEN 'valid' ELSE 'invalid' END AS classification_result,
+  round(conf, 6) AS classification_confidence FROM r""", "fx_split"))
+def q_score_bayes(spark, sf_dir):
+    """UDF-8 with the closed-form model: fitted on the train split, written
+    and read back, then every review of the test split is classified."""
+    train, test = _train_test(spark, sf_dir)
+    model = materialize(B.fit_bayes(train, "text_info", "ai_classification"), "bayes-model")
+    return B.score_bayes(model, test, "text_info")
+
+
 @query("stream_classify", with_ctes(f"""SELECT review_id, 'zero_shot' AS template, {RCLS} AS ai_classification,
   'Classification: ' || {RCLS} AS ai_raw_response FROM fx_composed""", "fx_composed"))
 def q_stream_classify(spark, sf_dir):
