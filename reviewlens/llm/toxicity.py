@@ -12,10 +12,13 @@ every text. The first embedding dimension starts at the smoothed log odds of
 the n-gram between the classes, the others at random. Classes are weighted to
 their share among all labels, so scores are probabilities.
 
-Learning is on a bounded sample: at most ``per_class`` texts labelled toxic
-and twice as many others, those with the smallest id hash, none above
-``max_chars``. Scoring covers whole texts, by array operations on blocks of
-about ``BLOCK`` bytes.
+Learning is on a bounded sample: of the labelled texts that hold a word, at
+most ``per_class`` toxic ones and twice as many others, those with the smallest
+id hash. Texts of any length are in it. Where the sample holds more than
+``3 * per_class * max_chars`` characters, its longest texts are learned from in
+``PIECES`` seeded pieces spread over the whole text, all such texts at one size
+that is never below ``max_chars`` (``room``). Scoring covers whole texts, by
+array operations on blocks of about ``BLOCK`` bytes.
 
 Defined results: a null, empty or wordless text scores 0; null labels are no
 labels; an id labelled twice counts as toxic if one label says so; of rows
@@ -31,8 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, BUCKETS, WIDTH, GRAMS, BLOCK = 4, 1 << 16, 6, (3, 4, 5), 1 << 20
-BLANKS = bytes.maketrans(b".,;:!?\"()[]{}|<>\t\n\x0b\x0c\r", b" " * 21)
+from .common import written
+
+WINDOW, BUCKETS, WIDTH, GRAMS, BLOCK, PIECES = 4, 1 << 16, 6, (3, 4, 5), 1 << 20, 20
+BLANK_CHARS = " .,;:!?\"()[]{}|<>\t\n\x0b\x0c\r"
+BLANKS = bytes.maketrans(BLANK_CHARS.encode(), b" " * len(BLANK_CHARS))
 
 
 def words(text: str) -> list[bytes]:
@@ -43,6 +49,14 @@ def words_of(text: str | None) -> list[bytes]:
     return [w for w in words(text) if w] if text else []
 
 
+def pieces_of(text: str | list[str]) -> list[list[bytes]]:
+    """The words of a text, or of each piece cut out of one: the first and the
+    last word of a piece may be cut too and are left out."""
+    found = [words_of(text)] if isinstance(text, str) else [
+        ws[1:-1] if len(ws) > 2 else ws for ws in map(words_of, text)]
+    return [ws for ws in found if ws]
+
+
 def features(data):
     """For bytes of words with one blank before, between and after them: for
     each n-gram width the bucket at every position and whether the n-gram
@@ -136,16 +150,18 @@ def window_odds(odds, stop, ok):
 
 def fit(texts, toxic: list[int], share: float | None = None, steps: int = 60, seed: int = 7,
         rate: float = 0.03, hold: float = 1e-4) -> Model:
-    """``share``: of toxic labels outside the sample (None: as sampled).
-    ``hold`` draws embeddings back to their start."""
+    """``texts``: whole texts, or lists of the pieces of one; windows do not
+    leave their piece. ``share``: of toxic labels outside the sample (None: as
+    sampled). ``hold`` draws embeddings back to their start."""
     import numpy as np
 
     index: dict[bytes, int] = {}
-    lists, y = [], []
+    lists, y, parts = [], [], []
     for t, label in zip(texts, toxic):
-        if ws := words_of(t):
-            lists.append(np.array([index.setdefault(w, len(index)) for w in ws], np.int32))
+        if found := pieces_of(t):
+            lists += [np.array([index.setdefault(w, len(index)) for w in ws], np.int32) for ws in found]
             y.append(label)
+            parts.append(len(found))
     y = np.array(y, np.int64)
     if len(set(y.tolist())) < 2:
         return Model(None, 0.0, constant=share if share is not None else float(np.mean(toxic)) if len(toxic) else 0.0)
@@ -164,7 +180,9 @@ def fit(texts, toxic: list[int], share: float | None = None, steps: int = 60, se
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
     # texts of each class that hold an n-gram
-    stop, text_of, ok = windows(counts)
+    stop, part_of, ok = windows(counts)
+    text_of = np.repeat(np.arange(len(y), dtype=np.int32), parts)[part_of]
+    del part_of
     seen = np.unique(text_of * np.int64(n_words) + flat)
     t_of, w_of = seen // n_words, seen % n_words
     del seen
@@ -189,14 +207,14 @@ def fit(texts, toxic: list[int], share: float | None = None, steps: int = 60, se
     weight = np.where(y == 1, share / n1, (1 - share) / n0)
     params = [emb, out, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    starts = np.cumsum(counts) - counts
+    starts = (np.cumsum(counts) - counts)[np.cumsum(parts) - parts]
     for step in range(1, steps + 1):
         by_word = np.add.reduceat((emb @ (out[:, 1] - out[:, 0]))[ids], at) / sizes
         mean = window_odds(by_word[flat], stop, ok)
         top = np.maximum.reduceat(mean, starts)
         hit = np.flatnonzero(mean == top[text_of])
         chosen = hit[np.unique(text_of[hit], return_index=True)[1]]  # the first highest window of each text
-        n = np.minimum(WINDOW, starts + counts - chosen)
+        n = stop[chosen] - chosen
         rows = np.concatenate([flat[c:c + k] for c, k in zip(chosen, n)])
         row_text = np.repeat(np.arange(len(y)), n)
         used, inverse = np.unique(rows, return_inverse=True)
@@ -223,20 +241,50 @@ def fit(texts, toxic: list[int], share: float | None = None, steps: int = 60, se
     return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def room(lengths: list[int], total: int) -> int:
+    """The largest size such that texts of ``lengths``, the longer ones cut to
+    it, come to at most ``total``."""
+    left = total
+    for k, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - k) > left:
+            return left // (len(lengths) - k)
+        left -= n
+    return max(lengths, default=0)
+
+
+def spread(text: Column, key: Column, size: int) -> Column:
+    """``PIECES`` pieces, one from each equal part of the text at a place drawn
+    from ``key``, together ``size`` characters of a text that has more."""
+    n, piece = F.char_length(text).cast("long"), max(1, size // PIECES)
+
+    def cut(j):
+        begin = F.floor(n * j / PIECES)
+        free = F.greatest(F.floor(n * (j + 1) / PIECES) - begin - piece, F.lit(0))
+        return F.substring(text, (begin + F.pmod(F.xxhash64(key, j), free + 1) + 1).cast("int"), F.lit(piece))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), cut)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", per_class: int = 1500, max_chars: int = 6_000) -> Model:
+          label_col: str = "toxic", per_class: int = 2000, max_chars: int = 10_000) -> Model:
     """Fits on a bounded sample of the labelled rows of ``labels``."""
     rows = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
     share = rows.agg(F.avg("y")).collect()[0][0]
-    picked = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(n)
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(
+        F.translate("t", BLANK_CHARS, "") != "")  # those that hold a word
+    usable = written(rows.groupBy("i").agg(F.max("y").cast("int").alias("y"))
+                     .join(texts.select("i").distinct(), "i", "left_semi"), "toxicity-labels")
+    picked = [usable.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(n)
               for y, n in ((0, 2 * per_class), (1, per_class))]
-    sample = picked[0].unionByName(picked[1]).groupBy("i").agg(F.max("y").cast("int").alias("y"))
-    found = (docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-             .filter(F.char_length("t").between(1, max_chars))
-             .join(F.broadcast(sample), "i")  # at most 3 * per_class ids
-             .groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y"))  # an id that repeats is one text
-             .select("t", "y").collect())
-    found = sorted((r["y"], r["t"]) for r in found)
+    sample = written(texts.join(F.broadcast(picked[0].unionByName(picked[1])), "i")  # at most 3 * per_class ids
+                     .groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")),  # an id that repeats is one text
+                     "toxicity-sample")
+    size = room([r[0] for r in sample.select(F.char_length("t")).collect()], 3 * per_class * max_chars)
+    long = F.char_length("t") > size
+    found = sample.select("y", F.when(~long, F.col("t")).alias("whole"),
+                          F.when(long, spread(F.col("t"), F.col("i"), size)).alias("pieces")).collect()
+    found = [(r["y"], r["whole"] if r["pieces"] is None else r["pieces"]) for r in found]
+    found.sort(key=lambda r: (r[0], r[1] if isinstance(r[1], str) else "".join(r[1])))
     return fit((t for _, t in found), [y for y, _ in found], share or 0.0)
 
 

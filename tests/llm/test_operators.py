@@ -383,6 +383,37 @@ def test_toxicity_model(spark, docs, none):
     assert {r[0] for r in docs.select(toxicity.score(F.col("text"), empty)).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """All toxic texts are longer than any bound on a text, and the first ids by hash hold no words."""
+    rng = random.Random(4)
+    plain = ["river", "stone", "letter", "window", "garden", "morning", "paper", "candle"]
+    rows = []
+    for i in range(60):
+        ws = rng.choices(plain, k=3000)
+        if i % 3 == 0:
+            ws = [w for v in ws for w in ((v, "scoundrel") if rng.random() < 0.3 else (v,))]
+        rows.append((i, " ".join(ws), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows + [(i, " ,.\n", i % 2) for i in range(60, 400)], "doc_id int, text string, toxic int")
+    for bounds in ({}, {"per_class": 20, "max_chars": 900}):  # whole, and in pieces
+        model = toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"), **bounds)
+        assert model.constant is None
+        bad, good = model.scores(["river scoundrel scoundrel scoundrel stone", "river stone paper"])
+        assert bad >= 0.3 > good
+
+
+def test_toxicity_pieces_spread_over_the_text(spark):
+    assert toxicity.room([5, 10, 100], 200) == 100 and toxicity.room([5, 10, 100], 60) == 45
+    assert toxicity.room([90, 100], 100) == 50 and toxicity.room([], 9) == 0
+    text = "".join(chr(0x4E00 + i) for i in range(10_007))
+    got = spark.createDataFrame([(1, text)], "i int, t string").select(
+        toxicity.spread(F.col("t"), F.col("i"), 2000)).first()[0]
+    starts = [text.index(p) for p in got]
+    assert {len(p) for p in got} == {100} and len(got) == toxicity.PIECES
+    for j, a in enumerate(starts):
+        assert j * 10_007 // 20 <= a and a + 100 <= (j + 1) * 10_007 // 20
+    assert toxicity.pieces_of(["cut one two cu", "x"]) == [[b"one", b"two"], [b"x"]]
+
+
 def test_line_dedup(docs, none):
     white = " \t\n\x0b\x0c\r"
     key = lambda x: x.strip(white).translate({i: i + 32 for i in range(65, 91)})
