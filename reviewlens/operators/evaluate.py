@@ -187,11 +187,12 @@ def metrics_report(per_class: DataFrame, overall: DataFrame, by=()) -> DataFrame
     return out
 
 
-def evaluate(df: DataFrame, y_true="y_true", y_pred="y_pred", labels=CLASSES, by=()):
-    """Counts, per-class, overall and confusion for one prediction table."""
+def evaluate(df: DataFrame, y_true="y_true", y_pred="y_pred", labels=CLASSES, by=(), groups: DataFrame | None = None):
+    """Counts, per-class, overall and confusion for one prediction table.
+    ``groups``: as in ``prediction_counts``."""
     from ..session import stable
     # feeds four result tables: written once (it is tiny) when a model upstream would rerun
-    counts = stable(prediction_counts(df, y_true, y_pred, labels, by), "eval-counts")
+    counts = stable(prediction_counts(df, y_true, y_pred, labels, by, groups), "eval-counts")
     pc = per_class_metrics(counts, labels, by)
     return {"counts": counts, "per_class": pc, "overall": overall_metrics(pc, by),
             "confusion": confusion_matrix(counts, labels, by)}
@@ -202,8 +203,8 @@ def binary_view(df: DataFrame, y_true="y_true", y_pred="y_pred") -> DataFrame:
     return df.withColumn(y_true, binary_label(y_true)).withColumn(y_pred, binary_label(y_pred))
 
 
-def evaluate_binary(df: DataFrame, y_true="y_true", y_pred="y_pred", by=()):
-    return evaluate(binary_view(df, y_true, y_pred), y_true, y_pred, BINARY_CLASSES, by)
+def evaluate_binary(df: DataFrame, y_true="y_true", y_pred="y_pred", by=(), groups: DataFrame | None = None):
+    return evaluate(binary_view(df, y_true, y_pred), y_true, y_pred, BINARY_CLASSES, by, groups)
 
 
 # ---- model outputs (FN-11, EVAL-9, EVAL-10) ----

@@ -162,8 +162,8 @@ def q_metrics_by_template(spark, sf_dir):
                                                "fx_pred_tpl"))
 def q_metrics_report_by_template(spark, sf_dir):
     """EVAL-11 + EVAL-8: full report per template in one job."""
-    p = ev.filter_error_predictions(fx.fx_pred_by_template(spark, sf_dir))
-    r = ev.evaluate(p, by=["template"])
+    rows = fx.fx_pred_by_template(spark, sf_dir)
+    r = ev.evaluate(ev.filter_error_predictions(rows), by=["template"], groups=rows)
     return ev.metrics_report(r["per_class"], r["overall"], by=["template"])
 
 

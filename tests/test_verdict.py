@@ -57,6 +57,21 @@ def test_exact_split_keeps_rows_without_key(spark):
     assert out.filter("split = 'test'").count() == 5
 
 
+def test_a_template_of_errors_alone_fails_the_full_report(spark, monkeypatch):
+    from reviewlens.plans import fixtures, q_evaluate
+    rows = spark.createDataFrame([("a", "valid", "valid"), ("b", "valid", "ERROR: timeout")],
+                                 "template string, y_true string, y_pred string")
+    kept = ev.filter_error_predictions(rows)
+    for run in (ev.evaluate, ev.evaluate_binary):
+        r = run(kept, by=["template"], groups=rows)
+        assert {x.template for x in r["per_class"].collect()} == {"a", "b"}
+        with pytest.raises(Exception, match="no prediction is left"):
+            ev.metrics_report(r["per_class"], r["overall"], by=["template"]).collect()
+    monkeypatch.setattr(fixtures, "fx_pred_by_template", lambda *_: rows)
+    with pytest.raises(Exception, match="no prediction is left"):
+        q_evaluate.q_metrics_report_by_template(spark, "").collect()
+
+
 def test_topk_sets_broken_vectors_apart(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, None), (4, [1.0]), (5, [0.0, 1.0])],
                                    "vec_id int, embedding array<double>")
