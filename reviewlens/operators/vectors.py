@@ -222,11 +222,29 @@ def unusable_vectors(df: DataFrame, embedding: str = "embedding", dim: int | Non
     return df.filter(~is_usable(embedding, dim))
 
 
+def common_dim(queries: DataFrame, corpus: DataFrame, embedding: str = "embedding") -> int | None:
+    """The most frequent length of the corpus's finite vectors (None: there is
+    none). Raises where two lengths are as frequent, or where the queries'
+    most frequent length is another."""
+    def top(df):
+        return (usable_vectors(df, embedding).groupBy(F.size(embedding).alias("d")).count().filter("d > 0")
+                .orderBy(F.desc("count"), "d").limit(2).collect())
+    mine = top(corpus)
+    if not mine:
+        return None
+    if len(mine) == 2 and mine[0]["count"] == mine[1]["count"]:
+        raise ValueError(f"corpus vectors of length {mine[0]['d']} come as often as those of {mine[1]['d']}: give dim")
+    asked = top(queries)
+    if asked and mine[0]["d"] not in {r["d"] for r in asked if r["count"] == asked[0]["count"]}:
+        raise ValueError(f"corpus vectors have length {mine[0]['d']}, queries {asked[0]['d']}")
+    return mine[0]["d"]
+
+
 def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id",
                  vec_id: str = "vec_id", embedding: str = "embedding", carry=("label",),
                  normalize: bool = True, corpus_block_rows: int = 50_000, query_block_rows: int = 20_000,
                  exclude_self: bool = False, tie_decimals: int = 9, skip_failed: bool = True,
-                 min_cells: int | None = None) -> DataFrame:
+                 min_cells: int | None = None, dim: int | None = None) -> DataFrame:
     """JOIN-4 + WIN-1: exact inner-product top k of every query against the
     corpus (flat-index semantics; cosine after FN-9). Rows:
     (query_id, rank 1..k, vec_id, score, carry...). Fewer than k rows when
@@ -235,14 +253,15 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: st
     equal vectors; exact ties go to the lower vec_id. Query ids must be
     unique (each id's merge window holds its blocks x k candidates). The
     rounding departs from raw score order for scores closer than that.
-    Vectors that are NULL, of another length than the corpus's longest or not
-    finite are set apart on both sides (``unusable_vectors`` lists them)."""
+    Vectors that are NULL, of another length than ``dim`` (None: the corpus's
+    most frequent, see ``common_dim``) or not finite are set apart on both
+    sides (``unusable_vectors`` lists them)."""
     from ..session import stable  # inputs are read twice (sizes, then scoring): never re-run a model
     queries, corpus = stable(queries, "topk-queries"), stable(corpus, "topk-corpus")
     if skip_failed and "embed_failed" in corpus.columns:  # UDF-4: zero vectors of failed embeddings
         corpus = corpus.filter(~F.coalesce(F.col("embed_failed"), F.lit(False)))
     carry = [c for c in carry if c in corpus.columns]
-    dim_ = corpus.agg(F.max(F.size(embedding))).collect()[0][0]
+    dim_ = dim if dim is not None else common_dim(queries, corpus, embedding)
     queries, corpus = (usable_vectors(x, embedding, dim_) for x in (queries, corpus))
     emb = F.col(embedding).alias("emb")  # shuffled as stored (float32 stays float32), normalised in the cell
     # sizes of both sides and the vector dimension in one job (partial aggregation, two rows back)

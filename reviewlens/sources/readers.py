@@ -212,7 +212,7 @@ def save_vector_index(index: DataFrame, path: str, model_name: str, embedding: s
     mode = "overwrite" if force else "errorifexists"
     index.write.mode(mode).parquet(os.path.join(path, "vectors"))
     stored = spark.read.parquet(os.path.join(path, "vectors"))
-    (stored.agg(F.count(F.lit(1)).alias("total_vectors"), F.max(F.size(embedding)).alias("dimension"))
+    (stored.agg(F.count(F.lit(1)).alias("total_vectors"), F.mode(F.size(embedding)).alias("dimension"))
      .select(F.lit(model_name).alias("model_name"), "dimension", "total_vectors",
              F.lit(json.dumps(stored.columns)).alias("columns"))
      .coalesce(1).write.mode(mode).parquet(manifest_path))

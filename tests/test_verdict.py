@@ -72,6 +72,20 @@ def test_a_template_of_errors_alone_fails_the_full_report(spark, monkeypatch):
         q_evaluate.q_metrics_report_by_template(spark, "").collect()
 
 
+def test_topk_with_one_over_long_vector(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0])],
+                                   "vec_id int, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    got = lambda *a, **kw: [(r.query_id, r.vec_id) for r in
+                            vectors.topk_similar(*a, k=5, carry=(), **kw).orderBy("rank").collect()]
+    assert got(queries, corpus) == [(1, 1), (1, 2)]
+    assert got(queries, corpus.filter("vec_id > 1"), dim=2) == [(1, 2)]
+    with pytest.raises(ValueError, match="as often"):  # one of 2, one of 3
+        got(queries, corpus.filter("vec_id > 1"))
+    with pytest.raises(ValueError, match="queries"):
+        got(queries, corpus.filter("vec_id = 3"))
+
+
 def test_topk_sets_broken_vectors_apart(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, None), (4, [1.0]), (5, [0.0, 1.0])],
                                    "vec_id int, embedding array<double>")
