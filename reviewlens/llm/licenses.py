@@ -4,12 +4,16 @@ The index posts every licence word of the templates (all their words but the
 function words) with template and position. One pass over the texts keeps, for
 texts that hold licence words, where these stand, and which mandatory key
 phrases occur. Document frequencies of the licence words over the whole corpus
-give their IDF. Each text's ``k`` rarest licence words are looked up in the
-postings; a place p of a word posted at t votes for the offset p - t, and votes
-of one template at one offset add their IDF. A template whose votes reach
+give their IDF. A place p of a word posted at t votes for the offset p - t, and
+votes of one template at one offset add their IDF. A template whose votes reach
 ``least_share`` of its weight from at least two places, and whose key phrase
 the text holds, gives its label.
 
+Rare words pick the (template, offset) pairs and all posted words verify them:
+a template's rarest postings that weigh more than 1 - ``least_share`` of it are
+its probes, so an offset without a probe cannot reach the share and is left
+out without loss. What else a text holds does not matter.
+
 The vocabulary, and with it the frequencies, the postings and all that is
 broadcast, is bounded by the templates and not by the corpus. Texts never
 shuffle; votes are grouped by text, so no group exceeds one text's own words.
@@ -110,7 +114,22 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.when(some, hits).alias("hits"), F.when(some, keys).alias("keys"))
 
 
-def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 32,
+def probes(posted: list[tuple[str, int, int]], idf: dict[str, float], least_share: float) -> set[tuple[str, int, int]]:
+    """Each template's rarest postings, as many as weigh more than
+    1 - ``least_share`` of it."""
+    out: set[tuple[str, int, int]] = set()
+    for t in range(len(TEMPLATES)):
+        mine = sorted((p for p in posted if p[1] == t), key=lambda p: (-idf[p[0]], p))
+        total, got = sum(idf[p[0]] for p in mine), 0.0
+        for p in mine:
+            if got > (1 - least_share) * total + 1e-6:
+                break
+            out.add(p)
+            got += idf[p[0]]
+    return out
+
+
+def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   least_share: float = 0.6) -> DataFrame:
     """(id, n_words, base, base_labels, labels, score) of every row; ``base``
     has the places of each base phrase, the labels are sorted arrays."""
@@ -120,18 +139,15 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, posted = rows.count(), postings()
     idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) + 1 for w, _, _ in posted}
     weight = [sum(idf[w] for w, t, _ in posted if t == i) for i in range(len(TEMPLATES))]
+    rare = probes(posted, idf, least_share)
     index = F.broadcast(spark.createDataFrame(
-        [(w, t, i, idf[w], weight[t], TEMPLATES[t][0]) for w, t, i in posted],
-        "word string, template int, at int, idf double, weight double, label string"))
-    rarity = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, idf[w])])
-    probes = F.slice(F.array_sort(F.transform("words", lambda w: F.struct((-rarity[w]).alias("r"), w.alias("w")))), 1, k)
-    votes = (rows.filter(F.size("words") > 0).withColumn("probes", F.transform(probes, lambda p: p["w"]))
-             .select("row", "keys", "probes", F.explode("hits").alias("h"))
-             .filter(F.array_contains("probes", F.col("h.word"))).select("row", "keys", "h.word", "h.pos")
-             .join(index, "word").filter(F.array_contains("keys", F.col("template")))
+        [(w, t, i, idf[w], weight[t], TEMPLATES[t][0], (w, t, i) in rare) for w, t, i in posted],
+        "word string, template int, at int, idf double, weight double, label string, probe boolean"))
+    votes = (rows.filter(F.size("keys") > 0).select("row", "keys", F.explode("hits").alias("h"))
+             .select("row", "keys", "h.word", "h.pos").join(index, "word").filter(F.array_contains("keys", F.col("template")))
              .groupBy("row", "template", "label", (F.col("pos") - F.col("at")).alias("offset"))
-             .agg((F.sum("idf") / F.first("weight")).alias("share"), F.count(F.lit(1)).alias("n")))
-    own = (votes.filter((F.col("n") >= 2) & (F.col("share") >= least_share)).groupBy("row")
+             .agg((F.sum("idf") / F.first("weight")).alias("share"), F.count(F.lit(1)).alias("n"), F.max("probe").alias("picked")))
+    own = (votes.filter(F.col("picked") & (F.col("n") >= 2) & (F.col("share") >= least_share)).groupBy("row")
            .agg(F.collect_set("label").alias("own"), F.max("share").alias("share")))
     base_labels = F.array_compact(F.array(*[F.when(F.size(F.col("base")[i]) > 0, F.lit(label))
                                             for i, (_, label) in enumerate(BASE)]))

@@ -236,6 +236,16 @@ def test_license_places_and_labels(spark, docs, none):
     assert {r.id: r.labels for r in rows.collect()} == {1: ["mit"], 2: []}  # positions count, not words alone
 
 
+def test_license_text_with_every_template(spark):
+    every = ". ".join(t for _, t, _ in licenses.TEMPLATES)
+    notice = ". ".join(licenses.TEMPLATES[i][1] for i in (0, 5, 7, 8))  # gpl, long apache, mit, bsd
+    rows = licenses.scan_licenses(spark.createDataFrame([(1, every), (2, notice), (3, "free work")],
+                                                        "doc_id int, text string")).collect()
+    labels = {r.id: set(r.labels) for r in rows}
+    assert labels[1] >= {label for label, _, _ in licenses.TEMPLATES} and labels[3] == set()
+    assert labels[2] >= {"gpl-3.0", "apache-2.0", "mit", "bsd"}
+
+
 def test_language_model(spark, docs, none):
     rng = random.Random(2)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ein"]}
