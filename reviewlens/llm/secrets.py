@@ -3,9 +3,10 @@
 Base spans are the matches of three fixed patterns. Beside them, every
 credential-like token (``CANDIDATE``) is hashed and its hash counted over the
 whole corpus by distinct owners and by distinct repositories of an owner. A
-hash that many owners or repositories share is a widely copied example; one
-that a single owner holds in at most ``max_repos`` repositories looks live and
-adds a span of kind ``live`` at each of its places.
+hash that more than ``max_owners`` owners hold is a widely copied example; any
+other is specific to its owner, in however many repositories, and adds a span
+of kind ``live`` at each of its places. Where no column names the repository
+it is the content, so copies of a text are one; ``max_repos`` can bound them.
 
 Only hashes and offsets leave the text pass, never a secret. Counts are summed
 hash by hash in three grouped steps (repository, owner, hash), each combined
@@ -66,14 +67,15 @@ def of_kind(spans: Column, kind: int) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-def scan(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
+def scan(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str | None) -> DataFrame:
     """One pass over the texts: (row, id, owner, repo, base, candidates)."""
     text = text_or_empty(text_col)
+    repo = F.xxhash64(text) if repo_col is None else F.col(repo_col)
     base = [base_spans(text, kind) for kind in range(len(BASE))]
     tokens = F.transform(matches(text, CANDIDATE), lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), F.substring(F.sha2(m["value"], 256), 1, 32).alias("hash")))
     return df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-                     F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"),
+                     F.col(owner_col).cast("string").alias("owner"), repo.cast("string").alias("repo"),
                      F.array_sort(F.concat(*base)).alias("base"), tokens.alias("candidates"))
 
 
@@ -86,7 +88,7 @@ def ownership(tokens: DataFrame) -> DataFrame:
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_col: str = "doc_id", max_owners: int = 1, max_repos: int = 3) -> DataFrame:
+                 repo_col: str | None = None, max_owners: int = 1, max_repos: int | None = None) -> DataFrame:
     """(id, base, spans) of every row: arrays of struct(start, kind, end),
     sorted; ``kind`` indexes ``KINDS``."""
     rows = written(scan(df, id_col, text_col, owner_col, repo_col), "secrets")
@@ -94,7 +96,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      .select("row", "owner", "repo", "c.*"), "tokens")
     counts = written(ownership(tokens), "ownership")
     live = lookup(tokens, counts, "hash", "n", tokens.count()).filter(
-        (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
+        (F.col("owners") <= max_owners) & (F.lit(True) if max_repos is None else F.col("repos") <= max_repos))
     span = F.struct("start", F.lit(len(BASE)).alias("kind"), "end")
     more = live.groupBy("row").agg(F.collect_list(span).alias("live"))  # no more than a text's own tokens
     return rows.join(more, "row", "left").select(

@@ -186,6 +186,20 @@ def test_secret_ownership(spark):
     assert not any(live[i] for i in range(3, 30))
 
 
+def test_secret_of_one_owner_in_many_documents(spark):
+    rows = [(i, f"text {i} {KEY}", "me") for i in range(20)]  # one owner, many documents
+    rows += [(i, f"a {KEY[::-1]}", "you") for i in range(20, 40)]  # a group of copies
+    rows += [(40, f"b {KEY.upper()}", "me"), (41, f"b {KEY.upper()}", "you")]  # two owners
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+    def live(**bounds):
+        return {r.id for r in secrets.find_secrets(df, **bounds).collect()
+                if any(secrets.KINDS[s.kind] == "live" for s in r.spans)}
+
+    assert live() == set(range(40))
+    assert live(max_repos=3) == set(range(20, 40))  # copies are one repository
+
+
 def test_spans_of_a_text_with_thousands_of_matches(spark):
     """Offsets are folded in blocks: several blocks, with ends inside and on the edge of one."""
     for n in (511, 512, 513, 3000):
