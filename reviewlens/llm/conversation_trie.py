@@ -335,7 +335,7 @@ def _heavy(rows: DataFrame, total: int, shard_rows: int, share: float) -> DataFr
         limit *= 4
 
 
-def trie(conversations: DataFrame, shard_rows: int = 1 << 18, share: float = 1 / 2000,
+def trie(conversations: DataFrame, shard_rows: int = 256, share: float = 1 / 2000,
          queue_limit: int = 1 << 18) -> DataFrame:
     """One row per node: conv_id (smallest member), depth, parent_conv_id,
     n_convs, n_children, n_leaves, saved_tokens (bytes saved over the subtree
