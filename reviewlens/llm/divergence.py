@@ -58,30 +58,31 @@ def term_counts(docs: DataFrame, held: int = HELD_TERMS) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
-        from collections import Counter
+        from collections import Counter, defaultdict
 
         find = re.compile(rb"[A-Za-z\x80-\xff]+").findall  # the bytes of ASCII letters and of all other characters
-        times: Counter = Counter()
-        within: Counter = Counter()
+        groups: dict = defaultdict(lambda: (Counter(), Counter()))
+        size = 0
 
         def out():
-            keys = list(times)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                 pa.array([k[2].decode() for k in keys], pa.string()), pa.array([times[k] for k in keys], pa.int64()),
-                 pa.array([within[k] for k in keys], pa.int64())], ["lang", "source", "term", "n", "docs"])
-            times.clear()
-            within.clear()
+            for (lang, source), (times, within) in groups.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang), len(times)), pa.repeat(pa.scalar(source), len(times)),
+                     pa.array(times.keys(), pa.binary()).cast(pa.string()), pa.array(times.values(), pa.int64()),
+                     pa.array(map(within.__getitem__, times), pa.int64())], ["lang", "source", "term", "n", "docs"])
+            groups.clear()
 
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                here = Counter(find(text.lower()))  # bytes.lower() changes A-Z only
-                for term, n in here.items():
-                    k = lang, source, term
-                    times[k] += n
-                    within[k] += 1
-                if len(times) > held:
+                found = find(text.lower())  # bytes.lower() changes A-Z only
+                times, within = groups[lang, source]
+                size -= len(times)
+                times.update(found)
+                within.update(set(found))
+                size += len(times)
+                if size > held:
                     yield from out()
+                    size = 0
         yield from out()
 
     cols = [text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"),

@@ -22,8 +22,8 @@ sequence), as XXH64 hashes. Two documents link when
    shuffled and sorted; rows of one key stream by. Up to SMALL classes of a key
    give their pairs. More are dealt to blocks of BLOCK, and each two blocks of
    a key are compared in a cell, by sizes and by the Hamming distance of small
-   sketches (the same bound); a cell tells only the links that join something
-   new to it, never all pairs of a group.
+   sketches (the same bound); a cell tells only a spanning forest of the links
+   that these allow, never all pairs of a group.
 5. Told pairs are verified: the sets are fetched and their intersection is
    counted. If a verified pair of a cell fails, what the cell took as joined
    may not be, so the cells are compared again, telling all pairs that the
@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 from ..operators.join import fits_broadcast
 from .common import lookup, text_or_empty, written
 from .components import components
+from .simhash import Forest
 
 LANE = 1 << 12          # bits of a segment
 SMALL, BLOCK = 8, 2048  # classes of a key paired at once; classes of a block
@@ -97,13 +98,13 @@ def shingle_hashes(text: bytes, shingle: int):
 
 
 def small_sketch(hashes, num: int, den: int):
-    """Parity sketch of 64 to 1024 bits (as 64-bit words), about four times
-    the difference that a link allows. Folding it in halves gives the sketch
-    of half the size."""
+    """Parity sketch of 64 to 4096 bits (as 64-bit words), sixteen times the
+    difference that a link allows if that is less. Folding it in halves gives
+    the sketch of half the size."""
     import numpy as np
 
     words = 1
-    while words < 16 and 64 * words < 4 * most_different(len(hashes), len(hashes), num, den):
+    while words < 64 and 64 * words < 16 * most_different(len(hashes), len(hashes), num, den):
         words *= 2
     odd = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
@@ -269,33 +270,41 @@ def key_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def cell_pairs(n, sketches, label, left, num: int, den: int, forest: bool):
-    """Index pairs of a cell that sizes and sketches allow to link: of
-    different labels; with ``forest`` only those that join two labels not yet
-    joined. ``left`` marks the first block of two; without a mark all rows
-    meet, else only rows of different blocks."""
+    """Index pairs of a cell that sizes and sketches allow to link, of
+    different labels. With ``forest`` only a minimum spanning forest of them by
+    Hamming distance (Prim's algorithm, rows of one label being joined from
+    the start): the pairs surest to link are taken first. ``left`` marks the
+    first block of two; without a mark all rows meet, else only rows of
+    different blocks."""
     import numpy as np
 
-    label = label.copy()
-    first = np.flatnonzero(left)
-    second = np.flatnonzero(~left)
-    one = not len(second)
+    one = bool(left.all())
+    size = len(n)
+    no = np.iinfo(np.int64).max
+
+    def far(i, others):
+        d = np.bitwise_count(sketches[others] ^ sketches[i]).sum(1, dtype=np.int64)
+        ok = (d <= most_different(n[others], n[i], num, den)) & (
+            np.minimum(n[others], n[i]) * den >= np.maximum(n[others], n[i]) * num)
+        if not one:
+            ok &= left[others] != left[i]
+        return np.where(label[others] == label[i], -1, np.where(ok, d, no))
+
+    if not forest:
+        return [(i, int(j)) for i in range(size) for d, rest in [(far(i, np.arange(i + 1, size)), i + 1)]
+                for j in rest + np.flatnonzero((d >= 0) & (d < no))]
     out = []
-    for x, i in enumerate(first):
-        others = first[x + 1:] if one else second
-        if not len(others):
-            break
-        near = np.bitwise_count(sketches[others] ^ sketches[i]).sum(1, dtype=np.int64) <= most_different(
-            n[others], n[i], num, den)
-        near &= (np.minimum(n[others], n[i]) * den >= np.maximum(n[others], n[i]) * num) & (label[others] != label[i])
-        hit = others[near]
-        if not forest:
-            out += [(i, j) for j in hit]
-            continue
-        for other, j in zip(*np.unique(label[hit], return_index=True)):
-            out.append((i, hit[j]))
-            label[label == other] = label[i]
-        if len(hit) and (label == label[0]).all():
-            break
+    rest = np.arange(size)                       # rows not yet in the forest, with their nearest row in it
+    best, near = np.full(size, no), np.full(size, -1)
+    while len(rest):
+        k = int(np.argmin(best))
+        i = int(rest[k])
+        if 0 <= best[k] < no:
+            out.append((int(near[k]), i))
+        rest, best, near = np.delete(rest, k), np.delete(best, k), np.delete(near, k)
+        d = far(i, rest)
+        closer = d < best
+        best[closer], near[closer] = d[closer], i
     return out
 
 
@@ -311,17 +320,33 @@ def cells(members: DataFrame, info: DataFrame, num: int, den: int, forest: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        joined, sent = Forest(), set()  # what this task has told: joins, or else its last pairs
+
         def told(rows):
             node, n, label = (np.array(rows[k], np.int64) for k in ("node", "n", "label"))
+            if forest:  # copies of a cell's links in other cells of the task are not told again
+                label = np.array([joined.find(x) for x in rows["label"]], np.int64)
+                if (label == label[0]).all():
+                    node = node[:0]
+            if not len(node):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
             raw = rows["sketch"]
             words = min(len(s) for s in raw) // 8
             sketches = np.zeros((len(raw), words), np.uint64)
             for size in {len(s) for s in raw}:
                 at = np.array([k for k, s in enumerate(raw) if len(s) == size])
                 sketches[at] = fold(np.frombuffer(b"".join(raw[k] for k in at), np.uint64).reshape(len(at), -1), words)
-            pairs = cell_pairs(n, sketches, label, np.array(rows["left"]), num, den, forest)
-            a, b = (np.array([node[p[k]] for p in pairs], np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            found = cell_pairs(n, sketches, label, np.array(rows["left"]), num, den, forest)
+            pairs = {(int(min(node[x], node[y])), int(max(node[x], node[y]))) for x, y in found}
+            if forest:
+                for x, y in found:
+                    joined.join(int(label[x]), int(label[y]))
+            else:
+                pairs -= sent
+                if len(sent) < SEEN:
+                    sent.update(pairs)
+            a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
         held: dict = {}
         cell = None
