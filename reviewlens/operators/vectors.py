@@ -2,27 +2,22 @@
 
 FN-9, FN-10, FN-13, UDF-5, JOIN-4/5, WIN-1, TOPK-3, AGG-7/8, UDF-7, FN-16.
 
-Exact top-k at scale (JOIN-4) is a blocked similarity join:
-the corpus is hash-split into B blocks and the queries into Q blocks
-(block sizes bounded by ``corpus_block_rows`` / ``query_block_rows``);
-each (query block, corpus block) cell is one ``cogroup`` group scored by
-a NumPy matrix product that emits only its per-query top k. Merging is a
-``row_number() <= k`` window per query over B*k candidates. Shuffle
-volume: queries*B + corpus*Q + queries*B*k, never queries*corpus, and no
-pair is ever materialised as a row.
+Exact top-k at scale (JOIN-4): the corpus is written once as blocks, which
+the tasks that hold the queries read in place, skipping those that a bound
+shows to hold no hit (``block_index``). Only queries are shuffled; no corpus
+row is copied, and no pair is ever materialised as a row.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLASSES, NO_CONTENT, NO_EXAMPLES, PY_WS
 from ..functions.text import let
+from .block_index import save_blocks, topk_blocks
 from .join import skew_safe_join
 
 
@@ -142,66 +137,7 @@ def embed_batches(df: DataFrame, text_col: str, embed_fn, out_col: str = "embedd
     return df.mapInPandas(run, schema)
 
 
-CELL_SCORE_ELEMENTS = 1 << 24   # score-matrix elements per query chunk (~128 MB as float64)
-BLOCK_FLOATS = 1 << 25          # corpus block floats (~256 MB as float64)
-
-
-def _topk_cell(k: int, qid: str, vid: str, carry: list[str], decimals: int, normalize: bool):
-    """Per-cell scorer: FN-9 if ``normalize``, dense product in float64, then
-    each query's top k by (score rounded to ``decimals`` desc, vec_id asc);
-    only those k rows leave the Python worker. Queries are scored in chunks
-    sized so one score matrix stays near ``CELL_SCORE_ELEMENTS`` elements."""
-    def matrix(vectors: pd.Series) -> np.ndarray:
-        m = np.stack(vectors.to_numpy()).astype(np.float64)
-        if normalize:
-            norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            m /= np.where(norms > 0, norms, 1.0)
-        return m
-
-    def fn(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        cols = ["query_id", "vec_id", "score", "rscore"] + carry
-        if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({x: [] for x in cols})
-        cm = matrix(c["emb"])
-        cids = c[vid].to_numpy()
-        qids = q[qid].to_numpy()
-        kk = min(k, len(c))
-        chunk = max(1, min(4096, CELL_SCORE_ELEMENTS // len(c)))
-        out_q, out_i, out_s, out_r = [], [], [], []
-        for s in range(0, len(q), chunk):
-            qm = matrix(q["emb"].iloc[s:s + chunk])
-            raw = qm @ cm.T
-            rs = np.round(raw, decimals)
-            kth = -np.partition(-rs, kk - 1, axis=1)[:, kk - 1]
-            for i in range(rs.shape[0]):
-                cand = np.flatnonzero(rs[i] >= kth[i])
-                sel = cand[np.lexsort((cids[cand], -rs[i, cand]))[:kk]]
-                out_q.append(np.full(len(sel), qids[s + i]))
-                out_i.append(sel)
-                out_s.append(raw[i, sel])
-                out_r.append(rs[i, sel])
-        idx = np.concatenate(out_i)
-        part = pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": cids[idx],
-                             "score": np.concatenate(out_s), "rscore": np.concatenate(out_r)})
-        for x in carry:
-            part[x] = c[x].to_numpy()[idx]
-        return part
-    return fn
-
-
-def block_counts(nq: int, nc: int, corpus_block_rows: int, query_block_rows: int,
-                 min_cells: int) -> tuple[int, int]:
-    """(corpus blocks, query blocks). Block sizes never exceed the row
-    bounds (memory per cell). Below ``min_cells`` cells the blocks are made
-    smaller until every core has a cell, splitting each side in proportion
-    to its size: corpus rows are copied once per query block and queries
-    once per corpus block, so nb/nqb ~ nc/nq keeps the copies smallest."""
-    nb = max(1, math.ceil(nc / corpus_block_rows))
-    nqb = max(1, math.ceil(nq / query_block_rows))
-    if nb * nqb < min_cells:
-        nb = max(nb, min(nc, round(math.sqrt(min_cells * nc / max(nq, 1)))))
-        nqb = max(nqb, min(nq, math.ceil(min_cells / nb)))
-    return nb, nqb
+BLOCK_FLOATS = 1 << 25          # numbers of a corpus block (~256 MB as float64)
 
 
 def is_usable(embedding, dim: int | None) -> Column:
@@ -222,84 +158,67 @@ def unusable_vectors(df: DataFrame, embedding: str = "embedding", dim: int | Non
     return df.filter(~is_usable(embedding, dim))
 
 
-def common_dim(queries: DataFrame, corpus: DataFrame, embedding: str = "embedding") -> int | None:
-    """The most frequent length of the corpus's finite vectors (None: there is
-    none). Raises where two lengths are as frequent, or where the queries'
-    most frequent length is another."""
-    def top(df):
-        return (usable_vectors(df, embedding).groupBy(F.size(embedding).alias("d")).count().filter("d > 0")
-                .orderBy(F.desc("count"), "d").limit(2).collect())
-    mine = top(corpus)
-    if not mine:
+def vector_sizes(queries: DataFrame, corpus: DataFrame, embedding: str = "embedding") -> tuple[dict, dict]:
+    """How many usable vectors of each length the queries and the corpus
+    have: one aggregate over both."""
+    sides = (usable_vectors(queries, embedding).select(F.lit(0).alias("side"), F.size(embedding).alias("d"))
+             .unionByName(usable_vectors(corpus, embedding).select(F.lit(1).alias("side"), F.size(embedding).alias("d"))))
+    rows = sides.groupBy("side", "d").count().filter("d > 0").collect()
+    return tuple({r["d"]: r["count"] for r in rows if r["side"] == side} for side in (0, 1))
+
+
+def common_dim(asked: dict, held: dict) -> int | None:
+    """The most frequent length of the corpus's vectors (None: there is none).
+    Raises where two lengths are as frequent, or where the queries' most
+    frequent length is another."""
+    if not held:
         return None
-    if len(mine) == 2 and mine[0]["count"] == mine[1]["count"]:
-        raise ValueError(f"corpus vectors of length {mine[0]['d']} come as often as those of {mine[1]['d']}: give dim")
-    asked = top(queries)
-    if asked and mine[0]["d"] not in {r["d"] for r in asked if r["count"] == asked[0]["count"]}:
-        raise ValueError(f"corpus vectors have length {mine[0]['d']}, queries {asked[0]['d']}")
-    return mine[0]["d"]
+    most = sorted(held, key=lambda d: (-held[d], d))
+    if len(most) > 1 and held[most[0]] == held[most[1]]:
+        raise ValueError(f"corpus vectors of length {most[0]} come as often as those of {most[1]}: give dim")
+    if asked and asked.get(most[0], 0) < max(asked.values()):
+        raise ValueError(f"corpus vectors have length {most[0]}, queries {max(asked, key=lambda d: (asked[d], -d))}")
+    return most[0]
 
 
 def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id",
                  vec_id: str = "vec_id", embedding: str = "embedding", carry=("label",),
-                 normalize: bool = True, corpus_block_rows: int = 50_000, query_block_rows: int = 20_000,
+                 normalize: bool = True, corpus_block_rows: int = 50_000, query_block_rows: int = 4096,
                  exclude_self: bool = False, tie_decimals: int = 9, skip_failed: bool = True,
-                 min_cells: int | None = None, dim: int | None = None) -> DataFrame:
+                 dim: int | None = None, index_path: str | None = None, report: bool = False) -> DataFrame:
     """JOIN-4 + WIN-1: exact inner-product top k of every query against the
     corpus (flat-index semantics; cosine after FN-9). Rows:
     (query_id, rank 1..k, vec_id, score, carry...). Fewer than k rows when
     the corpus is smaller than k (JOIN-5). Ranking uses the score rounded
     to ``tie_decimals`` so that float summation order cannot reorder
-    equal vectors; exact ties go to the lower vec_id. Query ids must be
-    unique (each id's merge window holds its blocks x k candidates). The
-    rounding departs from raw score order for scores closer than that.
-    Vectors that are NULL, of another length than ``dim`` (None: the corpus's
-    most frequent, see ``common_dim``) or not finite are set apart on both
-    sides (``unusable_vectors`` lists them)."""
-    from ..session import stable  # inputs are read twice (sizes, then scoring): never re-run a model
+    equal vectors; exact ties go to the lower vec_id. The rounding departs
+    from raw score order for scores closer than that. The corpus is written
+    once as blocks that the query tasks read in place (``block_index``), to
+    ``index_path`` or a stage folder; ``report`` adds, for each query, the
+    blocks read and their number. Vectors that are NULL, of another length
+    than ``dim`` (None: the corpus's most frequent, see ``common_dim``) or not
+    finite are set apart on both sides (``unusable_vectors`` lists them)."""
+    from ..session import run_folder, stable  # inputs are read more than once: never re-run a model
     queries, corpus = stable(queries, "topk-queries"), stable(corpus, "topk-corpus")
     if skip_failed and "embed_failed" in corpus.columns:  # UDF-4: zero vectors of failed embeddings
         corpus = corpus.filter(~F.coalesce(F.col("embed_failed"), F.lit(False)))
     carry = [c for c in carry if c in corpus.columns]
-    dim_ = dim if dim is not None else common_dim(queries, corpus, embedding)
+    asked, held = vector_sizes(queries, corpus, embedding)
+    dim_ = dim if dim is not None else common_dim(asked, held)
     queries, corpus = (usable_vectors(x, embedding, dim_) for x in (queries, corpus))
-    emb = F.col(embedding).alias("emb")  # shuffled as stored (float32 stays float32), normalised in the cell
-    # sizes of both sides and the vector dimension in one job (partial aggregation, two rows back)
-    sides = (queries.select(F.lit(0).alias("_side"), F.lit(None).cast("int").alias("_d"))
-             .unionByName(corpus.select(F.lit(1).alias("_side"), F.size(embedding).alias("_d"))))
-    st = {r["_side"]: r for r in sides.groupBy("_side").agg(F.count(F.lit(1)).alias("n"),
-                                                             F.max("_d").alias("d")).collect()}
-    nq = int(st[0]["n"]) if 0 in st else 0
-    nc = int(st[1]["n"]) if 1 in st else 0
-    dim = int(st[1]["d"] or 1) if 1 in st else 1
-    # memory per cell: a corpus block holds at most BLOCK_FLOATS numbers
-    corpus_block_rows = max(1, min(corpus_block_rows, BLOCK_FLOATS // max(dim, 1)))
-    if nq == 0 or nc == 0:  # same columns as a non-empty result, no rows
-        empty = queries.sparkSession.createDataFrame(
-            [], f"query_id {queries.schema[query_id].dataType.simpleString()}, rank int, "
-                f"vec_id {corpus.schema[vec_id].dataType.simpleString()}, score double"
-                + "".join(f", {x} {corpus.schema[x].dataType.simpleString()}" for x in carry))
-        return empty.withColumnRenamed("query_id", query_id) if query_id != "query_id" else empty
-    nb, nqb = block_counts(nq, nc, corpus_block_rows, query_block_rows,
-                           min_cells or queries.sparkSession.sparkContext.defaultParallelism)
-    q = queries.select(F.col(query_id), emb,
-                       F.pmod(F.xxhash64(query_id), F.lit(nqb)).alias("qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("cb"))
-    c = corpus.select(F.col(vec_id), emb, *carry,
-                      F.pmod(F.xxhash64(vec_id), F.lit(nb)).alias("cb"),
-                      F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))).alias("qb"))
-    kk = k + 1 if exclude_self else k
-    ctypes = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
-    schema = (f"query_id {queries.schema[query_id].dataType.simpleString()}, "
-              f"vec_id {ctypes[vec_id]}, score double, rscore double" + "".join(f", {x} {ctypes[x]}" for x in carry))
-    cand = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-            .applyInPandas(_topk_cell(kk, query_id, vec_id, carry, tie_decimals, normalize), schema))
-    if exclude_self:
-        cand = cand.filter(F.col("query_id") != F.col("vec_id"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("rscore"), "vec_id")
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    out = ranked.select("query_id", "rank", "vec_id", "score", *carry)
-    return out.withColumnRenamed("query_id", query_id) if query_id != "query_id" else out
+    if not asked.get(dim_) or not held.get(dim_):  # same columns as a non-empty result, no rows
+        kind = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
+        return queries.sparkSession.createDataFrame(
+            [], f"{query_id} {queries.schema[query_id].dataType.simpleString()}, rank int, {vec_id} {kind[vec_id]}, "
+                "score double" + "".join(f", {x} {kind[x]}" for x in carry)
+                + (", blocks_read int, blocks int" if report else ""))
+    rows = max(1, min(corpus_block_rows, BLOCK_FLOATS // dim_))
+    path = index_path or f"{run_folder(queries.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    corpus = corpus.select(vec_id, embedding, *carry)
+    save_blocks(corpus, path, held[dim_], vec_id, embedding, rows, normalize)
+    hits = topk_blocks(queries, path, k, query_id, vec_id, embedding, carry, normalize, query_block_rows,
+                       exclude_self, tie_decimals, block_schema=corpus.schema, single=held[dim_] <= rows)
+    return hits if report else hits.drop("blocks_read", "blocks")
 
 
 def retrieved_label_distribution(hits: DataFrame, label: str = "label") -> DataFrame:

@@ -45,10 +45,19 @@ def hits(spark, sf_dir):
 SELECT query_id, rank, vec_id, round(score, 6) AS score, label FROM hits""", "fx_query", "fx_corpus"))
 def q_topk_similar(spark, sf_dir):
     """JOIN-4 / WIN-1 / FN-10: exact top-5 of every query vector against the
-    labelled corpus (blocked cogroup scoring, row_number merge)."""
+    labelled corpus, written as blocks that the query tasks read in place."""
     return hits(spark, sf_dir)
 
 
+@query("topk_blocks", with_ctes(f"""WITH {TOPK_SQL}
+SELECT query_id, rank, vec_id, round(score, 6) AS score, label FROM hits""", "fx_query", "fx_corpus"))
+def q_topk_blocks(spark, sf_dir):
+    """JOIN-4 over an index of many small blocks: each block has a pivot and a
+    radius, and those that the triangle inequality rules out are not read."""
+    return V.topk_similar(fx.fx_query(spark, sf_dir), fx.fx_corpus(spark, sf_dir), k=K, carry=("label",),
+                          corpus_block_rows=256)
+
+
 @query("retrieved_label_distribution", with_ctes(f"""WITH {TOPK_SQL}
 SELECT query_id, coalesce(label, 'unknown') AS label, count(*) AS n FROM hits GROUP BY 1, 2""", "fx_query", "fx_corpus"))
 def q_retrieved_label_distribution(spark, sf_dir):

@@ -21,9 +21,9 @@ def test_no_nested_loop_or_cartesian_join(static_plans):
     assert [n for n, s in static_plans.items() if s["nested_loop"]] == []
 
 
-def test_topk_scores_in_one_python_stage_with_partial_limit(static_plans):
+def test_topk_scores_in_one_python_stage_and_shuffles_queries_only(static_plans):
     for n in ("topk_similar", "rag_topk"):
-        assert static_plans[n]["python"] == 1 and static_plans[n]["window_group_limit"] >= 1
+        assert static_plans[n]["python"] == 1 and static_plans[n]["shuffles"] == 1
 
 
 def test_scoring_pass_needs_no_shuffle(static_plans):
@@ -32,7 +32,7 @@ def test_scoring_pass_needs_no_shuffle(static_plans):
 
 
 def test_python_only_in_model_and_cell_stages(static_plans):
-    allowed = {"classify_reviews", "classify_errors", "rag_classify", "topk_similar", "rag_topk",
+    allowed = {"classify_reviews", "classify_errors", "rag_classify", "topk_similar", "topk_blocks", "rag_topk",
                "rag_examples_text", "rag_prompts", "knn_vote", "retrieved_label_distribution", "model_scores"}
     assert {n for n, s in static_plans.items() if s["python"]} <= allowed
 
@@ -42,11 +42,11 @@ def test_profile_reads_its_input_once(static_plans):
         assert static_plans[n]["scans"] <= 3  # of the written histogram
 
 
-def test_topk_shuffles_stored_vectors(spark):
-    """Nothing is computed on a vector above the replication."""
+def test_topk_plan_copies_no_corpus_row(spark):
+    """The plan of the hits reads queries alone; blocks are read in place."""
     from reviewlens.operators import vectors as V
-    e = spark.createDataFrame([(1, [1.0, 0.0], "valid")], "vec_id int, embedding array<float>, label string")
-    hits = V.topk_similar(e.withColumnRenamed("vec_id", "query_id").drop("label"), e)
-    lines = hits._jdf.queryExecution().optimizedPlan().toString().split("\n")
-    first = next(i for i, x in enumerate(lines) if "Generate" in x)
-    assert not any("lambda" in x for x in lines[:first])
+    e = spark.createDataFrame([(i, [1.0 * i, 1.0], "valid") for i in range(40)],
+                              "vec_id int, embedding array<float>, label string")
+    hits = V.topk_similar(e.withColumnRenamed("vec_id", "query_id").drop("label"), e, corpus_block_rows=8)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "label" not in plan.split("MapInArrow")[-1]
