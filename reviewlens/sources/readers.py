@@ -19,42 +19,83 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructField, Struc
 from ..operators.join import fits_broadcast
 from ..session import materialize, stable
 
-BAD = "_bad_record"
-
-
-def _with_bad(schema: StructType) -> StructType:
-    return StructType(list(schema.fields) + [StructField(BAD, StringType(), True)])
+_NESTED = (ArrayType, MapType, StructType)
 
 
 def _as_text(schema: StructType) -> StructType:
-    """The schema with its single values as text, so that a value of another
-    type than declared does not make its whole object undecodable."""
-    return StructType([f if isinstance(f.dataType, (ArrayType, MapType, StructType))
-                       else StructField(f.name, StringType(), True) for f in schema.fields])
-
-
-def _typed(value, field: StructField):
-    """A text value as declared; NULL if it is nothing of that type."""
-    if isinstance(field.dataType, (ArrayType, MapType, StructType, StringType)):
-        return value.alias(field.name)
-    return value.try_cast(field.dataType).alias(field.name)
-
-
-def scan_jsonl(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """SRC-1: one JSON object per line. Undecodable lines (truncated
-    objects, scalars, scalar arrays) are kept apart, not fatal; blank lines
-    are skipped; a line holding an array of objects yields one row per
-    object. Returns (good rows, bad lines)."""
-    raw = (spark.read.schema(_with_bad(_as_text(schema))).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", BAD).json(path))
-    names = [f.name for f in schema.fields]
-    good = raw.filter(F.col(BAD).isNull()).select(*[_typed(F.col(f.name), f) for f in schema.fields])
-    # Spark refuses a scan of raw JSON whose pruned columns are only the
-    # corrupt-record column (e.g. ``bad.count()``); the filter also reads a
-    # data column (always true for bad lines) so pruning keeps it.
-    is_bad = F.col(BAD).isNotNull() & F.coalesce(F.col(names[0]).cast("string"), F.col(BAD)).isNotNull()
-    bad = raw.filter(is_bad).select(F.col(BAD).alias("line"))
-    return good, bad
+    """The schema with every value as text, so that a value of another type
+    than declared changes neither its object nor its neighbours."""
+    return StructType([StructField(f.name, StringType(), True) for f in schema.fields])
+
+
+def _typed(value: Column, field: StructField) -> Column:
+    """A JSON value's text as declared; NULL if it is nothing of that type."""
+    kind = field.dataType
+    if isinstance(kind, StringType):
+        return value
+    if isinstance(kind, _NESTED):
+        opens = "[" if isinstance(kind, ArrayType) else "{"
+        return F.when(value.startswith(opens), F.from_json(value, kind))
+    return value.try_cast(kind)
+
+
+def _objects(lines: DataFrame, schema: StructType, extra: str | None, keep=()) -> DataFrame:
+    """The objects of the decodable lines (``value``), one row each: the
+    columns ``keep``, ``item``, the declared fields, and with ``extra`` a map
+    column of that name. Whether a line is good is told from its text alone
+    (``_problem``), so the rows do not depend on the columns read."""
+    text, loose = _as_text(schema), MapType(StringType(), StringType())
+    whole = F.array(F.from_json(F.col("value"), text)), F.from_json(F.col("value"), ArrayType(text))
+    every = F.array(F.from_json(F.col("value"), loose)), F.from_json(F.col("value"), ArrayType(loose))
+    is_list = F.ltrim(F.col("value")).startswith("[")
+    fields = F.when(is_list, whole[1]).otherwise(whole[0])
+    if extra:
+        fields = F.arrays_zip(fields.alias("r"), F.when(is_list, every[1]).otherwise(every[0]).alias("m"))
+    x = lines.filter(_problem().isNull()).select(*keep, F.posexplode(fields).alias("item", "o"))
+    row = F.col("o.r") if extra else F.col("o")
+    cols = [_typed(row[f.name], f).alias(f.name) for f in schema.fields]
+    if not extra:
+        return x.select(*keep, "item", *cols)
+    # what no declared column shows: other keys, and declared ones whose value is of another type
+    declared = F.array(*[F.lit(f.name) for f in schema.fields])
+    missed = F.array(*[F.when(row[f.name].isNotNull() & _typed(row[f.name], f).isNull(), F.lit(f.name))
+                       for f in schema.fields])
+    rest = F.map_filter(F.col("o.m"), lambda k, v: ~F.array_contains(declared, k) | F.coalesce(
+        F.array_contains(F.array_compact(missed), k), F.lit(False)))
+    return x.select(*keep, "item", *cols, rest.alias(extra))
+
+
+def scan_jsonl(spark: SparkSession, path: str, schema: StructType, extra: str | None = None
+               ) -> tuple[DataFrame, DataFrame]:
+    """SRC-1: one JSON object per line. Undecodable lines (truncated objects,
+    scalars, arrays of anything but objects, an object that names a key twice)
+    are kept apart, not fatal; blank lines are skipped; a line holding an array
+    of objects yields one row per object. A value of another type than declared
+    is NULL in its column. With ``extra``, a column map<string,string> of that
+    name keeps such values and every undeclared key, nested values as JSON
+    text. Returns (good rows, bad lines); both stay the same whatever columns
+    are read or counted."""
+    lines = spark.read.text(path)
+    good = _objects(lines, schema, extra).drop("item")
+    return good, lines.filter(_problem() == "undecodable").select(F.col("value").alias("line"))
+
+
+def spread_keys(df: DataFrame, extra: str, max_keys: int = 1000) -> DataFrame:
+    """The map column ``extra`` as one text column for each key found in it
+    (one distinct aggregate; a key that is already a column, or that differs
+    from another in case only, stays in the map, and so do all keys if there
+    are more than ``max_keys``, or a map is left)."""
+    found = sorted(r["k"] for r in df.select(F.explode(F.map_keys(extra)).alias("k")).distinct()
+                   .limit(max_keys + 1).collect())
+    taken, keys = {c.lower() for c in df.columns}, []
+    for k in found if len(found) <= max_keys else []:
+        if k and k.lower() not in taken and not set(k) & set(".`"):
+            taken.add(k.lower())
+            keys.append(k)
+    left = F.map_filter(extra, lambda k, v: ~k.isin(keys)) if keys else F.col(extra)
+    cols = [F.element_at(extra, F.lit(k)).alias(k) for k in keys]
+    whole = len(keys) == len(found)
+    return df.select(*[c for c in df.columns if c != extra], *cols, *([] if whole else [left.alias(extra)]))
 
 
 def blank_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -101,11 +142,6 @@ def jsonl_problems(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.col("problem").isNotNull()))
 
 
-def undecodable_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The undecodable lines alone, from one read without numbering."""
-    return spark.read.text(path).filter(_problem() == "undecodable").select(F.col("value").alias("line"))
-
-
 def _below(spark: SparkSession, path: str):
     """The file's path below the input: relative to ``path`` if that is a
     folder, to the last folder before a wildcard, or the file's own name."""
@@ -123,23 +159,14 @@ def _below(spark: SparkSession, path: str):
     return F.array_join(F.slice(steps, F.lit(parts + 1), F.size(steps)), "/")
 
 
-def scan_jsonl_numbered(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def scan_jsonl_numbered(spark: SparkSession, path: str, schema: StructType, extra: str | None = None) -> DataFrame:
     """SRC-1 with identity: the decodable rows of NDJSON files, each with
     ``file`` (its path below ``path``), ``line_number`` and ``item`` (position inside a
     line holding an array of objects, else 0). The same rows as
     ``scan_jsonl``, keyed by where they are in the input, which does not
     depend on how Spark splits the files."""
-    n = numbered_lines(spark, path)
-    text = _as_text(schema)
-    v = F.try_parse_json(F.col("value"))
-    kind = F.schema_of_variant(v)
-    one = F.array(F.from_json(F.col("value"), text))
-    many = F.from_json(F.col("value"), ArrayType(text))
-    items = (F.when(v.isNotNull() & kind.startswith("OBJECT"), one)
-             .when(v.isNotNull() & kind.startswith("ARRAY<OBJECT"), many))
-    x = n.select(_below(spark, path).alias("file"), "line_number",
-                 F.posexplode(items).alias("item", "r"))
-    return x.select("file", "line_number", "item", *[_typed(F.col("r")[f.name], f) for f in schema.fields])
+    lines = numbered_lines(spark, path).select(_below(spark, path).alias("file"), "line_number", "value")
+    return _objects(lines, schema, extra, ("file", "line_number"))
 
 
 def not_json_arrays(spark: SparkSession, path: str) -> DataFrame:

@@ -62,22 +62,22 @@ def prepare(spark: SparkSession, meta_path: str, review_path: str, out_dir: str,
     """PIPE-1: tolerant scans (SRC-1) -> join (JOIN-1) -> PRED-3 + compose
     (FN-7/8) -> train/test split (SAMP-1) -> cleaning (PRED-4).
 
-    Nested JSON values (category lists, hours, reply objects) arrive as
+    Every key of the input reaches the joined table (``joined``), declared in
+    the schemas or not, as ``meta_<key>`` and ``review_<key>``. Nested JSON values (category lists, hours, reply objects) arrive as
     their JSON text. Unless the input has a ``review_id``, each review is
     identified by its position in the input, ``<file>:<line>:<item>``
     (numbered without collecting any file), so a re-run on the same files
     gives the same ids whatever the cluster's split settings."""
-    meta, _ = R.scan_jsonl(spark, meta_path, meta_schema)
-    if "review_id" in review_schema.fieldNames():
-        reviews, _ = R.scan_jsonl(spark, review_path, review_schema)
-    else:  # identity = position in the input (file, line, item), as the reference's row order
-        numbered = R.scan_jsonl_numbered(spark, review_path, review_schema)
+    meta, bad_meta = R.scan_jsonl(spark, meta_path, meta_schema, "_extra")
+    reviews, bad_reviews = R.scan_jsonl(spark, review_path, review_schema, "_extra")
+    if "review_id" not in review_schema.fieldNames():  # identity = position in the input (file, line, item)
+        numbered = R.scan_jsonl_numbered(spark, review_path, review_schema, "_extra")
         reviews = numbered.select(
             F.concat_ws(":", "file", F.col("line_number").cast("string"), F.col("item").cast("string"))
-             .alias("review_id"), *review_schema.fieldNames())
-    bad_meta, bad_reviews = R.undecodable_lines(spark, meta_path), R.undecodable_lines(spark, review_path)
-    meta, reviews = materialize(meta, "meta"), materialize(reviews, "reviews")  # parsed once, read three times
-    joined = join_meta_review(meta, reviews)
+             .alias("review_id"), *review_schema.fieldNames(), "_extra")
+    meta, reviews = materialize(meta, "meta"), materialize(reviews, "reviews")  # parsed once, read more often
+    meta, reviews = R.spread_keys(meta, "_extra"), R.spread_keys(reviews, "_extra")
+    joined = _write(join_meta_review(meta, reviews), os.path.join(out_dir, "joined"), mode)
     composed = _write(compose_reviews(joined), os.path.join(out_dir, "composed"), mode)
     split = (split_exact if exact else split_hash)(composed, "review_id", test_ratio, seed)
     if clean_pattern:
@@ -86,7 +86,7 @@ def prepare(spark: SparkSession, meta_path: str, review_path: str, out_dir: str,
     stats = (join_stats(meta, reviews).unionByName(
         spark.createDataFrame([("bad_meta_lines", bad_meta.count()), ("bad_review_lines", bad_reviews.count())],
                               "metric string, value long")))
-    return {"composed": composed, "train": split.filter(F.col("split") == "train").drop("split"),
+    return {"joined": joined, "composed": composed, "train": split.filter(F.col("split") == "train").drop("split"),
             "test": split.filter(F.col("split") == "test").drop("split"), "join_stats": stats,
             "compose_summary": compose_summary(joined)}
 
