@@ -105,20 +105,78 @@ def missing_values(df: DataFrame, cols=None, by=()) -> DataFrame:
                                                      F.lit(0.0)).alias("pct_missing"))
 
 
-def with_moments(h: DataFrame, types: dict[str, str], by=()) -> DataFrame:
+#: histograms of up to so many rows are ranked in one window a measure, larger ones by radix selection
+WINDOW_ROWS = 1 << 16
+
+
+def with_moments(h: DataFrame, types: dict[str, str], by=(), window_rows: int | None = None) -> DataFrame:
     """The histogram rows of numeric measures with ``v`` (the value as a
-    double) and, over each (by, measure), the mean and the number of values
-    up to the row. A window partition holds distinct values, not rows, and
-    its running sum needs no state that grows."""
+    double) and, over each (by, measure), the number of values, their mean and
+    the number of values up to the row. With more than ``WINDOW_ROWS`` rows
+    that last number is only told where the middle of the values lies
+    (``_near_middle``), and is NULL elsewhere."""
     v = F.coalesce(*[F.when(F.col(MEASURE) == c, F.col(VALUE).cast(t).cast("double")) for c, t in types.items()])
     x = h.filter(F.col(MEASURE).isin(*types)).withColumn("v", v)
     n = F.when(F.col("v").isNotNull(), F.col(COUNT)).otherwise(F.lit(0))
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    if h.count() > limit:
+        sums = x.groupBy(*by, MEASURE).agg(F.sum(n).alias("_total"),
+                                           F.try_divide(F.sum(F.col("v") * n), F.sum(n)).alias("_mean"))
+        sums = materialize(sums, "histogram-sums")  # a row for each measure and group
+        return _near_middle(x.join(F.broadcast(sums), [*by, MEASURE]), by, limit)
     group = Window.partitionBy(*by, MEASURE)
     up_to = group.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return x.select("*", F.sum(n).over(group).alias("_total"), F.sum(n).over(up_to).alias("_upto"),
                     F.try_divide(F.sum(F.col("v") * n).over(group), F.sum(n).over(group)).alias("_mean"))
 
 
+def ordered_bits(v) -> Column:
+    """A double as a bigint that sorts like it (NaN last; -0 and 0 alike)."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(bits)
+
+
+def _near_middle(x: DataFrame, by, limit: int) -> DataFrame:
+    """``x`` (v, _total, COUNT, ...) with ``_upto`` for the rows around the
+    middle of each (by, measure), by radix selection: rows are counted by the
+    highest 16 of their ordered bits (at most 65,536 counts a measure), the
+    prefixes that hold the middle values are kept, and only their rows are
+    looked at again, by the next 16 bits, until few enough are left to be
+    ranked. No task sorts the values of a measure."""
+    keys = [*by, MEASURE]
+    rows = x.withColumn("_bits", F.when(F.col("v").isNotNull(), ordered_bits(F.col("v"))))
+    places = [F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)]
+    held, below, shift = rows.filter("_bits IS NOT NULL"), None, 64
+    while True:
+        shift -= 16
+        prefix = F.shiftright("_bits", shift)
+        counts = held.withColumn("_prefix", prefix).groupBy(*keys, "_prefix", "_total").agg(
+            F.sum(COUNT).alias("_count"), F.count(F.lit(1)).alias("_rows"))
+        if below is not None:  # counted from the last kept prefix on, beside what lies below that one
+            counts = counts.withColumn("_last", F.shiftright("_prefix", 16)).join(
+                F.broadcast(below.select(*keys, F.col("_prefix").alias("_last"), F.col("_below").alias("_base"))),
+                [*keys, "_last"])
+            start, base = Window.partitionBy(*keys, "_last"), F.col("_base")
+        else:
+            start, base = Window.partitionBy(*keys), F.lit(0)
+        before = start.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_below", base + F.coalesce(F.sum("_count").over(before), F.lit(0)))
+        inside = [(F.col("_below") <= p) & (p < F.col("_below") + F.col("_count")) for p in places]
+        below = materialize(counts.filter(inside[0] | inside[1]).select(*keys, "_prefix", "_below", "_rows"),
+                            "radix-prefixes")  # one or two for each measure and group
+        largest = below.agg(F.max("_rows")).collect()[0][0]
+        known = F.broadcast(below.select(*keys, "_prefix", "_below"))
+        held = rows.filter("_bits IS NOT NULL").withColumn("_prefix", prefix).join(known, [*keys, "_prefix"])
+        if shift == 0 or largest is None or largest <= limit:
+            break
+        held = held.drop("_prefix", "_below")
+    up_to = Window.partitionBy(*keys, "_prefix").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = held.withColumn("_upto", F.col("_below") + F.sum(COUNT).over(up_to))
+    rest = rows.withColumn("_prefix", F.shiftright("_bits", shift)).join(known.drop("_below"), [*keys, "_prefix"], "left_anti")
+    cols = x.columns
+    return middle.select(*cols, "_upto").unionByName(rest.select(*cols, F.lit(None).cast("long").alias("_upto")))
+
+
 def _stat(measure: str) -> dict[str, Column]:
     """Aggregates over ``with_moments`` for one measure."""
     mine = (F.col(MEASURE) == measure) & F.col("v").isNotNull()
@@ -134,10 +192,12 @@ def _stat(measure: str) -> dict[str, Column]:
             "median": (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2}
 
 
-def numeric_summary(df: DataFrame, cols=("extracted_rating", "store_avg_rating", "text_length")) -> DataFrame:
+def numeric_summary(df: DataFrame, cols=("extracted_rating", "store_avg_rating", "text_length"),
+                    window_rows: int | None = None) -> DataFrame:
     """AGG-4: count, mean, sample std, min, max, exact median per measure,
-    from one histogram."""
-    x = with_moments(histogram(df, cols), {c: _type(df, c) for c in cols})
+    from one histogram. ``window_rows`` (None: ``WINDOW_ROWS``) bounds the
+    values of a measure that one task ranks."""
+    x = with_moments(histogram(df, cols), {c: _type(df, c) for c in cols}, window_rows=window_rows)
     a = x.agg(*[expr.alias(f"{name}{i}") for i, c in enumerate(cols) for name, expr in _stat(c).items()])
     st = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), *[F.col(f"{name}{i}").alias(name) for name in _stat(c)])
                              for i, c in enumerate(cols)])).alias("s")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import fixtures as fx
 from .oracle import _WS, h32, with_ctes
 from .q_prepare import CLASSIFIED_SQL, classified
 from .registry import composed, labelled, query, split_labelled
@@ -89,6 +90,20 @@ def q_numeric_summary(spark, sf_dir):
     return pf.numeric_summary(prof(spark, sf_dir))
 
 
+_MONEY = {"o_totalprice": "orders", "l_extendedprice": "lineitem"}
+
+
+@query("numeric_summary_radix", " UNION ALL ".join(
+    f"SELECT '{m}' AS measure, count({m}) AS n, round(avg({m}), 6) AS mean, round(stddev_samp({m}), 6) AS std, "
+    f"round(min({m}), 6) AS min, round(max({m}), 6) AS max, round(median(CAST({m} AS DOUBLE)), 6) AS median FROM {t}"
+    for m, t in _MONEY.items()))
+def q_numeric_summary_radix(spark, sf_dir):
+    """AGG-4 on measures of which nearly every value is its own: the median
+    by radix selection, no task ranking more than 1,024 values."""
+    sides = [fx.table(spark, sf_dir, t).select(F.col(m).cast("double").alias(m)) for m, t in _MONEY.items()]
+    return pf.numeric_summary(sides[0].unionByName(sides[1], allowMissingColumns=True), tuple(_MONEY), window_rows=1024)
+
+
 @query("top_categories", with_ctes(f"""WITH {PROF} SELECT store_category, n, round(n * 100.0 / total, 6) AS pct,
   CAST(row_number() OVER (ORDER BY n DESC, store_category) AS INTEGER) AS rank
 FROM (SELECT store_category, count(*) AS n, sum(count(*)) OVER () AS total FROM prof GROUP BY store_category)
