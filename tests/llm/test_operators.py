@@ -4,6 +4,7 @@ names."""
 
 import base64
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -385,6 +386,26 @@ def test_length_fitting_hits_the_budget():
     assert mixing.fit_lengths([10], [3], 16) == [2]  # nearer above than below
 
 
+def test_length_fitting_of_long_documents_is_exact():
+    assert mixing.fit_lengths([3, 8500, 12000], [5, 20, 20], 34_000) == [0, 4, 0]
+    rng = random.Random(1)
+    for _ in range(60):  # budgets that some choice of documents hits
+        lengths = rng.sample(range(9000, 20_001), rng.randint(3, 30))
+        counts = [rng.randint(1, 30) for _ in lengths]
+        budget = sum(a * rng.randint(0, n) for a, n in zip(lengths, counts))
+        take = mixing.fit_lengths(lengths, counts, budget)
+        assert all(0 <= t <= n for t, n in zip(take, counts))
+        assert sum(a * t for a, t in zip(lengths, take)) == budget
+    for _ in range(300):  # any budget: no choice comes nearer
+        lengths = rng.sample(range(1, 40), rng.randint(1, 4))
+        counts = [rng.randint(1, 4) for _ in lengths]
+        budget = rng.randint(0, sum(a * n for a, n in zip(lengths, counts)))
+        off = [abs(sum(a * t for a, t in zip(lengths, c)) - budget)
+               for c in itertools.product(*[range(n + 1) for n in counts])]
+        take = mixing.fit_lengths(lengths, counts, budget)
+        assert abs(sum(a * t for a, t in zip(lengths, take)) - budget) == min(off)
+
+
 def test_toxicity_model(spark, docs, none):
     rng = random.Random(8)
     plain = ["river", "stone", "letter", "window", "garden", "morning", "paper", "candle"]
