@@ -10,6 +10,7 @@ A null text counts as empty everywhere; an empty table passes through as one.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ TOXIC = 0.3  # scores from here on are rejected
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity model rejects. It learns from
-    labels whose crc32(doc_id) mod 4 is not 2."""
+    labels whose crc32(doc_id) mod 4 is not 2. Every row is scored by its own
+    text, also when its id is null or repeated; rows without an id have no
+    label to learn from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     return docs.filter(toxicity.score(F.col("text"), model) < TOXIC)
@@ -39,37 +42,53 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that names each row, the same at every reading,
+    and that column's name. For Parquet as it lies in its files (what ``run``
+    passes) the name is file and row; any other frame is written once with
+    numbered rows."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    if "_metadata" not in docs.columns:
+        try:
+            place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+            return docs.select("*", place.alias(name)), name
+        except AnalysisException:  # not a table of Parquet files
+            pass
+    return written(docs.withColumn(name, F.struct(F.monotonically_increasing_id().alias("row"))), "numbered"), name
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group that
-    4-word fingerprints link at up to 4 bits. Rows that repeat a kept id are
-    the same document: one of them stays. A group without any id keeps all
-    its rows."""
-    groups = written(simhash.near_dedup(docs, shingle=4, max_bits=4), "groups")
-    keep = groups.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
-    keep = written(keep.withColumnRenamed("id", "keep_id"), "keep")
-    same = docs["doc_id"] == keep["keep_id"]  # a table of ids grows with the corpus: merged at every size
-    out = docs.join(keep.filter("rows = 1").hint("merge"), same, "left_semi")
-    if not keep.filter("rows > 1").isEmpty():
-        out = out.unionByName(docs.join(keep.filter("rows > 1").hint("merge"), same, "left_semi").dropDuplicates(["doc_id"]))
-    if not groups.filter("component_id IS NULL").isEmpty():
-        out = out.unionByName(docs.filter("doc_id IS NULL"))
-    return out
+    """Keeps one document of each group that 4-word fingerprints link at up to
+    4 bits: the one with the smallest id (rows without an id last), then with
+    the smallest hash of its text. Each row is decided by itself, so rows that
+    share an id but no group stay, and copies without an id go."""
+    docs, key = keyed(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
+                     F.xxhash64("text").alias("text_hash"), F.col(key).alias("key"))
+    groups = simhash.near_dedup(docs.select("text", order.alias("rank")), id_col="rank", shingle=4, max_bits=4)
+    keep = written(groups.filter(F.col("id") == F.col("component_id")).select(F.col("id.key").alias("kept")), "keep")
+    # a table of rows grows with the corpus: merged at every size
+    return docs.join(keep.hint("merge"), docs[key] == keep["kept"], "left_semi").drop(key)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix holds it (0 to 3). Rows that
-    share an id share the smallest of their counts; rows without an id are
-    not part of a mix."""
-    mix = mixing.mix(docs).filter("id IS NOT NULL").groupBy("id").agg(F.min("copies").cast("int").alias("copies"))
-    mix = written(mix.withColumnRenamed("id", "mix_id").filter("copies > 0"), "mix")
-    return docs.join(mix.hint("merge"), docs["doc_id"] == mix["mix_id"]).select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("d"), F.explode(F.sequence(F.lit(1), mix["copies"]))
+    """Each document as many times as the mix holds it (0 to 3). Each row has
+    a count of its own, whether its id is null, repeated or neither."""
+    columns = docs.columns
+    docs, key = keyed(docs)
+    mix = mixing.mix(docs, row_col=key).filter("copies > 0")
+    mix = written(mix.select(F.col("row").alias("mixed"), F.col("copies").cast("int").alias("copies")), "mix")
+    return docs.join(mix.hint("merge"), docs[key] == mix["mixed"]).select(
+        F.struct(*[docs[c] for c in columns]).alias("d"), F.explode(F.sequence(F.lit(1), mix["copies"]))
     ).select("d.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document and copy: its token ids, and digests of the ids
-    and of the bytes they decode to."""
+    and of the bytes they decode to. Rows that repeat or lack an id are rows of
+    their own; a text of any length is encoded whole."""
     vocabulary = queries.bpe_vocabulary()
     out = docs.select("doc_id", "lang", "source", bpe.round_trip(F.col("text"), *vocabulary).alias("r"))
     return out.select("doc_id", "lang", "source", F.size("r.ids").cast("long").alias("n_tokens"), "r.ids",
