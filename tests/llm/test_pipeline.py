@@ -39,11 +39,52 @@ def test_stages_keep_columns_and_handle_awkward_rows(spark, tmp_path, empty):
             assert new.filter("n_chars <> char_length(text)").count() == 0
         if name.startswith("simhash") and not empty:
             kept = [r.doc_id for r in new.select("doc_id").collect()]
-            want = {r.component_id for r in simhash.near_dedup(docs).collect() if r.component_id is not None}
-            assert sorted(x for x in kept if x is not None) == sorted(want)
+            want = [r.component_id for r in simhash.near_dedup(docs).select("component_id").distinct().collect()]
+            assert sorted(kept, key=str) == sorted(want, key=str)
         docs = new
 
 
+def unlike(i):
+    return " ".join(f"w{(i * 7919 + j * j * 31 + i * j) % 9973}" for j in range(40 + i))
+
+
+def frame(spark, rows, tmp_path, stored):
+    """The rows as a table of several files, or as a frame without files."""
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, row_key int").repartition(3)
+    if stored:
+        df.write.parquet(str(tmp_path / "docs"))
+        df = spark.read.parquet(str(tmp_path / "docs"))
+    return df
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_near_dedup_decides_each_row(spark, tmp_path, stored):
+    rows = [(7, unlike(1)), (7, unlike(2)), (7, unlike(2)), (None, unlike(3)), (None, unlike(3)), (None, unlike(4)),
+            (9, unlike(4)), (8, unlike(5)), (8, unlike(5))]
+    docs = frame(spark, [(i, t, "en", "a", 1) for i, t in rows], tmp_path, stored)
+    out = pipeline.simhash_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    want = [(7, unlike(1)), (7, unlike(2)), (None, unlike(3)), (9, unlike(4)), (8, unlike(5))]
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_mixing_counts_each_row(spark, tmp_path, stored):
+    """Sources a and b weigh 1 and 2: their rows hold a third and two thirds
+    of all words, whatever their ids."""
+    rows = [((None, 5, i)[i % 3], unlike(i), "en", "ab"[i % 2], i) for i in range(60)]
+    docs = frame(spark, rows, tmp_path, stored)
+    out = pipeline.mixing_stage(spark, docs, SF).collect()
+    total = sum(len(r[1].split()) for r in rows)
+    taken = {s: sum(len(r.text.split()) for r in out if r.source == s) for s in "ab"}
+    assert abs(taken["a"] - total / 3) <= 1 and abs(taken["b"] - 2 * total / 3) <= 1
+    assert {r.doc_id is None for r in out} == {True, False}
+    copies = [sum(r.row_key == i for r in out) for i in range(60)]
+    assert max(copies) <= 3
+    again = pipeline.mixing_stage(spark, docs.repartition(2), SF).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
 def test_pipeline_runs_on_the_given_tables(spark):
     out = pipeline.run(spark, SF).collect()
     ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
