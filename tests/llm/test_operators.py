@@ -165,6 +165,44 @@ def test_exact_dedup_and_its_index(spark, docs, none):
     assert index.add(exact_dedup.digests(none)).count() == 0
 
 
+def test_exact_dedup_survives_a_stop_at_any_point(spark, monkeypatch):
+    """Stopped after its append, or after half of it, and run again, a batch
+    keeps the same documents as an undisturbed one."""
+    def batch(*rows):
+        return exact_dedup.digests(spark.createDataFrame(list(rows), "doc_id bigint, text string"))
+
+    old, new = [(10, "old one"), (11, "c d")], [(1, "a b"), (2, "ab"), (3, "c"), (4, "cd"), (None, "n"), (5, None)]
+    append = exact_dedup.DigestIndex.append
+
+    def stopped(self, rows, part="true"):
+        append(self, rows.filter(part))
+        raise RuntimeError("stopped")
+
+    for stop in (None, "true", "keep_id <= 1", "false"):
+        index = exact_dedup.DigestIndex(spark, scratch(spark, "index"), buckets=2)
+        index.add(batch(*old))
+        if stop:
+            monkeypatch.setattr(exact_dedup.DigestIndex, "append", lambda self, rows: stopped(self, rows, stop))
+            with pytest.raises(RuntimeError):
+                index.add(batch(*new))
+            monkeypatch.setattr(exact_dedup.DigestIndex, "append", append)
+        for part in (new, new[::-1]):  # once more, in another order too
+            out = {r.id: (r.keep_id, r.group_size, r.kept) for r in index.add(batch(*part)).collect()}
+            assert out == {1: (1, 2, True), 2: (1, 2, False), 3: (3, 1, True), 4: (11, 1, False),
+                           None: (None, 1, True), 5: (5, 1, True)}
+        assert index.rows().count() == 6
+        assert {r.kept for r in index.add(batch(*new), batch="another").collect()} == {False}
+    small = index.compact(scratch(spark, "compact"))
+    assert sorted(map(str, small.rows().collect())) == sorted(map(str, index.rows().collect()))
+
+
+def test_indexes_of_one_folder_name_stay_apart(spark):
+    one, two = (exact_dedup.DigestIndex(spark, f"{scratch(spark, 'part')}/index", buckets=2) for _ in range(2))
+    rows = exact_dedup.digests(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"))
+    assert one.add(rows).first().kept and two.rows().count() == 0 and two.add(rows).first().kept
+    assert os.path.isdir(two.path)
+
+
 def test_secret_spans(docs, none):
     patterns = [re.compile("((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"),
                 re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
