@@ -11,13 +11,17 @@ For scoring, the filters are folded into tables over byte pairs, so that a
 filter of width 4 costs two look-ups a byte; windows of a batch of texts are
 scored together in blocks of fixed size.
 
-Learning is on a bounded sample: for each of the ``max_langs`` most frequent
-languages at most ``per_lang`` texts, those with the smallest id hash, none
-above ``max_chars``, and at most ``FIT_WINDOWS`` windows of each.
+Learning is on a bounded sample: at most ``max_windows`` windows in all (one
+text of each language at the least), shared evenly by the languages, none of
+which is left out, and at most ``per_lang`` texts of each. Texts are drawn by
+the hash of their id, whatever their length; ``FIT_WINDOWS`` windows of each,
+spread over the whole text by a seeded hash, are cut in Spark, so that no
+whole text goes to the driver.
 
 Defined results: ``und`` and score 0 for a null text or one without a letter,
 and for all texts if nothing could be learned. Of rows that repeat an id the
-smallest text and language are learned from, so the sample keeps its bound.
+smallest windows and language are learned from, so the sample keeps its bound;
+rows without an id are predicted, not learned from.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from .common import lookup, written
+
 WINDOW, WIDTHS, FILTERS, FIT_WINDOWS, BLOCK = 256, (2, 3, 4), 8, 3, 256
 PAD = 0x20  # a short window is filled with blanks
 
@@ -96,20 +103,17 @@ class Model:
         return langs, scores
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 8, batch: int = 64, seed: int = 11) -> Model:
+def fit(windows: list[bytes], langs: list[str], epochs: int = 8, batch: int = 64, seed: int = 11) -> Model:
+    """Trains on windows of at most ``WINDOW`` bytes and their languages."""
     import numpy as np
 
     names = sorted(set(langs))
     if not names:
         return Model([], [], None, None)
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for t, lang in zip(texts, langs):
-        w = cut(t.encode())
-        pick = rng.permutation(len(w))[:FIT_WINDOWS]
-        xs.append(w[pick])
-        ys += [names.index(lang)] * len(pick)
-    x, y = np.concatenate(xs).astype(np.intp), np.array(ys)
+    x = np.concatenate([cut(w) for w in windows]).astype(np.intp)
+    index = {name: i for i, name in enumerate(names)}
+    y = np.array([index[lang] for lang in langs])
     share = np.bincount(y, minlength=len(names))
     weight = (len(y) / (len(names) * np.maximum(share, 1)))[y]
     params = [*(rng.normal(0, 0.2, (k, 256, FILTERS)) for k in WIDTHS),
@@ -130,7 +134,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, batch: int = 64, se
             z = r @ params[-2] + params[-1]
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            dz = (p - np.eye(len(names))[y[sel]]) * (weight[sel] / len(sel))[:, None]
+            p[np.arange(len(sel)), y[sel]] -= 1
+            dz = p * (weight[sel] / len(sel))[:, None]
             df = (dz @ params[-2].T) * (f > 0)
             grads = []
             for i, k in enumerate(WIDTHS):
@@ -145,22 +150,49 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, batch: int = 64, se
     return Model(names, params[:len(WIDTHS)], params[-2].astype(np.float32), params[-1].astype(np.float32))
 
 
+def fit_windows(text: Column, key: Column) -> Column:
+    """array<binary>: the windows of a text to learn from, all of a short
+    text, else one of each of ``FIT_WINDOWS`` equal stretches."""
+    def places(n):
+        spread = F.array(*[F.floor((n / FIT_WINDOWS) * (j + F.pmod(F.xxhash64(key, F.lit(j)), F.lit(1024)) / 1024))
+                           for j in range(FIT_WINDOWS)])
+        return F.when(n <= FIT_WINDOWS, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array_distinct(spread))
+
+    def windows(data):
+        n = F.greatest(F.ceil(F.octet_length(data) / WINDOW), F.lit(1))
+        return F.transform(places(n), lambda i: F.substring(data, (i * WINDOW + 1).cast("int"), F.lit(WINDOW)))
+
+    return let(F.encode(text, "UTF-8"), windows)
+
+
+def drawn(rows: DataFrame, per_lang: int, max_windows: int) -> DataFrame:
+    """``rows`` (i, l): ids and their languages. Returns (i, l), each id once:
+    of each language the ids with the smallest hashes, at most ``per_lang``.
+
+    A threshold taken from the language's count lets a little more than that
+    through before anything is ranked, so no task reads a whole language."""
+    rows = written(rows, "languages")
+    counts = written(rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    state = counts.agg(F.count(F.lit(1)).alias("langs"), F.sum("n").alias("rows")).collect()[0]
+    each = max(1, min(per_lang, max_windows // FIT_WINDOWS // max(1, state["langs"])))
+    slack = each + 8 * each**0.5 + 40  # fewer than each pass once in more than 10^12 samples
+    chance = F.pmod(F.xxhash64(F.lit("language"), "i"), F.lit(2**40)) / 2.0**40 * F.col("n") < slack
+    few = lookup(rows, counts, "l", "n", state["rows"] or 0).filter(chance).groupBy("i").agg(F.min("l").alias("l"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
+    return few.withColumn("r", rank).filter(F.col("r") <= each).drop("r")
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_lang: int = 500, max_langs: int = 200, max_chars: int = 20_000) -> Model:
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.char_length(text_col).alias("n")
-    ).filter((F.col("n") > 0) & (F.col("n") <= max_chars)).drop("n")
-    often = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).select("l")
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))  # limited before its shuffle
-    sample = (rows.join(F.broadcast(often), "l").withColumn("r", rank).filter(F.col("r") <= per_lang)
-              .groupBy("i").agg(F.min("l").alias("l")))
-    found = (docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-             .filter(F.char_length("t").between(1, max_chars))
-             .join(F.broadcast(sample), "i")  # at most per_lang * max_langs ids
-             .groupBy("i").agg(F.min("t").alias("t"), F.min("l").alias("l"))  # an id that repeats is one text
-             .select("t", "l").collect())
-    found.sort(key=lambda r: (r["l"], r["t"]))
-    return fit([r["t"] for r in found], [r["l"] for r in found])
+          per_lang: int = 500, max_windows: int = 300_000) -> Model:
+    """Fits a model on the sample the module describes."""
+    rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter(
+        F.col("i").isNotNull() & F.col("l").isNotNull() & (F.col("t") != ""))
+    sample = written(drawn(rows.select("i", "l"), per_lang, max_windows), "sample")
+    found = (rows.select("i", "t").join(F.broadcast(sample), "i")  # ids of at most max_windows windows
+             .select("i", "l", fit_windows(F.col("t"), F.col("i")).alias("w"))
+             .groupBy("i").agg(F.min("w").alias("w"), F.min("l").alias("l")).select("l", "w").collect())
+    pairs = sorted((r["l"], bytes(w)) for r in found for w in r["w"])
+    return fit([w for _, w in pairs], [lang for lang, _ in pairs])
 
 
 def identify(text: Column, model: Model) -> Column:

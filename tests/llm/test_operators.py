@@ -263,7 +263,7 @@ def test_samples_stay_bounded_when_ids_repeat(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id int, text string, toxic int, lang string")
     seen = []
     monkeypatch.setattr(toxicity, "fit", lambda texts, *_: seen.append(len(list(texts))))
-    monkeypatch.setattr(language, "fit", lambda texts, *_: seen.append(len(texts)))
+    monkeypatch.setattr(language, "fit", lambda windows, *_: seen.append(len(windows)))
     toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"))
     language.learn(df)
     assert seen == [3, 3]
@@ -314,6 +314,57 @@ def test_language_model(spark, docs, none):
     assert {r[0].lang for r in docs.select(language.identify(F.col("text"), blank)).collect()} == {"und"}
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    """A language found in texts of 50,000 characters and more, and all of 230
+    languages, can be predicted; windows come from the whole text."""
+    rng = random.Random(5)
+    word = lambda s: "".join(rng.choices(s, k=3))
+    rows = [(i, " ".join(word(["ka", "lo", "mi"]) for _ in range(40)), "aa") for i in range(60)]
+    rows += [(100 + i, " ".join(word(["sch", "ung", "ein"]) for _ in range(6000)), "bb") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert df.filter("lang = 'bb' and char_length(text) < 50000").count() == 0
+    model = language.learn(df)
+    out = df.select("lang", language.identify(F.col("text"), model).alias("r")).collect()
+    assert np.mean([r.lang == r.r.lang for r in out]) >= 0.95 and {r.r.lang for r in out} == {"aa", "bb"}
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i % 230}") for i in range(690)], df.schema)
+    assert len(language.learn(many).langs) == 230
+    text = "".join(chr(97 + i // 256 % 26) for i in range(256 * 40 + 9))
+    for t in ("", "short", text[:700], text, "é" * 3000):
+        data = t.encode()
+        cuts = [data[a:a + 256] for a in range(0, max(1, len(data)), 256)]
+        got = [bytes(w) for w in spark.range(1).select(language.fit_windows(F.lit(t), F.col("id")).alias("w")).first().w]
+        assert all(w in cuts for w in got) and (got == cuts if len(cuts) <= 3 else 1 <= len(got) <= 3)
+
+
+def test_language_sample_is_even_and_bounded(spark):
+    rows = spark.range(30_000).selectExpr("id AS i", "CASE WHEN id % 100 = 0 THEN 'rare' ELSE 'often' END AS l")
+    rows = rows.unionByName(spark.range(5).selectExpr("id + 50000 AS i", "'few' AS l"))
+    out = {r.l: r.n for r in language.drawn(rows, 200, 10**6).groupBy("l").agg(F.count("i").alias("n")).collect()}
+    assert out == {"often": 200, "rare": 200, "few": 5}
+    again = language.drawn(rows.repartition(5), 200, 10**6)
+    assert sorted(again.collect()) == sorted(language.drawn(rows, 200, 10**6).collect())
+    assert language.drawn(rows, 200, 90).count() == 5 + 10 + 10
+
+
+def test_language_forward_pass():
+    """Scores equal a plain forward pass over every window."""
+    rng = np.random.default_rng(4)
+    kernels = [rng.normal(0, 1, (k, 256, language.FILTERS)) for k in language.WIDTHS]
+    out = rng.normal(0, 1, (language.FILTERS * len(language.WIDTHS), 3)).astype(np.float32)
+    bias = rng.normal(0, 1, 3).astype(np.float32)
+    model = language.Model(["a", "b", "c"], kernels, out, bias)
+    for text in ("short", "long text é中 " * 90):
+        data, z = text.encode(), []
+        for at in range(0, len(data), 256):
+            w = data[at:at + 256].ljust(256, b" ")
+            feats = [max(sum(k[j][w[p + j]][f] for j in range(len(k))) for p in range(257 - len(k)))
+                     for k in kernels for f in range(language.FILTERS)]
+            z.append(np.maximum(feats, 0) @ out + bias)
+        e = np.exp(np.mean(z, 0) - np.mean(z, 0).max())
+        langs, scores = model.predict([text])
+        assert langs == ["abc"[int(e.argmax())]] and scores[0] == pytest.approx(e.max() / e.sum(), rel=1e-3)
+
+
 def brute_fingerprint(text):
     import xxhash
 
