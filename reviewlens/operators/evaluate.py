@@ -46,8 +46,9 @@ def align(truth: DataFrame, pred: DataFrame, key: str = "review_id",
           truth_col: str = "label", pred_col: str = "label") -> DataFrame:
     """JOIN-3: align truth and predictions by key (not by file position).
 
-    One grouped pass: a key must come exactly once on each side. The check
-    sits in both label columns, so no metric can be computed without it.
+    One grouped pass: a key must come exactly once on each side. The check is
+    the result's filter, so nothing read from it, a count included, goes
+    without it.
     """
     t = truth.select(F.col(key).alias(key), F.lit(1).alias("_t"), F.lit(0).alias("_p"),
                      F.col(truth_col).alias("y_true"), F.lit(None).cast("string").alias("y_pred"))
@@ -60,7 +61,7 @@ def align(truth: DataFrame, pred: DataFrame, key: str = "review_id",
         F.lit("each key needs one truth row and one prediction; key "),
         F.coalesce(F.col(key).cast("string"), F.lit("NULL")), F.lit(" has "), F.col("_t").cast("string"), F.lit(" and "),
         F.col("_p").cast("string")))
-    return g.select(key, *[F.when(once, F.col(c)).otherwise(wrong).alias(c) for c in ("y_true", "y_pred")])
+    return g.filter(F.when(once, F.lit(True)).otherwise(wrong.cast("boolean"))).select(key, "y_true", "y_pred")
 
 
 def align_mismatch(truth: DataFrame, pred: DataFrame, key: str = "review_id") -> DataFrame:

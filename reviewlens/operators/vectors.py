@@ -102,11 +102,13 @@ def embed_batches(df: DataFrame, text_col: str, embed_fn, out_col: str = "embedd
     (the client is built once per partition by ``embed_fn`` itself).
     Retries with waits of base_wait*2**attempt s; after the last failure the
     chunk is bisected and only the failing texts get a zero vector and
-    ``embed_failed = true`` (UDF-4, index side), or the task fails with
-    ``on_failure="raise"`` (query side)."""
+    ``embed_failed = true`` (UDF-4, index side; ``dim`` must be given), or the
+    task fails with ``on_failure="raise"`` (query side)."""
     import time
 
     from pyspark.sql.types import ArrayType, BooleanType, FloatType, StructType
+    if on_failure != "raise" and not dim:
+        raise ValueError("a zero vector needs dim, the length of the embedder's vectors")
     schema = StructType(list(df.schema.fields)).add(out_col, ArrayType(FloatType())).add("embed_failed", BooleanType())
 
     def run(it):
@@ -125,7 +127,7 @@ def embed_batches(df: DataFrame, text_col: str, embed_fn, out_col: str = "embedd
                         if attempt == max_retries - 1:
                             if on_failure == "raise":  # query side: no silent zero vector
                                 raise
-                            v, f = _embed_bisect(embed_fn, chunk, dim or 0)  # only failing texts get zeros
+                            v, f = _embed_bisect(embed_fn, chunk, dim)  # only failing texts get zeros
                             vecs.extend(v)
                             failed.extend(f)
                         elif base_wait > 0:

@@ -231,3 +231,20 @@ def test_drawn_keys_are_written_and_stages_cleared(spark):
     kept = session.stable(drawn)
     assert sorted(kept.collect()) == sorted(kept.collect())
     assert session.run_folder(spark) in kept.inputFiles()[0]
+
+
+def test_align_refuses_mismatches_whatever_is_read(spark):
+    truth = spark.createDataFrame([("a", "x"), ("b", "y")], "review_id string, label string")
+    good = spark.createDataFrame([("b", "y"), ("a", "y")], "review_id string, label string")
+    assert ev.align(truth, good).count() == 2
+    for rows in ([("a", "x")], [("a", "x"), ("b", "y"), ("c", "y")], [("a", "x"), ("a", "x"), ("b", "y")]):
+        bad = ev.align(truth, spark.createDataFrame(rows, "review_id string, label string"))
+        for read in (bad.count, bad.select("review_id").collect, bad.collect):
+            with pytest.raises(Exception, match="one truth row"):
+                read()
+
+
+def test_embedder_needs_the_length_of_its_zero_vectors(spark):
+    from reviewlens.operators.vectors import embed_batches
+    with pytest.raises(ValueError, match="dim"):
+        embed_batches(spark.createDataFrame([("t",)], "text string"), "text", lambda texts: [[1.0]] * len(texts))
