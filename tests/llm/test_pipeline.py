@@ -104,6 +104,20 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(tuple, df.select(cols).collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
+def test_line_dedup_counts_rows_that_share_an_id(spark, tmp_path):
+    """Every row is a document, in the query and in its SQL."""
+    rows = [(1, "said by one id\nown")] * 12 + [(2, "Said by one id "), (3, "rare")] + [(None, "rare")] * 8
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries.QUERIES["op10_line_dedup"](spark, str(tmp_path))
+    want = con.execute(queries.ORACLES["op10_line_dedup"])
+    cols = [d[0] for d in want.description]
+    got = df.select(cols).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
+    assert sum(r.n_dropped for r in got) == 25  # both lines of the twelve rows, one of the row that says it again
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_query_gives_a_row_a_document(spark, name):
     df = queries.QUERIES[name](spark, SF)
