@@ -116,7 +116,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle.compare_edits(merkle.with_next(documents(spark, sf_dir)))
     return rows.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+                       "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+                       F.array_join("edits", ",").alias("edits"))
 
 
 @query

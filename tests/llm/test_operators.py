@@ -124,6 +124,46 @@ def test_merkle_edits_and_likeness(docs, none):
     assert all(len(x) == 1 for x in by_text.values()) and len({min(x) for x in by_text.values()}) == len(by_text)
 
 
+def compared(spark, texts):
+    df = spark.createDataFrame(texts, "a string, b string")
+    trees = [merkle.tree(F.col(c)).alias(c) for c in "ab"]
+    out = merkle.compare(df.select(F.array(F.struct(*trees)).alias("pairs")))
+    return [(r.likeness, r.edits) for r in out.select(F.explode("pairs").alias("p")).select("p.*").collect()]
+
+
+def test_merkle_likeness_walks_the_tree(spark):
+    rng = random.Random(1)
+    line = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    lines = [[line(6) for _ in range(1000)] for _ in range(2)]
+    some, long, one = [line(8) for _ in range(200)], [line(200) for _ in range(50)], line(400)
+    blob = "a" * 50_000
+    got = compared(spark, [
+        ("\n".join(lines[0]), "\n".join(lines[1])), ("\n".join(some), "\n".join(some[::-1])),
+        ("\n".join(long), "\n".join(long[::-1])), (one, line(8) + " " + one),
+        (one, "head\n\n" + one + "\n\nfoot"), ("\n".join(some), "\n".join(some[:50] + ["new"] + some[51:])),
+        (blob, blob[:37_500] + "b" * 12_500), (one, one), ("", one), ("", ""), ("a\n\nb\n\n", "b\n\na\n\n")])
+    near = [n for n, _ in got]
+    assert near[0] < 0.3 and near[1] < 0.6 and near[2] < 0.6 and near[3] > 0.9 and near[4] > 0.9 and near[5] > 0.98
+    assert 0.7 < near[6] < 0.8 and near[7:10] == [1.0, 0.0, 1.0] and near[10] < 1
+    assert got[5][1] == ["0.50"] and got[7][1] == [] and got[8][1] == ["0.0"] and got[9][1] == []
+
+
+def test_merkle_roots_and_pairs_by_hand(spark):
+    def chunk_nodes(p):  # these paragraphs hold one word each: one chunk
+        return [hashlib.sha256(p.encode()).hexdigest()] if p else []
+
+    def node(nodes):
+        return hashlib.sha256(",".join(nodes).encode()).hexdigest()
+
+    text = "one\ntwo\n\nthree\n\nfour"
+    want = node([node([node(chunk_nodes(p)) for p in s]) for s in (("one\n", "two\n", "\n"), ("three\n", "\n"), ("four",))])
+    df = spark.createDataFrame([(text,), ("",)], "t string").select(merkle.tree(F.col("t"))["node"].alias("n"))
+    assert [r.n for r in df.collect()] == [want, node([node([node([])])])]
+    # repeated nodes pair as often as both sides hold them: 3 of 5 and 3, sizes 2
+    (near, edits), = compared(spark, [("x\n" * 5, "x\n" * 3)])
+    assert near == 12 / 16 and edits == ["0.3", "0.4"]
+
+
 def test_merkle_locates_edits(spark):
     a = "one\ntwo\n\nthree\nfour\n\nfive"
     df = spark.createDataFrame([(a, a), (a, a.replace("four", "4")), (a, a + "\n\nsix")], "a string, b string")
