@@ -239,10 +239,13 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     after = written(successors(ranges).select(F.col("v").alias("g"), F.coalesce("next", first).alias("to")), "edges")
     # a task sends on one text of each range it reads, not all of them
     heads = (docs.filter("id IS NOT NULL").groupBy(F.shiftright("id", BITS).alias("to"))
-             .agg(F.min_by("text", F.struct("id", F.xxhash64("text"))).alias("next")))
-    edge = rows.filter("next IS NULL").drop("next").join(after, "g").join(heads, "to").select("id", "text", "next")
+             .agg(F.min_by("text", F.struct("id", F.xxhash64("text"))).alias("head")))
+    # the rows lie by range already: merged with one text a range, not shuffled again
+    edge = after.join(heads, "to").select(F.col("g").alias("edge_g"), "head").hint("merge")
+    rows = (rows.join(edge, (rows["g"] == edge["edge_g"]) & rows["next"].isNull(), "left")
+            .select("id", "text", F.coalesce("next", "head").alias("next")))
     alone = docs.filter("id IS NULL").withColumn("next", F.col("text"))
-    return rows.filter("next IS NOT NULL").select("id", "text", "next").unionByName(edge).unionByName(alone)
+    return rows.unionByName(alone)
 
 
 def compare_edits(rows: DataFrame) -> DataFrame:
