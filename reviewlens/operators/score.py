@@ -8,7 +8,9 @@ column expressions, so the Python worker sees each row exactly once.
 
 ``classify`` runs one ``mapInPandas`` pass. The scorer object is built once
 per partition (``factory()`` inside the task), never per row, and called
-with ``batch_size`` rows at a time. A failing call is retried with waits
+with ``batch_size`` rows at a time. Texts come as UTF-8 and only those of one
+call are decoded, so a worker's memory does not follow the Arrow batch's texts
+(as Python text, one emoji takes a text to four bytes a character). A failing call is retried with waits
 of 2**attempt s; after the last attempt the batch is bisected down to the
 failing rows, so one bad row does not fail its neighbours (UDF-3/4): its
 error text goes to ``ai_error`` and the job goes on.
@@ -26,6 +28,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..constants import CLASSES, ERROR_PREFIX, MAX_TOKENS, MAX_TOKENS_RAG, TEMPERATURE
 from ..functions.parse import parse_for_template
@@ -42,6 +45,7 @@ RULE_KEYWORDS = [
     ("rants without visit", ["never been", "never visited", "heard that"]),
 ]
 COT_TEMPLATES = ("few_shot_cot", "cot_rag")
+CALL_BYTES = 4 << 20  # texts shown at a time to a scorer that names no batch size
 NULL_PROMPT_ERROR = "ValueError: prompt could not be rendered (NULL store or comment)"
 
 
@@ -54,8 +58,8 @@ def rule_answer(cls: str, reason: str, cot: bool) -> str:
 
 class RuleScorer:
     """UDF-2 (a): keyword rules over the comment; needs no model or network.
-    Vectorised over the batch (pandas string methods), so it takes whole
-    Arrow batches (``batch_size = None``)."""
+    Vectorised over the batch (pandas string methods), so it takes as many
+    rows as ``CALL_BYTES`` of text allow (``batch_size = None``)."""
 
     batch_size = None
 
@@ -183,21 +187,38 @@ def _isolate(scorer, sub: pd.DataFrame):
     return answers, errors
 
 
+def _calls(pdf: pd.DataFrame, ok, size: int | None, texts: list[str]):
+    """The positions ``ok`` in stretches of ``size`` rows, or (None) of about
+    ``CALL_BYTES`` of the encoded columns ``texts`` (at least a row each)."""
+    if size:
+        return [ok[a:a + size] for a in range(0, len(ok), size)]
+    import numpy as np
+
+    sizes = sum(pdf[c].map(len, na_action="ignore").fillna(0).to_numpy(dtype=np.int64) for c in texts)[ok]
+    part = np.cumsum(sizes) // CALL_BYTES
+    return [x for x in np.split(ok, np.flatnonzero(np.diff(part)) + 1) if len(x)]
+
+
+def _decoded(sub: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
+    return sub.assign(**{c: pd.Series([None if x is None else bytes(x).decode() for x in sub[c]], sub.index, object)
+                         for c in texts})
+
+
 def _score_partition(factory: Callable[[], object], batch_size: int | None, max_retries: int, base_wait: float,
-                     comment: str, back: list[str]):
+                     comment: str, back: list[str], texts: list[str]):
     """``comment``: the input column shown to the scorer as ``comment``;
-    ``back``: the input columns that leave Python again."""
+    ``back``: the input columns that leave Python again; ``texts``: those
+    that come as UTF-8."""
     def run(it):
         scorer = factory()  # one client per task, not per row
         size = batch_size or getattr(scorer, "batch_size", None)
         for pdf in it:
             answers: list[str | None] = []
             errors: list[str | None] = []
-            step = size or max(1, len(pdf))
             ok = pdf["prompt"].notna().to_numpy()
-            todo = pdf.assign(comment=pdf[comment])[ok]
-            for start in range(0, len(todo), step):
-                a, e = _score_batch(scorer, todo.iloc[start:start + step], max_retries, base_wait)
+            for at in _calls(pdf, ok.nonzero()[0], size, texts):
+                todo = _decoded(pdf.iloc[at], texts)
+                a, e = _score_batch(scorer, todo.assign(comment=todo[comment]), max_retries, base_wait)
                 answers += a
                 errors += e
             if not ok.all():  # FN-14: a NULL store or comment cannot be rendered -> error row
@@ -220,24 +241,30 @@ def classify(df: DataFrame, factory: Callable[[], object], template="few_shot",
     (several templates in one job). Output: ``keep`` columns, template,
     ai_raw_response, ai_error, ai_classification (NULL on error).
     The scorer gets ``batch_size`` rows per call (default: the scorer's own
-    ``batch_size`` attribute, e.g. 32 for a remote model, else the whole
-    Arrow batch, which Spark caps by records and bytes); ``partitions``
+    ``batch_size`` attribute, e.g. 32 for a remote model, else the rows of
+    about ``CALL_BYTES`` of texts); ``partitions``
     bounds the number of concurrent scorer clients."""
     tpl = F.lit(template) if isinstance(template, str) else template
     kept = [c for c in keep if c != "template"]
     cols = [F.col(c) for c in kept] + [tpl.alias("template")]
+    texts = ["prompt"]  # columns that do not leave Python again travel as UTF-8
     shown = comment  # a kept comment column is not sent a second time
     if comment not in kept:
         shown = "comment" if "comment" not in kept else "_comment"
         cols.append(F.col(comment).alias(shown))
+        texts.append(shown)
     cols += [F.col(c) for c in dict.fromkeys((*context, *([examples] if examples else []))) if c not in kept]
     cols.append(render_prompt(store, comment, template, examples).alias("prompt"))
     x = df.select(*cols)
+    if examples and examples not in kept:
+        texts.append(examples)
+    texts = [c for c in dict.fromkeys(texts) if x.schema[c].dataType == StringType()]
+    x = x.withColumns({c: F.col(c).cast("binary") for c in texts})
     if partitions:
         x = x.repartition(partitions)
     back = [*kept, "template"]
     schema = x.select(*back).schema.add("ai_raw_response", "string").add("ai_error", "string")
-    scored = x.mapInPandas(_score_partition(factory, batch_size, max_retries, base_wait, shown, back), schema)
+    scored = x.mapInPandas(_score_partition(factory, batch_size, max_retries, base_wait, shown, back, texts), schema)
     parsed = F.when(F.col("ai_error").isNull(), parse_for_template(F.col("ai_raw_response"), F.col("template")))
     return scored.select(*back, "ai_raw_response", "ai_error", parsed.alias("ai_classification"))
 

@@ -285,3 +285,26 @@ def test_scorer_texts_do_not_travel_back(spark):
     assert "prompt" not in returned and "comment" not in returned and "ai_raw_response" in returned
     kept = S.classify(df, S.RuleScorer, template="zero_shot", keep=("review_id", "text_info"), base_wait=0.0)
     assert kept.first().text_info == "call now"
+
+
+class Measuring:
+    """Answers with the size and the kinds of the texts that it was shown."""
+
+    def score(self, batch):
+        n = sum(len(x.encode()) for c in ("prompt", "comment") for x in batch[c])
+        kinds = "".join(sorted({type(x).__name__ for x in batch["more"]}))
+        return [f"Classification: valid {n} {kinds} {c[:2]}" for c in batch["comment"]]
+
+
+def test_a_call_is_bounded_by_the_bytes_of_its_texts(spark):
+    rows = [(i, "s", "é€" + "x" * 100_000, None if i % 2 else "ä") for i in range(120)] + [(120, None, "no store", "ä")]
+    df = spark.createDataFrame(rows, "review_id int, store_info string, text_info string, more string").coalesce(1)
+    got = {r.review_id: r for r in S.classify(df, Measuring, template="zero_shot", context=("more",),
+                                              base_wait=0.0).collect()}
+    assert len(got) == 121 and got[120].ai_error == S.NULL_PROMPT_ERROR
+    answers = [got[i].ai_raw_response.split() for i in range(120)]
+    assert max(int(a[2]) for a in answers) <= (5 << 20)  # all of them: 24 MB
+    assert {a[3] for a in answers} == {"NoneTypestr"} and {a[4] for a in answers} == {"é€"}
+    kept = S.classify(df, Measuring, template="zero_shot", context=("more",), keep=("review_id", "text_info"),
+                      batch_size=7, base_wait=0.0)
+    assert {r.text_info for r in kept.collect()} == {r[2] for r in rows}
