@@ -13,8 +13,8 @@ score of every query of the chunk is skipped, unread. Only queries move between
 tasks; no corpus row is copied by a shuffle, and no merge of partial results is
 needed, because each query is answered in one task.
 
-A task holds one chunk of queries, its k best rows, one block, and the
-manifest. ``MAX_PIVOTS`` bounds what the driver sees. A vector that a third of
+A task holds one chunk of queries, its k best rows, one block, the manifest,
+and the scores of ``SCORE_ELEMENTS`` pairs. ``MAX_PIVOTS`` bounds what the driver sees. A vector that a third of
 the corpus shares fills blocks of radius 0, which are skipped together.
 """
 
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_PIVOTS = 1024
-SCORE_ELEMENTS = 1 << 22  # numbers of one score matrix (32 MB)
+SCORE_ELEMENTS = 1 << 20  # numbers of one score matrix (8 MB; three are held)
+READ_ROWS = 8192          # rows of a block read at a time
 SLACK = 1e-9              # float error allowed to a bound
 
 
@@ -58,10 +59,33 @@ def matrix(column, normalize: bool):
     m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
     if normalize:
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        m = m / np.where(norm > 0, norm, 1.0)
+        m /= np.where(norm > 0, norm, 1.0)
     return m
 
 
+def read_block(path: str, embedding: str, columns, normalize: bool):
+    """A block's matrix and its other ``columns``, read a batch at a time:
+    beside the matrix, only one batch's vectors are held."""
+    import numpy as np
+    from pyarrow import dataset
+
+    store, root = open_store(path)
+    part = dataset.dataset(root, filesystem=store, format="parquet", partitioning=None)
+    m, at, rows = None, 0, []
+    n = part.count_rows()
+    for batch in part.to_batches(columns=[embedding, *columns], batch_size=READ_ROWS, batch_readahead=1,
+                                 fragment_readahead=1):
+        if not batch.num_rows:
+            continue
+        x = matrix(batch.column(0), normalize)
+        if m is None:
+            m = np.empty((n, x.shape[1]))
+        m[at:at + len(x)] = x
+        at += len(x)
+        rows.append(batch.select(columns))
+    return m, pa.Table.from_batches(rows)
+
+
 def _pivots(corpus: DataFrame, embedding: str, vec_id: str, n: int) -> list[list[float]]:
     """The vectors of the ``n`` ids first in hash order (a seeded sample)."""
     rows = (corpus.select(F.xxhash64(F.lit(17), vec_id).alias("h"), F.col(embedding).cast("array<double>").alias("e"))
@@ -148,7 +172,12 @@ class Best:
         if same is not None:
             scores = np.where(same, -np.inf, scores)
         kk = min(self.k, scores.shape[1])
-        least = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1] if kk == self.k else np.full(len(at), -np.inf)
+        least = np.full(len(at), -np.inf)
+        if kk == self.k:
+            down = -scores
+            down.partition(kk - 1, axis=1)
+            least = -down[:, kk - 1]
+            del down
         q, c = np.nonzero((scores >= np.maximum(least, self.kth[at])[:, None]) & (scores > -np.inf))
         found = rows.take(pa.array(c))
         self.rows = found if self.rows is None else pa.concat_tables([self.rows, found])
@@ -215,47 +244,56 @@ def topk_blocks(queries: DataFrame, path: str, k: int = 5, query_id: str = "quer
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        known = read_part(f"{path}/manifest", ["block", "pivot", "radius"])
+        known = read_part(f"{path}/manifest", ["block", "pivot", "radius", "n"])
         blocks, radius = known.column("block").to_numpy(), known.column("radius").to_numpy()
         pivot = None if len(blocks) == 1 else matrix(known.column("pivot"), normalize)
+        width = max(1, SCORE_ELEMENTS // max(1, int(known.column("n").to_numpy().max())))  # queries scored at a time
         held: dict = {}
 
         def block(b):
             if b not in held:
                 held.clear()  # one block at a time
-                rows = read_part(f"{path}/blocks/_block={b}", [vec_id, embedding, *carry])
-                held[b] = matrix(rows.column(embedding), normalize), rows.drop_columns([embedding])
+                held[b] = read_block(f"{path}/blocks/_block={b}", embedding, [vec_id, *carry], normalize)
             return held[b]
 
+        def promise(m):
+            """The blocks, those nearest to a query first."""
+            top = np.full(len(blocks), -np.inf)
+            for a in range(0, len(m), max(1, SCORE_ELEMENTS // len(blocks))):
+                np.maximum(top, (m[a:a + max(1, SCORE_ELEMENTS // len(blocks))] @ pivot.T).max(axis=0), out=top)
+            return np.argsort(-top, kind="stable")
+
+        def score(best, m, qids, at, b):
+            c, rows = block(b)
+            same = None
+            if exclude_self:
+                same = qids.take(pa.array(at)).to_numpy()[:, None] == rows.column(vec_id).to_numpy()[None, :]
+            best.add(at, m[at] @ c.T, rows, vec_id, same)
+
         def answer(part: pa.Table):
             m = matrix(part.column("emb"), normalize)
-            best, read = Best(len(m), k, decimals), np.zeros(len(m), np.int32)
-            if pivot is None:
-                bound, order = np.full((len(m), 1), np.inf), [0]
-            else:
-                norms = np.sqrt((m * m).sum(axis=1))
-                bound = m @ pivot.T + norms[:, None] * radius[None, :]
-                bound += SLACK * (1 + np.abs(bound)) + 10.0 ** -decimals
-                order = np.argsort(-(m @ pivot.T).max(axis=0), kind="stable")
-            for b in order:
-                at = np.flatnonzero(bound[:, b] >= best.kth)
-                if not len(at):
+            starts = range(0, len(m), width)
+            best, read = [Best(len(m[a:a + width]), k, decimals) for a in starts], np.zeros(len(m), np.int32)
+            norms = np.sqrt((m * m).sum(axis=1))
+            for b in [0] if pivot is None else promise(m):
+                bound = np.full(len(m), np.inf)
+                if pivot is not None:
+                    bound = m @ pivot[b] + norms * radius[b]
+                    bound += SLACK * (1 + np.abs(bound)) + 10.0 ** -decimals
+                for a, x in zip(starts, best):
+                    at = np.flatnonzero(bound[a:a + width] >= x.kth)
+                    if len(at):
+                        read[a + at] += 1
+                        score(x, m[a:a + width], part.column("qid").slice(a, width), at, int(blocks[b]))
+            for a, x in zip(starts, best):
+                if x.rows is None or not len(x.q):
                     continue
-                c, rows = block(int(blocks[b]))
-                read[at] += 1
-                step = max(1, SCORE_ELEMENTS // max(len(c), 1))
-                ids = rows.column(vec_id).to_numpy() if exclude_self else None
-                for a in range(0, len(at), step):
-                    x = at[a:a + step]
-                    same = part.column("qid").take(pa.array(x)).to_numpy()[:, None] == ids[None, :] if exclude_self else None
-                    best.add(x, m[x] @ c.T, rows, vec_id, same)
-            if best.rows is None or not len(best.q):
-                return
-            out = [part.column("qid").take(pa.array(best.q)), pa.array(best.rank.astype(np.int32)),
-                   best.rows.column(vec_id), pa.array(best.raw), *(best.rows.column(c) for c in carry),
-                   pa.array(read[best.q]), pa.array(np.full(len(best.q), len(blocks), np.int32))]
-            names = [query_id, "rank", vec_id, "score", *carry, "blocks_read", "blocks"]
-            yield from pa.Table.from_arrays(out, names=names).combine_chunks().to_batches()
+                q = a + x.q
+                out = [part.column("qid").take(pa.array(q)), pa.array(x.rank.astype(np.int32)), x.rows.column(vec_id),
+                       pa.array(x.raw), *(x.rows.column(c) for c in carry), pa.array(read[q]),
+                       pa.array(np.full(len(q), len(blocks), np.int32))]
+                names = [query_id, "rank", vec_id, "score", *carry, "blocks_read", "blocks"]
+                yield from pa.Table.from_arrays(out, names=names).combine_chunks().to_batches()
 
         waiting, size = [], 0
         for batch in batches:

@@ -76,3 +76,48 @@ def test_fewer_vectors_than_asked_for(spark):
     q, c = frames(spark, [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [0.0, 1.0])])
     assert [(r.vec_id, r["rank"]) for r in V.topk_similar(q, c, k=5).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert V.topk_similar(q, c.filter("vec_id = 1"), k=5, exclude_self=True).collect() == []
+
+
+def test_small_score_matrices_and_reads_equal_brute_force(spark, monkeypatch):
+    """Queries scored a few at a time against blocks read a few rows at a time."""
+    from reviewlens.operators import block_index as B
+    monkeypatch.setattr(B, "SCORE_ELEMENTS", 150)
+    monkeypatch.setattr(B, "READ_ROWS", 7)
+    data = clustered(200, 6, 5, 4)
+    data[60:100] = data[3]
+    corpus = list(enumerate(data.tolist()))
+    queries = [(1000 + i, v) for i, v in enumerate(clustered(40, 6, 5, 5).tolist())]
+    for rows in (30, 50_000):
+        q, c = frames(spark, queries, corpus)
+        got = V.topk_similar(q, c, k=4, corpus_block_rows=rows, report=True).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == brute(queries, corpus, 4)
+        assert all(1 <= r.blocks_read <= r.blocks for r in got)
+
+
+def _peak(run):
+    import tracemalloc
+    tracemalloc.start()  # sees numpy's arrays
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_and_its_scores_are_held_without_copies(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from reviewlens.operators import block_index as B
+    n, dim = 60_000, 16
+    vecs = np.random.default_rng(6).normal(size=(n, dim))
+    table = pa.table({"vec_id": range(n), "embedding": pa.array(list(vecs), pa.list_(pa.float64()))})
+    pq.write_table(table, tmp_path / "a.parquet")
+    (m, rows), peak = _peak(lambda: B.read_block(str(tmp_path), "embedding", ["vec_id"], True))
+    assert np.array_equal(m, B.matrix(table.column("embedding"), True)) and rows.column_names == ["vec_id"]
+    assert peak < 1.6 * m.nbytes
+
+    raw = vecs[:20] @ vecs.T
+    best = B.Best(20, 3, 9)
+    _, peak = _peak(lambda: best.add(np.arange(20), raw, table.select(["vec_id"]), "vec_id"))
+    assert len(best.q) == 60 and peak < 2.7 * raw.nbytes
