@@ -16,7 +16,8 @@ three steps:
    (at most two a split) are joined by the split where the record opened.
 
 The cut records are written once, so later reads do not lex again. Nothing is
-collected, and no task holds more than a batch of pieces and one open record.
+collected, and no task holds more than an Arrow batch of pieces, the records of
+``PART_BYTES`` of it, and one open record.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from ..operators.join import fits_broadcast
 from ..session import materialize
 from .readers import CSV_READ, _as_text, _typed
 
+PART_BYTES = 4 << 20  # texts of a batch that are Python objects at a time
 WHOLE, HEAD, TAIL = 0, 1, 2  # a record; the rest of one opened before the split; one that goes on after it
 
 
@@ -73,6 +75,20 @@ def _runs(file, blk):
     return list(zip([0, *cuts], [*cuts, len(blk)])) if len(blk) else np.zeros((0, 2))
 
 
+def _parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in order, in slices of about ``PART_BYTES`` of the
+    column ``text`` (at least a row each)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy()
+    part = np.cumsum(size, dtype=np.int64) // PART_BYTES
+    cuts = (np.flatnonzero(np.diff(part)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(part)]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def split_states(pieces: DataFrame) -> DataFrame:
     """(file, blk, in_string, depth): each split's first state."""
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +147,7 @@ def cut_records(spark: SparkSession, path: str, sep: str, lexer, level: int) ->
         def left():  # what a split leaves open: part of a record begun before it, or a new one
             return [(*split, at, HEAD if head else TAIL, sep.join(open_))] if open_ else []
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, "value")):
             file, blk, value = (batch.column(k).to_pylist() for k in (0, 1, 5))
             flips, out, ins, first, deep = (batch.column(k).to_numpy() for k in (2, 3, 4, 6, 7))
             rows = []

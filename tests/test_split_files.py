@@ -72,3 +72,20 @@ def test_empty_inputs(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "x.csv").write_text("k,t\n")
     assert SP.read_csv_split(spark, str(tmp_path / "c"), StructType.fromDDL("k int, t string")).collect() == []
+
+
+def test_pieces_become_python_texts_a_few_at_a_time(spark, tmp_path, small_splits, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["é" * 100, None, "", "x" * 5000] + ["y" * 90] * 300
+    whole = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["value", "n"])
+    monkeypatch.setattr(SP, "PART_BYTES", 1000)
+    parts = list(SP._parts(whole, "value"))
+    assert [t for p in parts for t in p.column("value").to_pylist()] == texts and len(parts) > 25
+    assert all(sum(len(t or "") for t in p.column("value").to_pylist()[1:]) < 1000 for p in parts)
+    assert list(SP._parts(whole.slice(0, 0), "value")) == []
+
+    monkeypatch.setattr(SP, "PART_BYTES", 60)  # records go over slices as over batches
+    (tmp_path / "a.json").write_text(json.dumps(rows(), ensure_ascii=False))
+    got = SP.scan_json_array_split(spark, str(tmp_path), SCHEMA).collect()
+    assert sorted(map(str, got)) == sorted(map(str, R.scan_json_array(spark, str(tmp_path), SCHEMA).collect()))
