@@ -25,6 +25,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +59,7 @@ def rule_answer(cls: str, reason: str, cot: bool) -> str:
 
 class RuleScorer:
     """UDF-2 (a): keyword rules over the comment; needs no model or network.
-    Vectorised over the batch (pandas string methods), so it takes as many
-    rows as ``CALL_BYTES`` of text allow (``batch_size = None``)."""
+    Takes as many rows as ``CALL_BYTES`` of text allow (``batch_size = None``)."""
 
     batch_size = None
 
@@ -68,17 +68,13 @@ class RuleScorer:
         self.template_col = template_col
 
     def classes(self, batch: pd.DataFrame) -> tuple[pd.Series, pd.Series]:
-        low = batch[self.comment_col].fillna("").str.lower()
-        cls = pd.Series(["valid"] * len(batch), index=batch.index, dtype=object)
-        why = pd.Series(["no warning signs"] * len(batch), index=batch.index, dtype=object)
-        decided = pd.Series(False, index=batch.index)
-        for label, words in RULE_KEYWORDS:
-            for w in words:
-                hit = ~decided & low.str.contains(w, regex=False)
-                cls[hit] = label
-                why[hit] = f"mentions '{w}'"
-                decided |= hit
-        return cls, why
+        cls, why = [], []
+        for text in batch[self.comment_col].fillna(""):
+            low = text.lower()  # one at a time: a Series with its .str would stay until the next collection
+            label, word = next(((c, w) for c, words in RULE_KEYWORDS for w in words if w in low), ("valid", None))
+            cls.append(label)
+            why.append(f"mentions '{word}'" if word else "no warning signs")
+        return pd.Series(cls, batch.index, object), pd.Series(why, batch.index, object)
 
     def score(self, batch: pd.DataFrame) -> list[str]:
         cls, why = self.classes(batch)
@@ -192,8 +188,6 @@ def _calls(pdf: pd.DataFrame, ok, size: int | None, texts: list[str]):
     ``CALL_BYTES`` of the encoded columns ``texts`` (at least a row each)."""
     if size:
         return [ok[a:a + size] for a in range(0, len(ok), size)]
-    import numpy as np
-
     sizes = sum(pdf[c].map(len, na_action="ignore").fillna(0).to_numpy(dtype=np.int64) for c in texts)[ok]
     part = np.cumsum(sizes) // CALL_BYTES
     return [x for x in np.split(ok, np.flatnonzero(np.diff(part)) + 1) if len(x)]
@@ -227,7 +221,9 @@ def _score_partition(factory: Callable[[], object], batch_size: int | None, max_
                 for i, a, e in zip(ok.nonzero()[0], answers, errors):
                     full_a[i], full_e[i] = a, e
                 answers, errors = full_a, full_e
-            yield pdf[back].assign(ai_raw_response=answers, ai_error=errors)
+            out = pdf[back].assign(ai_raw_response=answers, ai_error=errors)
+            pdf.loc[:, texts] = todo = None  # Spark's reader holds the frame until it has made the next
+            yield out
     return run
 
 
